@@ -6,6 +6,7 @@ from .cells import (
     complete_row,
     data_type,
     decimal_commas_to_dots,
+    group_cell,
     is_missing,
     is_missing_text,
     key_part,

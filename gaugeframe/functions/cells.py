@@ -54,6 +54,18 @@ def key_part(cell: Column) -> Column:
     return F.coalesce(cell.cast("string"), F.lit("null"))
 
 
+def group_cell(df: DataFrame, name: str) -> Column:
+    """A key component to group on; ``key_part`` renders it afterwards.
+
+    Numbers, dates and booleans group as they are: their texts are one-to-one and never
+    "null". Text maps NULL to "null" first, so the two fall into one group.
+    """
+    kind = data_type(df, name)
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        return column(name)
+    return key_part(column(name))
+
+
 def key_text(columns: list[str]) -> Column:
     """Displayed key: rendered components joined by a comma."""
     return F.concat_ws(",", *[key_part(column(name)) for name in columns])
@@ -89,11 +101,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def strip_quotes(text: Column) -> Column:
-    return F.regexp_replace(text, '"', "")
+    return F.replace(text, F.lit('"'), F.lit(""))
 
 
 def strip_backslashes(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\", "")
+    return F.replace(text, F.lit("\\"), F.lit(""))
 
 
 def decimal_commas_to_dots(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import column, key_part
+from ..functions import column, group_cell, key_part
 
 Keys = Sequence[Sequence[str]]
 
@@ -38,7 +38,8 @@ def group_by_keys(
     different components never merge), ``Value`` (the components joined for display),
     the ``within`` columns and the measures.
 
-    Several keys become GROUPING SETS. Partial aggregation runs before the shuffle, so a
+    Typed components are grouped as they are and rendered per group, not per row. Several
+    keys become GROUPING SETS. Partial aggregation runs before the shuffle, so a
     hot key value reaches the reducers as one row per map task.
     """
     keys = [tuple(key) for key in keys]
@@ -50,7 +51,7 @@ def group_by_keys(
     names = list(dict.fromkeys(name for key in keys for name in key))
     part = {name: f"part_{i}" for i, name in enumerate(names)}
     staged = rows.select(
-        *[key_part(column(name)).alias(part[name]) for name in names],
+        *[group_cell(rows, name).alias(part[name]) for name in names],
         *[expression.alias(name) for name, expression in within.items()],
         *inputs,
     )
@@ -79,7 +80,7 @@ def group_by_keys(
             *[
                 F.struct(
                     F.lit(label).alias("Attribute"),
-                    F.array(*[F.col(part[name]) for name in key]).alias("Parts"),
+                    F.array(*[key_part(F.col(part[name])) for name in key]).alias("Parts"),
                 )
                 for key, label in zip(keys, labels)
                 if frozenset(key) == members
