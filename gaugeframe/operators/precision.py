@@ -65,20 +65,24 @@ def precision_values(
 ) -> DataFrame:
     """Shape grouped measures into the value table.
 
-    ``extremes`` holds one row with ``pre_low_i``/``pre_high_i`` over all rows; it enters
-    as a scalar subquery per column, so no join and no collect is involved.
+    ``extremes`` holds one row with ``pre_low_i``/``pre_high_i`` over all rows. The shifts
+    of all columns enter as one scalar subquery: no join, no collect.
     """
-    shifts, entries = {}, {}
+    shifts = extremes.select(
+        F.struct(
+            *[_shift(F.col(f"pre_low_{i}"), F.col(f"pre_high_{i}")).alias(f"of_{i}") for i in range(len(columns))]
+        ).alias("shifts")
+    )
+    entries = {}
     for i, name in enumerate(columns):
-        both_signs = _shift(F.col(f"pre_low_{i}"), F.col(f"pre_high_{i}")).alias("shift")
-        shifts[f"pre_shift_{i}"] = extremes.select(both_signs).scalar()
-        shift, mean, dev = F.col(f"pre_shift_{i}"), F.col(f"pre_mean_{i}"), F.col(f"pre_dev_{i}")
+        mean, dev = F.col(f"pre_mean_{i}"), F.col(f"pre_dev_{i}")
         entries[name] = [
             mean.alias("Mean"),
-            at_least_zero(F.lit(1.0) - ratio(dev, F.abs(mean + shift))).alias("Precision"),
+            at_least_zero(F.lit(1.0) - ratio(dev, F.abs(mean + F.col(f"pre_shifts.of_{i}")))).alias("Precision"),
             dev.alias("StandardDeviation"),
         ]
-    return per_column(groups.withColumns(shifts), entries, skipped_labels(columns, keys))
+    shifted = groups.withColumn("pre_shifts", shifts.scalar())
+    return per_column(shifted, entries, skipped_labels(columns, keys))
 
 
 def precision_value(

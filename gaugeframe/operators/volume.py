@@ -20,16 +20,18 @@ def volume_measures(when: Column | None = None) -> list[Column]:
     return [F.count(F.lit(1) if when is None else F.when(when, 1)).alias("vol_rows")]
 
 
-def volume_metrics(total: Column) -> list[Column]:
+def volume_metrics() -> list[Column]:
+    """Final global columns from the row count and ``vol_total``."""
     return [
-        at_most_one(ratio(F.col("vol_rows"), total)).alias("Volume"),
+        at_most_one(ratio(F.col("vol_rows"), F.col("vol_total"))).alias("Volume"),
         F.col("vol_rows").alias("Volume(TotalRows)"),
     ]
 
 
 def volume_global(rows: DataFrame, source: DataFrame) -> DataFrame:
     """One row: share of the source's rows, and their number."""
-    return rows.agg(*volume_measures()).select(*volume_metrics(total_rows(source)))
+    counted = rows.agg(*volume_measures()).withColumn("vol_total", total_rows(source))
+    return counted.select(*volume_metrics())
 
 
 def volume_values(groups: DataFrame, total: Column) -> DataFrame:

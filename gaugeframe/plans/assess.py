@@ -150,7 +150,7 @@ def _totals(run: _Run) -> tuple[list[Column], list[Column], list[Column]]:
     if run.wants("Volume", "global"):
         inputs.append(run.complete.alias("complete"))
         measures += volume_measures(F.col("complete"))
-        metrics += volume_metrics(total_rows(select_columns(run.source, run.columns)))
+        metrics += volume_metrics()
     if run.targets and run.wants("Accuracy", "global"):
         inputs += accuracy_inputs(run.rows, run.targets, run.config.on_invalid, run.complete)
         measures += accuracy_measures(run.targets)
@@ -192,6 +192,8 @@ def _final_quality(run: _Run, hours: Mapping[str, DataFrame]) -> DataFrame:
         extra.append(frequency_global(table, name).scalar().alias(f"Completeness_Frequency_{name}"))
     if measures:
         row = run.rows.select(*inputs).agg(*measures)
+        if run.wants("Volume", "global"):
+            row = row.withColumn("vol_total", total_rows(select_columns(run.source, run.columns)))
     else:
         row = run.source.sparkSession.range(1)
     confidences = [run.confidence] * (len(metrics) + len(extra))
