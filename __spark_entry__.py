@@ -52,6 +52,7 @@ LINE_KEYS = [["l_returnflag"], ["l_returnflag", "l_linestatus"], ["l_suppkey"]]
 CUSTOMER_KEYS = [["c_mktsegment"], ["c_nationkey"]]
 DIRTY_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 DIRTY_KEYS = [["o_orderstatus"], ["o_orderpriority"], ["o_orderpriority", "o_orderstatus"]]
+ORDER_KEYS = [["o_orderstatus"], ["o_orderpriority", "o_orderstatus"]]
 EVENT_KEYS = [["event_type"], ["user_id"]]
 EVENT_TIMES = [op.TimeColumn("ts", 720.0)]
 PART_COLUMNS = ["p_name", "p_brand"]
@@ -75,18 +76,13 @@ DIRTY = """dirty AS (
   FROM orders)"""
 
 
-def _valued_events(spark: SparkSession, folder: str) -> DataFrame:
+def _valued(events: DataFrame) -> DataFrame:
     """Events after an interval selection on the measured value."""
-    return op.filter_intervals(_table(spark, folder, "events"), {"value": [(20, 400)]}, "typed")
+    return op.filter_intervals(events, {"value": [(20, 400)]}, "typed")
 
 
-def _placed_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return op.filter_values(_table(spark, folder, "orders"), {"o_orderstatus": ["O", "F"]})
-
-
-def _urgent_orders(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = {"o_orderstatus": ["P"], "o_orderpriority": ["1-URGENT"]}
-    return op.filter_values(_table(spark, folder, "orders"), wanted)
+def _placed(orders: DataFrame) -> DataFrame:
+    return op.filter_values(orders, {"o_orderstatus": ["O", "F"]})
 
 
 def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,25 +162,25 @@ def _on(table: str, build: Callable[[DataFrame], DataFrame]):
     return lambda spark, folder: _rounded(build(_table(spark, folder, table)))
 
 
-def _frequency(spark: SparkSession, folder: str) -> DataFrame:
-    rates = op.update_rate_values(op.value_hour_counts(_table(spark, folder, "events"), "ts", EVENT_KEYS))
-    counts = op.value_hour_counts(_valued_events(spark, folder), "ts", EVENT_KEYS)
-    return op.frequency_groups(counts, rates)
+def _frequency(events: DataFrame) -> DataFrame:
+    rates = op.update_rate_values(op.value_hour_counts(events, "ts", EVENT_KEYS))
+    return op.frequency_groups(op.value_hour_counts(_valued(events), "ts", EVENT_KEYS), rates)
 
 
-def _frequency_hours(spark: SparkSession, folder: str) -> DataFrame:
-    rates = op.update_rate_global(op.hour_counts(_table(spark, folder, "events"), "ts"))
-    return op.frequency_hour(op.hour_counts(_valued_events(spark, folder), "ts"), rates)
+def _frequency_hours(events: DataFrame) -> DataFrame:
+    rates = op.update_rate_global(op.hour_counts(events, "ts"))
+    return op.frequency_hour(op.hour_counts(_valued(events), "ts"), rates)
 
 
 def _timeliness_groups(events: DataFrame) -> DataFrame:
     return op.timeliness_groups(events, EVENT_TIMES, EVENT_KEYS, NOW)
 
 
-def _population(spark: SparkSession, folder: str) -> DataFrame:
-    known = op.source_distinctness(_table(spark, folder, "orders"), ["o_custkey", "o_orderpriority"])
+def _population(orders: DataFrame) -> DataFrame:
+    known = op.source_distinctness(orders, ["o_custkey", "o_orderpriority"])
+    urgent = op.filter_values(orders, {"o_orderstatus": ["P"], "o_orderpriority": ["1-URGENT"]})
     keys = [["o_custkey"], ["o_orderpriority"], ["o_custkey", "o_orderpriority"]]
-    return op.completeness_population(_urgent_orders(spark, folder), known, keys)
+    return op.completeness_population(urgent, known, keys)
 
 
 def _association(spark: SparkSession, folder: str) -> DataFrame:
@@ -310,15 +306,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 "o_orderkey", F.col("COMPLETENESS_MISSING").cast("double").alias("COMPLETENESS_MISSING")
             )
         ),
-        "completeness_frequency_hour": lambda s, d: _rounded(_frequency_hours(s, d)),
-        "completeness_frequency_global": lambda s, d: _rounded(op.frequency_global(_frequency_hours(s, d), "ts")),
-        "completeness_frequency_value": lambda s, d: _rounded(op.frequency_value(_frequency(s, d))),
-        "completeness_frequency_attribute": lambda s, d: _rounded(op.frequency_attribute(_frequency(s, d))),
+        "completeness_frequency_hour": _on("events", lambda t: _frequency_hours(t)),
+        "completeness_frequency_global": _on("events", lambda t: op.frequency_global(_frequency_hours(t), "ts")),
+        "completeness_frequency_value": _on("events", lambda t: op.frequency_value(_frequency(t))),
+        "completeness_frequency_attribute": _on("events", lambda t: op.frequency_attribute(_frequency(t))),
         "update_rate_global": _on("events", lambda t: op.update_rate_global(op.hour_counts(t, "ts"))),
         "update_rate_values": _on(
             "events", lambda t: op.update_rate_values(op.value_hour_counts(t, "ts", EVENT_KEYS))
         ),
-        "completeness_population": lambda s, d: _rounded(_population(s, d)),
+        "completeness_population": _on("orders", _population),
         "source_distinctness": _on(
             "orders", lambda t: op.source_distinctness(t, ["o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"])
         ),
@@ -334,12 +330,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 "event_id", F.col("TIMELINESS_ts").cast("double").alias("TIMELINESS_ts")
             ),
         ),
-        "volume_global": lambda s, d: _rounded(op.volume_global(_placed_orders(s, d), _table(s, d, "orders"))),
-        "volume_value": lambda s, d: _rounded(
-            op.volume_value(
-                _placed_orders(s, d), _table(s, d, "orders"), [["o_orderstatus"], ["o_orderpriority", "o_orderstatus"]]
-            )
-        ),
+        "volume_global": _on("orders", lambda t: op.volume_global(_placed(t), t)),
+        "volume_value": _on("orders", lambda t: op.volume_value(_placed(t), t, ORDER_KEYS)),
         "distinctness_global": _on("part", lambda t: op.distinctness_global(t, PART_COLUMNS)),
         "distinctness_global_lineitem": _on(
             "lineitem", lambda t: op.distinctness_global(t, ["l_partkey", "l_suppkey"])
@@ -720,7 +712,7 @@ def oracle_sql() -> dict[str, str]:
         "volume_value": _key_union(
             "SELECT '{label}' AS \"Attribute\", {value} AS \"Value\", count(*) AS \"Count\", "
             'round(count(*) / (SELECT count(*) FROM orders), 6) AS "VolumeValue"',
-            [["o_orderstatus"], ["o_orderpriority", "o_orderstatus"]],
+            ORDER_KEYS,
             f"FROM {placed} GROUP BY {{group}}",
         ),
         "distinctness_global": duplicates.format(table="part", columns="p_name, p_brand"),

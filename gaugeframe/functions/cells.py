@@ -87,12 +87,12 @@ def to_number(df: DataFrame, name: str, on_invalid: str = "fail") -> Column:
 
 def at_least_zero(x: Column) -> Column:
     """Raise negatives and NaN to 0; NULL stays NULL."""
-    return F.when(F.isnan(x) | (x < 0.0), F.lit(0.0)).otherwise(x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.nanvl(x, F.lit(0.0))))
 
 
 def at_most_one(x: Column) -> Column:
     """Cut values above 1; NULL stays NULL."""
-    return F.when(x > 1.0, F.lit(1.0)).otherwise(x)
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), x))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -41,30 +41,43 @@ def completeness_missing_global(rows: DataFrame, columns: Sequence[str]) -> Data
     )
 
 
-def completeness_missing_attribute(rows: DataFrame, keys: Keys, confidence: float = 1.0) -> DataFrame:
-    """Missing and present share of each key itself, all keys in one aggregation.
+def key_presence_inputs(keys: Keys) -> list[Column]:
+    """1 per row whose key text is present, for each key.
 
     The text of a composite key holds a comma, so it never equals a missing token.
     """
-    keys = usable_keys(keys)
-    present = [
+    flags = [
         F.lit(1) if len(key) > 1 else F.when(is_missing_text(key_part(column(key[0]))), 0).otherwise(1)
         for key in keys
     ]
-    counted = rows.select(*[flag.alias(f"present_{i}") for i, flag in enumerate(present)]).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(f"present_{i}").alias(f"present_{i}") for i in range(len(keys))],
-    )
+    return [flag.alias(f"key_present_{i}") for i, flag in enumerate(flags)]
+
+
+def key_presence_measures(keys: Keys) -> list[Column]:
+    return [F.sum(f"key_present_{i}").alias(f"key_present_{i}") for i in range(len(keys))]
+
+
+def completeness_missing_attributes(totals: DataFrame, keys: Keys, confidence: float = 1.0) -> DataFrame:
+    """A row per key from one row of totals (cmi_rows and key_present_i)."""
     lines = [
         F.struct(
             F.lit(label_of(key)).alias("Attribute"),
-            (F.col("n") - F.col(f"present_{i}")).alias("MissingValues"),
-            ratio(F.col(f"present_{i}"), F.col("n")).alias("CompletenessMissingValue"),
+            (F.col("cmi_rows") - F.col(f"key_present_{i}")).alias("MissingValues"),
+            ratio(F.col(f"key_present_{i}"), F.col("cmi_rows")).alias("CompletenessMissingValue"),
             F.lit(float(confidence)).alias("Confidence"),
         )
         for i, key in enumerate(keys)
     ]
-    return counted.select(F.inline(F.array(*lines)))
+    return totals.select(F.inline(F.array(*lines)))
+
+
+def completeness_missing_attribute(rows: DataFrame, keys: Keys, confidence: float = 1.0) -> DataFrame:
+    """Missing and present share of each key itself, all keys in one aggregation."""
+    keys = usable_keys(keys)
+    totals = rows.select(*key_presence_inputs(keys)).agg(
+        F.count(F.lit(1)).alias("cmi_rows"), *key_presence_measures(keys)
+    )
+    return completeness_missing_attributes(totals, keys, confidence)
 
 
 def completeness_missing_values(groups: DataFrame, columns: Sequence[str], keys: Keys) -> DataFrame:

@@ -6,13 +6,13 @@ Everything starts from one aggregate: records and first/last instant per hour of
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import at_least_zero, at_most_one, ratio, seconds_between, to_instant
-from .grouping import Keys, group_by_keys, label_of, usable_keys
+from .grouping import Keys, group_by_keys, usable_keys
 
 INSTANT = "instant"
 
@@ -55,6 +55,19 @@ def value_hour_counts(
     )
 
 
+def roll_up_hours(counts: DataFrame, key: str) -> DataFrame:
+    """hour_counts from value_hour_counts: every key's groups cover all rows."""
+    return (
+        counts.filter(F.col("Attribute") == key)
+        .groupBy("Hour")
+        .agg(
+            F.sum("RecordNumber").alias("RecordNumber"),
+            F.min("First").alias("First"),
+            F.max("Last").alias("Last"),
+        )
+    )
+
+
 def _days() -> Column:
     return F.datediff(F.to_date("Last"), F.to_date("First")) + 1
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import column, group_cell, key_part
+from ..functions import group_cell, key_part
 
 Keys = Sequence[Sequence[str]]
 
@@ -29,6 +29,7 @@ def group_by_keys(
     measures: Sequence[Column],
     labels: Sequence[str] | None = None,
     within: Mapping[str, Column] | None = None,
+    total: bool = False,
 ) -> DataFrame:
     """Aggregate ``rows`` by every key in one scan.
 
@@ -36,7 +37,8 @@ def group_by_keys(
     over them; ``within`` names extra grouping columns shared by all keys. The result has
     ``Attribute`` (the key's label), ``Parts`` (its rendered components; groups with
     different components never merge), ``Value`` (the components joined for display),
-    the ``within`` columns and the measures.
+    the ``within`` columns and the measures. With ``total`` one more row, whose Attribute
+    is NULL, holds the measures over all rows.
 
     Typed components are grouped as they are and rendered per group, not per row. Several
     keys become GROUPING SETS. Partial aggregation runs before the shuffle, so a
@@ -57,6 +59,9 @@ def group_by_keys(
     )
 
     sets = list(dict.fromkeys(frozenset(key) for key in keys))
+    whole = frozenset()
+    if total:
+        sets.append(whole)
     group_columns = [*part.values(), *within]
     if len(sets) == 1:
         grouped = staged.groupBy(*group_columns).agg(F.lit(0).alias("key_set"), *measures)
@@ -76,6 +81,9 @@ def group_by_keys(
         return bits
 
     def views(members: frozenset) -> Column:
+        if members == whole:
+            unnamed = F.lit(None).cast("string").alias("Attribute")
+            return F.array(F.struct(unnamed, F.array().cast("array<string>").alias("Parts")))
         return F.array(
             *[
                 F.struct(

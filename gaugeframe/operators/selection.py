@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bound_instant, column, data_type, to_instant
+from ..functions import bound_instant, column, data_type, key_part, to_instant
 
 COMPARE_MODES = ("string", "typed")
 BUCKETS = 10_000
@@ -115,10 +115,10 @@ def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
 
 def sample_by_key(df: DataFrame, name: str, fraction: float) -> DataFrame:
-    """Sample decided by a hash of one column: equal keys are kept or dropped together,
-    and a rerun or a recomputed partition picks the same rows."""
+    """Sample decided by a hash of one column's text: equal keys (NULL included) are kept
+    or dropped together, and a rerun or a recomputed partition picks the same rows."""
     check_fraction(fraction)
-    prefix = F.substring(F.md5(column(name).cast("string")), 1, 8)
+    prefix = F.substring(F.md5(key_part(column(name))), 1, 8)
     bucket = F.conv(prefix, 16, 10).cast("bigint") % BUCKETS
     return df.filter(bucket < round(fraction * BUCKETS))
 

@@ -1,8 +1,8 @@
 """A whole assessment in a handful of scans.
 
-The source is read once for all row-level totals, once for all key values of all
-dimensions, and once each for frequency, rules and duplicates. These aggregates are
-stored in the shared folder; every published table is a small step on top of them.
+The source is read once for the totals and the key values of all dimensions, and once
+each for frequency, rules and duplicates. These aggregates are stored in the shared
+folder; every published table is a small step on top of them.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from ..operators.accuracy import (
     accuracy_values,
 )
 from ..operators.completeness import (
-    completeness_missing_attribute,
+    completeness_missing_attributes,
     completeness_missing_values,
+    key_presence_inputs,
+    key_presence_measures,
     missing_inputs,
     missing_measures,
     missing_metrics,
@@ -49,6 +51,7 @@ from ..operators.frequency import (
     frequency_hour,
     frequency_value,
     hour_counts,
+    roll_up_hours,
     value_hour_counts,
 )
 from ..operators.grouping import group_by_keys, label_of, usable_keys
@@ -131,11 +134,16 @@ class _Run:
         self.complete_rows = drop_incomplete(self.rows)
         self.complete = complete_row(self.columns)
         self.confidence = float(config.sample_fraction)
+        self.all_keys = usable_keys(config.keys)
         self.keys = usable_keys(config.keys, config.timestamps)
         self.targets = config.accuracy_targets()
         self.numbers = config.precision_columns()
         self.times = config.time_columns()
-        self.keep = store if stored else (lambda df, name: df)
+        self.stored = stored
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Store a shared aggregate, or leave it lazy."""
+        return store(df, name) if self.stored else df
 
     def wants(self, dimension: str, *levels: str) -> bool:
         return any(self.config.wants(dimension, level) for level in levels)
@@ -144,158 +152,188 @@ class _Run:
         return table.select(F.lit(name).alias("Column"), "*")
 
 
-def _totals(run: _Run) -> tuple[list[Column], list[Column], list[Column]]:
-    """Inputs, measures and metrics of every global number one scan can give."""
-    inputs, measures, metrics = [], [], []
+def _measures(run: _Run, levels: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """Row inputs and aggregates of every dimension wanted at one of the levels."""
+    inputs, measures = [run.complete.alias("complete")], volume_measures(F.col("complete"))
+    policy = run.config.on_invalid
+    if run.targets and run.wants("Accuracy", *levels):
+        inputs += accuracy_inputs(run.rows, run.targets, policy, run.complete)
+        measures += accuracy_measures(run.targets)
+    if run.numbers and run.wants("Precision", *levels):
+        inputs += precision_inputs(run.rows, run.numbers, policy, run.complete)
+        measures += precision_measures(run.numbers)
+    if run.times and run.wants("Timeliness", *levels):
+        inputs += timeliness_inputs(run.rows, run.times, run.now, policy, run.complete)
+        measures += timeliness_measures(run.times)
+    if run.wants("Completeness_Missing", *levels):
+        inputs += missing_inputs(run.rows, run.columns)
+        measures += missing_measures()
+        if "attribute" in levels and run.wants("Completeness_Missing", "attribute"):
+            inputs += key_presence_inputs(run.all_keys)
+            measures += key_presence_measures(run.all_keys)
+    return inputs, measures
+
+
+def _totalled(run: _Run) -> bool:
+    """Whether some wanted number comes from the totals over all rows."""
+    return (
+        (bool(run.targets) and run.wants("Accuracy", "global"))
+        or (bool(run.numbers) and run.wants("Precision", "global"))
+        or (bool(run.times) and run.wants("Timeliness", "global"))
+        or (bool(run.all_keys) and run.wants("Completeness_Missing", "attribute"))
+        or run.wants("Completeness_Missing", "global")
+        or run.wants("Volume", "global")
+    )
+
+
+def _grouped(run: _Run) -> bool:
+    """Whether some wanted table is per key or key value."""
+    return bool(run.keys) and (
+        (bool(run.targets) and run.wants("Accuracy", "attribute", "value"))
+        or (bool(run.numbers) and run.wants("Precision", "attribute", "value"))
+        or (bool(run.times) and run.wants("Timeliness", "attribute", "value"))
+        or run.wants("Completeness_Missing", "value")
+        or run.wants("Volume", "value")
+        or run.wants("Distinctness", "attribute")
+        or run.wants("Completeness_Population", "attribute")
+    )
+
+
+def _aggregates(run: _Run) -> tuple[DataFrame, DataFrame | None]:
+    """One row of totals, and the measures per key value (None when no table needs them).
+
+    A stored run gets both from a single scan: the totals are one more grouping set.
+    """
+    if not _grouped(run):
+        if not _totalled(run):
+            return run.source.sparkSession.range(1), None
+        inputs, measures = _measures(run, ("global", "attribute"))
+        return run.keep(run.rows.select(*inputs).agg(*measures), "totals"), None
+    if run.stored:
+        inputs, measures = _measures(run, ("global", "attribute", "value"))
+        table = run.keep(group_by_keys(run.rows, run.keys, inputs, measures, total=True), "key-groups")
+        return table.filter(F.col("Attribute").isNull()), table.filter(F.col("Attribute").isNotNull())
+    inputs, measures = _measures(run, ("global", "attribute"))
+    totals = run.rows.select(*inputs).agg(*measures)
+    inputs, measures = _measures(run, ("attribute", "value"))
+    return totals, group_by_keys(run.rows, run.keys, inputs, measures)
+
+
+def _frequency(run: _Run) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Frequency per hour of day and per key value, by timestamp column with known rates."""
+    hours, values = {}, {}
+    for i, spec in enumerate(run.times):
+        global_rates = run.metadata.update_rate_global.get(spec.column)
+        value_rates = run.metadata.update_rate_values.get(spec.column)
+        counts = None
+        if run.keys and value_rates is not None and run.wants("Completeness_Frequency", "attribute", "value"):
+            counts = value_hour_counts(
+                run.complete_rows, spec.column, run.keys, run.config.timestamps, spec.format, run.config.on_invalid
+            )
+            counts = run.keep(counts, f"hour-counts-{i}")
+            values[spec.column] = run.keep(
+                frequency_groups(counts, value_rates, run.confidence), f"frequency-{i}"
+            )
+        if global_rates is not None and run.wants("Completeness_Frequency", "global"):
+            if counts is not None and run.stored:
+                per_hour = roll_up_hours(counts, label_of(run.keys[0]))
+            else:
+                per_hour = hour_counts(run.complete_rows, spec.column, spec.format, run.config.on_invalid)
+            hours[spec.column] = run.keep(frequency_hour(per_hour, global_rates, run.confidence), f"hours-{i}")
+    return hours, values
+
+
+def _final_quality(run: _Run, totals: DataFrame, hours: Mapping[str, DataFrame]) -> DataFrame:
+    """One wide row of global metrics with the mean of their confidences."""
+    metrics, row = [], totals
     if run.wants("Volume", "global"):
-        inputs.append(run.complete.alias("complete"))
-        measures += volume_measures(F.col("complete"))
+        row = row.withColumn("vol_total", total_rows(select_columns(run.source, run.columns)))
         metrics += volume_metrics()
     if run.targets and run.wants("Accuracy", "global"):
-        inputs += accuracy_inputs(run.rows, run.targets, run.config.on_invalid, run.complete)
-        measures += accuracy_measures(run.targets)
         metrics += accuracy_metrics(run.targets)
     if run.numbers and run.wants("Precision", "global"):
-        inputs += precision_inputs(run.rows, run.numbers, run.config.on_invalid, run.complete)
-        measures += precision_measures(run.numbers)
         metrics += precision_metrics(run.numbers)
     if run.wants("Completeness_Missing", "global"):
-        inputs += missing_inputs(run.rows, run.columns)
-        measures += missing_measures()
         metrics += missing_metrics(run.columns)
     if run.times and run.wants("Timeliness", "global"):
-        inputs += timeliness_inputs(run.rows, run.times, run.now, run.config.on_invalid, run.complete)
-        measures += timeliness_measures(run.times)
         metrics += timeliness_metrics(run.times, run.now)
-    return inputs, measures, metrics
-
-
-def _hours(run: _Run) -> dict[str, DataFrame]:
-    """Frequency per hour of day for timestamp columns with a known global rate."""
-    out = {}
-    for spec in run.times:
-        rates = run.metadata.update_rate_global.get(spec.column)
-        if rates is not None and run.wants("Completeness_Frequency", "global"):
-            counts = hour_counts(run.complete_rows, spec.column, spec.format, run.config.on_invalid)
-            hours = frequency_hour(counts, rates, run.confidence)
-            out[spec.column] = run.keep(hours, f"hours-{len(out)}")
-    return out
-
-
-def _final_quality(run: _Run, hours: Mapping[str, DataFrame]) -> DataFrame:
-    """One wide row of global metrics with the mean of their confidences."""
-    inputs, measures, metrics = _totals(run)
-    extra = []
     if run.wants("Distinctness", "global"):
-        extra.append(distinctness_global(run.complete_rows, run.columns).scalar().alias("Distinctness"))
+        metrics.append(distinctness_global(run.complete_rows, run.columns).scalar().alias("Distinctness"))
     for name, table in hours.items():
-        extra.append(frequency_global(table, name).scalar().alias(f"Completeness_Frequency_{name}"))
-    if measures:
-        row = run.rows.select(*inputs).agg(*measures)
-        if run.wants("Volume", "global"):
-            row = row.withColumn("vol_total", total_rows(select_columns(run.source, run.columns)))
-    else:
+        metrics.append(frequency_global(table, name).scalar().alias(f"Completeness_Frequency_{name}"))
+    if not metrics:
         row = run.source.sparkSession.range(1)
-    confidences = [run.confidence] * (len(metrics) + len(extra))
+    confidences = [run.confidence] * len(metrics)
     mean = sum(confidences) / len(confidences) if confidences else None
-    wide = row.select(*metrics, *extra, F.lit(mean).cast("double").alias("Confidence"))
-    return run.keep(wide, "final-quality")
+    return run.keep(row.select(*metrics, F.lit(mean).cast("double").alias("Confidence")), "final-quality")
 
 
-def _key_tables(run: _Run) -> dict[str, DataFrame]:
-    """Attribute and value tables that come from one grouping of the rows by all keys."""
+def _key_tables(run: _Run, totals: DataFrame, groups: DataFrame | None) -> dict[str, DataFrame]:
+    """Attribute and value tables that come from the totals and the grouped measures."""
     out: dict[str, DataFrame] = {}
-    if not run.keys:
-        return out
-    missing = run.wants("Completeness_Missing", "value")
-    accuracy = bool(run.targets) and run.wants("Accuracy", "attribute", "value")
-    precision = bool(run.numbers) and run.wants("Precision", "attribute", "value")
-    timeliness = bool(run.times) and run.wants("Timeliness", "attribute", "value")
-    volume = run.wants("Volume", "value")
-    distinct = run.wants("Distinctness", "attribute")
-    population = run.wants("Completeness_Population", "attribute")
-    if not any((missing, accuracy, precision, timeliness, volume, distinct, population)):
+    if run.all_keys and run.wants("Completeness_Missing", "attribute"):
+        out["completeness_missing_attributes"] = completeness_missing_attributes(
+            totals, run.all_keys, run.confidence
+        )
+    if run.wants("Completeness_Population", "attribute") and run.metadata.source_distinctness is None:
+        raise ValueError("Completeness_Population needs the source_distinctness table")
+    if groups is None:
         return out
-
-    inputs, measures = [run.complete.alias("complete")], volume_measures(F.col("complete"))
-    policy = run.config.on_invalid
-    if missing:
-        inputs += missing_inputs(run.rows, run.columns)
-        measures += missing_measures()
-    if accuracy:
-        inputs += accuracy_inputs(run.rows, run.targets, policy, run.complete)
-        measures += accuracy_measures(run.targets)
-    if precision:
-        inputs += precision_inputs(run.rows, run.numbers, policy, run.complete)
-        measures += precision_measures(run.numbers)
-    if timeliness:
-        inputs += timeliness_inputs(run.rows, run.times, run.now, policy, run.complete)
-        measures += timeliness_measures(run.times)
-
-    rows = run.rows if missing else run.complete_rows
-    groups = run.keep(group_by_keys(rows, run.keys, inputs, measures), "key-groups")
     seen = groups.filter(F.col("vol_rows") > 0)
 
-    if missing:
+    if run.wants("Completeness_Missing", "value"):
         out["completeness_missing_values"] = completeness_missing_values(groups, run.columns, run.keys)
-    if accuracy:
+    if run.targets and run.wants("Accuracy", "attribute", "value"):
         values = accuracy_values(seen, run.targets, run.keys)
         if run.wants("Accuracy", "value"):
             out["accuracy_values"] = values
         if run.wants("Accuracy", "attribute"):
             out["accuracy_attributes"] = accuracy_attribute(values, run.confidence)
-    if precision:
-        extremes = seen.agg(
-            *[F.min(f"pre_low_{i}").alias(f"pre_low_{i}") for i in range(len(run.numbers))],
-            *[F.max(f"pre_high_{i}").alias(f"pre_high_{i}") for i in range(len(run.numbers))],
-        )
+    if run.numbers and run.wants("Precision", "attribute", "value"):
+        extremes = totals
+        if not run.stored:
+            numbers = precision_inputs(run.rows, run.numbers, run.config.on_invalid, run.complete)
+            extremes = run.rows.select(*numbers).agg(*precision_measures(run.numbers))
         values = precision_values(seen, run.numbers, run.keys, extremes)
         if run.wants("Precision", "value"):
             out["precision_values"] = values
         if run.wants("Precision", "attribute"):
             out["precision_attributes"] = precision_attribute(values, run.confidence)
-    if timeliness:
+    if run.times and run.wants("Timeliness", "attribute", "value"):
         signed = timeliness_signed(seen, run.times, run.keys, run.now)
         if run.wants("Timeliness", "value"):
             out["timeliness_values"] = timeliness_value(signed)
         if run.wants("Timeliness", "attribute"):
             out["timeliness_attributes"] = timeliness_attribute(signed, run.confidence)
-    if volume:
-        total = total_rows(select_columns(run.source, run.columns))
-        out["volume_values"] = volume_values(seen, total)
-    if distinct or population:
-        cardinality = key_cardinality(seen)
-        if distinct:
-            out["distinctness_attributes"] = distinctness_attributes(cardinality, run.confidence)
-        if population:
-            known = run.metadata.source_distinctness
-            if known is None:
-                raise ValueError("Completeness_Population needs the source_distinctness table")
-            single = [label_of(key) for key in run.keys if len(key) == 1]
-            if single:
-                out["completeness_population_attributes"] = population_attributes(
-                    cardinality, known, single, run.confidence
-                )
+    if run.wants("Volume", "value"):
+        out["volume_values"] = volume_values(seen, total_rows(select_columns(run.source, run.columns)))
+    cardinality = key_cardinality(seen)
+    if run.wants("Distinctness", "attribute"):
+        out["distinctness_attributes"] = distinctness_attributes(cardinality, run.confidence)
+    single = [label_of(key) for key in run.keys if len(key) == 1]
+    if single and run.wants("Completeness_Population", "attribute"):
+        out["completeness_population_attributes"] = population_attributes(
+            cardinality, run.metadata.source_distinctness, single, run.confidence
+        )
     return out
 
 
-def _frequency_tables(run: _Run) -> dict[str, DataFrame]:
-    values, attributes = [], []
-    for i, spec in enumerate(run.times):
-        rates = run.metadata.update_rate_values.get(spec.column)
-        if rates is None or not run.keys or not run.wants("Completeness_Frequency", "attribute", "value"):
-            continue
-        counts = value_hour_counts(
-            run.complete_rows, spec.column, run.keys, run.config.timestamps, spec.format, run.config.on_invalid
-        )
-        groups = run.keep(frequency_groups(counts, rates, run.confidence), f"frequency-{i}")
-        values.append(run.with_column(frequency_value(groups), spec.column))
-        attributes.append(run.with_column(frequency_attribute(groups, run.confidence), spec.column))
+def _frequency_tables(
+    run: _Run, hours: Mapping[str, DataFrame], values: Mapping[str, DataFrame]
+) -> dict[str, DataFrame]:
     out = {}
+    if hours:
+        out["completeness_frequency_global_hour"] = _union(
+            [run.with_column(table, name) for name, table in hours.items()]
+        )
     if values and run.wants("Completeness_Frequency", "value"):
-        out["completeness_frequency_values"] = _union(values)
-    if attributes and run.wants("Completeness_Frequency", "attribute"):
-        out["completeness_frequency_attributes"] = _union(attributes)
+        out["completeness_frequency_values"] = _union(
+            [run.with_column(frequency_value(groups), name) for name, groups in values.items()]
+        )
+    if values and run.wants("Completeness_Frequency", "attribute"):
+        out["completeness_frequency_attributes"] = _union(
+            [run.with_column(frequency_attribute(groups, run.confidence), name) for name, groups in values.items()]
+        )
     return out
 
 
@@ -361,18 +399,11 @@ def assess(
     shared folder. Without it everything stays lazy and each table plans its own scan.
     """
     run = _Run(source, config, now, metadata or SourceMetadata(), stored)
-    hours = _hours(run)
-    tables = {"final_quality": _final_quality(run, hours)}
-    if hours:
-        tables["completeness_frequency_global_hour"] = _union(
-            [run.with_column(table, name) for name, table in hours.items()]
-        )
-    if config.keys and config.wants("Completeness_Missing", "attribute"):
-        tables["completeness_missing_attributes"] = completeness_missing_attribute(
-            run.rows, config.keys, run.confidence
-        )
-    tables.update(_key_tables(run))
-    tables.update(_frequency_tables(run))
+    totals, groups = _aggregates(run)
+    hours, values = _frequency(run)
+    tables = {"final_quality": _final_quality(run, totals, hours)}
+    tables.update(_key_tables(run, totals, groups))
+    tables.update(_frequency_tables(run, hours, values))
     tables.update(_rule_tables(run))
     if any(config.wants(d, "tuple") for d in ("Completeness_Missing", "Timeliness", "Consistency")):
         tables["extended_dataset"] = extended_dataset(source, config, now, allow_lists)
@@ -387,7 +418,12 @@ def final_quality(
 ) -> DataFrame:
     """Only the wide row of global metrics, lazily."""
     run = _Run(source, config, now, metadata or SourceMetadata(), stored=False)
-    return _final_quality(run, _hours(run))
+    totals = source.sparkSession.range(1)
+    if _totalled(run):
+        inputs, measures = _measures(run, ("global",))
+        totals = run.rows.select(*inputs).agg(*measures)
+    hours, _ = _frequency(run)
+    return _final_quality(run, totals, hours)
 
 
 def long_report(wide: DataFrame) -> DataFrame:

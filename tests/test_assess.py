@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeframe import AssessmentConfig, SourceMetadata, assess, final_quality, write_assessment
 from gaugeframe import operators as op
 from gaugeframe.plans import DIMENSIONS, extended_dataset, long_report, mean_confidence
-from helpers import by, one, rows
+from helpers import one, rows
 
 NOW = dt.datetime(2024, 2, 1)
 ALL = ["global", "attribute", "value", "tuple"]
