@@ -10,6 +10,7 @@ from .consistency import (
     consistency_attribute,
     consistency_value,
     parse_rule,
+    rule_keys,
     rule_scores,
     rule_set,
     rule_table,
@@ -31,6 +32,7 @@ from .frequency import (
     update_rate_values,
     value_hour_counts,
 )
+from .grouping import large_keys
 from .precision import precision_attribute, precision_global, precision_value
 from .selection import (
     drop_incomplete,

@@ -87,12 +87,12 @@ def accuracy_value(
     keys: Keys,
     timestamps: Iterable[str] = (),
     on_invalid: str = "fail",
+    apart: Iterable[int] = (),
 ) -> DataFrame:
     """Accuracy per target and key value."""
     keys = usable_keys(keys, timestamps)
-    groups = group_by_keys(
-        rows, keys, accuracy_inputs(rows, targets, on_invalid), accuracy_measures(targets)
-    )
+    inputs = accuracy_inputs(rows, targets, on_invalid)
+    groups = group_by_keys(rows, keys, inputs, accuracy_measures(targets), apart=apart)
     return accuracy_values(groups, targets, keys)
 
 

@@ -80,19 +80,17 @@ def completeness_missing_attribute(rows: DataFrame, keys: Keys, confidence: floa
     return completeness_missing_attributes(totals, keys, confidence)
 
 
-def completeness_missing_values(groups: DataFrame, columns: Sequence[str], keys: Keys) -> DataFrame:
+def completeness_missing_values(groups: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Shape grouped measures into the value table: the group's cells outside its key.
 
     All rows of a group share their key components, so the present cells of the key are
     ``rows x non-missing components`` and need no aggregate of their own.
     """
-    width = {label_of(key): len(set(key)) for key in keys}
-    size = F.coalesce(*[F.when(F.col("Attribute") == label, n) for label, n in width.items()])
     in_key = F.size(F.filter("Parts", lambda part: ~is_missing_text(part)))
     shaped = groups.filter(~is_missing_text(F.col("Value"))).select(
         "Attribute",
         "Value",
-        (F.col("cmi_rows") * (F.lit(len(columns)) - size)).alias("cells"),
+        (F.col("cmi_rows") * (F.lit(len(columns)) - F.size("Parts"))).alias("cells"),
         (F.col("cmi_present") - F.col("cmi_rows") * in_key).alias("present"),
     )
     return shaped.select(
@@ -104,12 +102,16 @@ def completeness_missing_values(groups: DataFrame, columns: Sequence[str], keys:
 
 
 def completeness_missing_value(
-    rows: DataFrame, columns: Sequence[str], keys: Keys, timestamps: Iterable[str] = ()
+    rows: DataFrame,
+    columns: Sequence[str],
+    keys: Keys,
+    timestamps: Iterable[str] = (),
+    apart: Iterable[int] = (),
 ) -> DataFrame:
     """Missing cells and present share of the other columns, per key value."""
     keys = usable_keys(keys, timestamps)
-    groups = group_by_keys(rows, keys, missing_inputs(rows, columns), missing_measures())
-    return completeness_missing_values(groups, columns, keys)
+    groups = group_by_keys(rows, keys, missing_inputs(rows, columns), missing_measures(), apart=apart)
+    return completeness_missing_values(groups, columns)
 
 
 def row_completeness(

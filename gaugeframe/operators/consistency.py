@@ -45,18 +45,24 @@ def rule_table(stored: DataFrame | None, custom: DataFrame | None = None) -> Dat
     return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
 
 
-def rule_scores(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def rule_keys(rules: Sequence[Rule]) -> list[tuple[str, ...]]:
+    """The columns each rule groups by."""
+    return [x + y for x, y in rules]
+
+
+def rule_scores(rows: DataFrame, rules: Sequence[Rule], apart: Iterable[int] = ()) -> DataFrame:
     """Majority share of the consequent per rule and antecedent value.
 
-    Pair counts of all rules come from one pass; the roll-up to the antecedent moves
+    Pair counts of the rules come from one pass, but for those in ``apart``; the roll-up to the antecedent moves
     counts only and combines them map-side, so a dominant antecedent is harmless.
     """
     pairs = group_by_keys(
         rows,
-        [x + y for x, y in rules],
+        rule_keys(rules),
         [],
         [F.count(F.lit(1)).alias("n")],
         labels=[str(i) for i in range(len(rules))],
+        apart=apart,
     )
     number = F.col("Attribute").cast("int")
     width = F.element_at(F.array(*[F.lit(len(x)) for x, _ in rules]), number + 1)

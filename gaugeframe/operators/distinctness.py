@@ -47,14 +47,18 @@ def distinctness_attributes(cardinality: DataFrame, confidence: float = 1.0) ->
 
 
 def distinctness_attribute(
-    rows: DataFrame, keys: Keys, timestamps: Iterable[str] = (), confidence: float = 1.0
+    rows: DataFrame,
+    keys: Keys,
+    timestamps: Iterable[str] = (),
+    confidence: float = 1.0,
+    apart: Iterable[int] = (),
 ) -> DataFrame:
     """Exact distinct key values over rows, per key.
 
     Two levels: group by the key (partial aggregation before the shuffle), then count the
     groups; no task ever holds a set of values.
     """
-    groups = group_by_keys(rows, usable_keys(keys, timestamps), [], volume_measures())
+    groups = group_by_keys(rows, usable_keys(keys, timestamps), [], volume_measures(), apart=apart)
     return distinctness_attributes(key_cardinality(groups), confidence)
 
 
@@ -75,11 +79,19 @@ def population_attributes(
 
 
 def completeness_population(
-    rows: DataFrame, known: DataFrame, keys: Keys, timestamps: Iterable[str] = (), confidence: float = 1.0
+    rows: DataFrame,
+    known: DataFrame,
+    keys: Keys,
+    timestamps: Iterable[str] = (),
+    confidence: float = 1.0,
+    apart: Iterable[int] = (),
 ) -> DataFrame:
-    """Distinct values now over distinct values known, per single-column key."""
+    """Distinct values now over distinct values known, per single-column key.
+
+    ``apart`` counts positions among the single-column keys.
+    """
     single = [key for key in usable_keys(keys, timestamps) if len(key) == 1]
-    groups = group_by_keys(rows, single, [], volume_measures())
+    groups = group_by_keys(rows, single, [], volume_measures(), apart=apart)
     return population_attributes(
         key_cardinality(groups), known, [label_of(key) for key in single], confidence
     )

@@ -45,13 +45,14 @@ def value_hour_counts(
     timestamps: Iterable[str] | None = None,
     time_format: str | None = None,
     on_invalid: str = "fail",
+    apart: Iterable[int] = (),
 ) -> DataFrame:
-    """The same per key value and hour, all keys in one pass."""
+    """The same per key value and hour, for all keys."""
     keys = usable_keys(keys, [timestamp, *(timestamps or ())])
     instant = to_instant(rows, timestamp, time_format, on_invalid)
     known = rows.withColumn(INSTANT, instant).filter(F.col(INSTANT).isNotNull())
     return group_by_keys(
-        known, keys, [F.col(INSTANT)], _measures(), within={"Hour": F.hour(INSTANT)}
+        known, keys, [F.col(INSTANT)], _measures(), within={"Hour": F.hour(INSTANT)}, apart=apart
     )
 
 

@@ -1,4 +1,4 @@
-"""One aggregation pass for many grouping keys."""
+"""Aggregation by many grouping keys in as few scans as pay off."""
 
 from __future__ import annotations
 
@@ -19,7 +19,26 @@ def label_of(key: Sequence[str]) -> str:
 def usable_keys(keys: Keys, excluded: Iterable[str] = ()) -> list[tuple[str, ...]]:
     """Distinct keys that touch none of the excluded columns, in the given order."""
     excluded = set(excluded)
-    return [k for k in dict.fromkeys(tuple(key) for key in keys) if not excluded & set(k)]
+    usable = [k for k in dict.fromkeys(tuple(key) for key in keys) if not excluded & set(k)]
+    if len({label_of(key) for key in usable}) != len(usable):
+        raise ValueError(f"two keys of {usable} have the same label")
+    return usable
+
+
+def large_keys(rows: DataFrame, keys: Keys, limit: int = 100_000) -> list[int]:
+    """Positions of the keys with more than about ``limit`` distinct values.
+
+    One scan of the key columns with a sketch per key and a single collected row. Worth
+    it before a pass over many keys: see ``apart`` of group_by_keys.
+    """
+    if len(keys) < 2:
+        return []
+    sketches = [
+        F.approx_count_distinct(F.xxhash64(*[group_cell(rows, name) for name in key])).alias(f"key_{i}")
+        for i, key in enumerate(keys)
+    ]
+    sizes = rows.agg(*sketches).first()
+    return [i for i in range(len(keys)) if sizes[i] > limit]
 
 
 def group_by_keys(
@@ -30,8 +49,9 @@ def group_by_keys(
     labels: Sequence[str] | None = None,
     within: Mapping[str, Column] | None = None,
     total: bool = False,
+    apart: Iterable[int] = (),
 ) -> DataFrame:
-    """Aggregate ``rows`` by every key in one scan.
+    """Aggregate ``rows`` by every key, in one scan unless ``apart`` says otherwise.
 
     ``inputs`` are aliased expressions evaluated once per row; ``measures`` are aggregates
     over them; ``within`` names extra grouping columns shared by all keys. The result has
@@ -43,13 +63,45 @@ def group_by_keys(
     Typed components are grouped as they are and rendered per group, not per row. Several
     keys become GROUPING SETS. Partial aggregation runs before the shuffle, so a
     hot key value reaches the reducers as one row per map task.
+
+    Keys at the positions in ``apart`` get a scan of their own (keys over the same columns
+    share it). That pays for keys with so many values that a map task cannot combine
+    them: in a shared pass they crowd out the other keys and make the whole partial
+    aggregation spill and sort.
     """
     keys = [tuple(key) for key in keys]
     if not keys:
         raise ValueError("at least one grouping key is needed")
     labels = list(labels) if labels is not None else [label_of(key) for key in keys]
-    within = dict(within or {})
+    columns_apart = {frozenset(keys[i]) for i in apart}
+    passes: dict[frozenset, list[int]] = {}
+    for i, key in enumerate(keys):
+        columns = frozenset(key)
+        passes.setdefault(columns if columns in columns_apart else frozenset(), []).append(i)
+    out = None
+    for positions in passes.values():
+        grouped = _one_pass(
+            rows,
+            [keys[i] for i in positions],
+            [labels[i] for i in positions],
+            inputs,
+            measures,
+            dict(within or {}),
+            total and out is None,
+        )
+        out = grouped if out is None else out.unionByName(grouped)
+    return out
 
+
+def _one_pass(
+    rows: DataFrame,
+    keys: Keys,
+    labels: Sequence[str],
+    inputs: Sequence[Column],
+    measures: Sequence[Column],
+    within: Mapping[str, Column],
+    total: bool,
+) -> DataFrame:
     names = list(dict.fromkeys(name for key in keys for name in key))
     part = {name: f"part_{i}" for i, name in enumerate(names)}
     staged = rows.select(
@@ -81,6 +133,7 @@ def group_by_keys(
         return bits
 
     def views(members: frozenset) -> Column:
+        """The keys over these columns (in any order) with their rendered components."""
         if members == whole:
             unnamed = F.lit(None).cast("string").alias("Attribute")
             return F.array(F.struct(unnamed, F.array().cast("array<string>").alias("Parts")))

@@ -91,12 +91,13 @@ def precision_value(
     keys: Keys,
     timestamps: Iterable[str] = (),
     on_invalid: str = "fail",
+    apart: Iterable[int] = (),
 ) -> DataFrame:
     """Mean, precision and deviation per column and key value."""
     keys = usable_keys(keys, timestamps)
     inputs = precision_inputs(rows, columns, on_invalid)
     measures = precision_measures(columns)
-    groups = group_by_keys(rows, keys, inputs, measures)
+    groups = group_by_keys(rows, keys, inputs, measures, apart=apart)
     return precision_values(groups, columns, keys, rows.select(*inputs).agg(*measures))
 
 

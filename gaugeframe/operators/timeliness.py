@@ -108,12 +108,12 @@ def timeliness_groups(
     now: dt.datetime | str,
     timestamps: Iterable[str] | None = None,
     on_invalid: str = "fail",
+    apart: Iterable[int] = (),
 ) -> DataFrame:
     """Signed group statistics; ``timestamps`` defaults to the analysed columns."""
     keys = usable_keys(keys, [s.column for s in specs] if timestamps is None else timestamps)
-    groups = group_by_keys(
-        rows, keys, timeliness_inputs(rows, specs, now, on_invalid), timeliness_measures(specs)
-    )
+    inputs = timeliness_inputs(rows, specs, now, on_invalid)
+    groups = group_by_keys(rows, keys, inputs, timeliness_measures(specs), apart=apart)
     return timeliness_signed(groups, specs, keys, now)
 
 

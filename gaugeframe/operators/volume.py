@@ -43,7 +43,13 @@ def volume_values(groups: DataFrame, total: Column) -> DataFrame:
     )
 
 
-def volume_value(rows: DataFrame, source: DataFrame, keys: Keys, timestamps: Iterable[str] = ()) -> DataFrame:
+def volume_value(
+    rows: DataFrame,
+    source: DataFrame,
+    keys: Keys,
+    timestamps: Iterable[str] = (),
+    apart: Iterable[int] = (),
+) -> DataFrame:
     """Rows and share of the source's rows per key value."""
-    groups = group_by_keys(rows, usable_keys(keys, timestamps), [], volume_measures())
+    groups = group_by_keys(rows, usable_keys(keys, timestamps), [], volume_measures(), apart=apart)
     return volume_values(groups, total_rows(source))

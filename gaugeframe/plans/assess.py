@@ -36,6 +36,7 @@ from ..operators.consistency import (
     association_consistency,
     consistency_attribute,
     consistency_value,
+    rule_keys,
     rule_scores,
 )
 from ..operators.distinctness import (
@@ -54,7 +55,7 @@ from ..operators.frequency import (
     roll_up_hours,
     value_hour_counts,
 )
-from ..operators.grouping import group_by_keys, label_of, usable_keys
+from ..operators.grouping import group_by_keys, label_of, large_keys, usable_keys
 from ..operators.precision import (
     precision_attribute,
     precision_inputs,
@@ -140,11 +141,21 @@ class _Run:
         self.numbers = config.precision_columns()
         self.times = config.time_columns()
         self.stored = stored
+        self.measured: dict[tuple, list[int]] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Store a shared aggregate, or leave it lazy."""
         return store(df, name) if self.stored else df
 
+    def large(self, keys: Sequence[Sequence[str]]) -> list[int]:
+        """Keys that get a scan of their own; a lazy run does not look at the data."""
+        if not self.stored:
+            return []
+        wanted = tuple(tuple(key) for key in keys)
+        if wanted not in self.measured:
+            self.measured[wanted] = large_keys(self.rows, wanted)
+        return self.measured[wanted]
+
     def wants(self, dimension: str, *levels: str) -> bool:
         return any(self.config.wants(dimension, level) for level in levels)
 
@@ -211,7 +222,8 @@ def _aggregates(run: _Run) -> tuple[DataFrame, DataFrame | None]:
         return run.keep(run.rows.select(*inputs).agg(*measures), "totals"), None
     if run.stored:
         inputs, measures = _measures(run, ("global", "attribute", "value"))
-        table = run.keep(group_by_keys(run.rows, run.keys, inputs, measures, total=True), "key-groups")
+        grouped = group_by_keys(run.rows, run.keys, inputs, measures, total=True, apart=run.large(run.keys))
+        table = run.keep(grouped, "key-groups")
         return table.filter(F.col("Attribute").isNull()), table.filter(F.col("Attribute").isNotNull())
     inputs, measures = _measures(run, ("global", "attribute"))
     totals = run.rows.select(*inputs).agg(*measures)
@@ -228,7 +240,13 @@ def _frequency(run: _Run) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
         counts = None
         if run.keys and value_rates is not None and run.wants("Completeness_Frequency", "attribute", "value"):
             counts = value_hour_counts(
-                run.complete_rows, spec.column, run.keys, run.config.timestamps, spec.format, run.config.on_invalid
+                run.complete_rows,
+                spec.column,
+                run.keys,
+                run.config.timestamps,
+                spec.format,
+                run.config.on_invalid,
+                run.large(run.keys),
             )
             counts = run.keep(counts, f"hour-counts-{i}")
             values[spec.column] = run.keep(
@@ -282,7 +300,7 @@ def _key_tables(run: _Run, totals: DataFrame, groups: DataFrame | None) -> dict[
     seen = groups.filter(F.col("vol_rows") > 0)
 
     if run.wants("Completeness_Missing", "value"):
-        out["completeness_missing_values"] = completeness_missing_values(groups, run.columns, run.keys)
+        out["completeness_missing_values"] = completeness_missing_values(groups, run.columns)
     if run.targets and run.wants("Accuracy", "attribute", "value"):
         values = accuracy_values(seen, run.targets, run.keys)
         if run.wants("Accuracy", "value"):
@@ -346,7 +364,8 @@ def _rule_tables(run: _Run) -> dict[str, DataFrame]:
         raise ValueError(f"rule columns {unknown} are not among the assessed columns")
     if not rules:
         return {}
-    scores = run.keep(rule_scores(run.complete_rows, rules), "rules")
+    apart = run.large(rule_keys(rules))
+    scores = run.keep(rule_scores(run.complete_rows, rules, apart), "rules")
     out = {}
     if run.wants("Consistency", "value"):
         out["consistency_values"] = consistency_value(scores)

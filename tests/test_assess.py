@@ -1,6 +1,7 @@
 """The fused assessment gives the tables of the separate operators."""
 
 import datetime as dt
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,13 @@ def test_lazy_and_stored_assessments_agree(tables, events, metadata, allowed):
         same(tables[name], lazy[name])
 
 
+def test_large_keys_apart_do_not_change_a_stored_assessment(tables, events, metadata, monkeypatch):
+    monkeypatch.setattr(sys.modules["gaugeframe.plans.assess"], "large_keys", lambda rows, keys: list(range(len(keys))))
+    apart = assess(events, settings(), NOW, metadata)
+    for name in set(tables) - {"extended_dataset"}:
+        same(tables[name], apart[name])
+
+
 def test_counts_of_a_key_add_up(tables):
     total = one(tables["final_quality"])["Volume(TotalRows)"]
     sums = tables["volume_values"].groupBy("Attribute").agg(F.sum("Count").alias("n"))

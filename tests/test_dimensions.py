@@ -141,12 +141,42 @@ def test_two_keys_over_the_same_columns(spark):
     }
 
 
+def test_keys_apart_give_the_same_groups(table):
+    lines = table("lineitem")
+    keys = [["l_returnflag"], ["l_orderkey", "l_returnflag"], ["l_suppkey"]]
+    assert op.large_keys(lines, keys, limit=500) == [1]
+    assert op.large_keys(lines, keys[1:2], limit=500) == []
+
+    def found(**options):
+        return by(op.volume_value(lines, lines, keys, **options), "Attribute", "Value")
+
+    together = found()
+    assert found(apart=[1]) == together and found(apart=[0, 1, 2]) == together
+    rules = op.rule_set(["l_returnflag:l_linestatus", "l_orderkey:l_returnflag"])
+
+    def scores(apart):
+        return by(op.rule_scores(lines, rules, apart), "rule", "AntecedentValue")
+
+    assert scores([1]) == scores([]) and scores([0, 1]) == scores([])
+
+
+def test_keys_with_one_label_are_rejected(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, a_b int")
+    with pytest.raises(ValueError):
+        op.volume_value(df, df, [["a", "b"], ["a_b"]])
+
+
 # --- timeliness
 
 
 def test_timeliness_clamps_after_aggregation(spark):
     df = spark.createDataFrame(
-        [("a", "2020-01-01 12:00:00"), ("a", "2019-12-31 00:00:00"), ("b", "2019-12-01 00:00:00"), ("c", "2020-01-03 00:00:00")],
+        [
+            ("a", "2020-01-01 12:00:00"),
+            ("a", "2019-12-31 00:00:00"),
+            ("b", "2019-12-01 00:00:00"),
+            ("c", "2020-01-03 00:00:00"),
+        ],
         "k string, t string",
     )
     spec = [op.TimeColumn("t", 24, "%Y-%m-%d %H:%M:%S")]
