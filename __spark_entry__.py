@@ -48,6 +48,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 # --- inputs of the queries ---------------------------------------------------------
 
 ACCURACY = [op.AccuracyTarget("l_quantity", 25, 40), op.AccuracyTarget("l_discount", 0.05, 0.06)]
+LINE_COLUMNS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
 LINE_KEYS = [["l_returnflag"], ["l_returnflag", "l_linestatus"], ["l_suppkey"]]
 CUSTOMER_KEYS = [["c_mktsegment"], ["c_nationkey"]]
 DIRTY_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
@@ -120,18 +121,16 @@ def _allow_lists(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [in_debt, nations.select(F.col("n_nationkey").alias("c_nationkey"))]
 
 
-def _line_config() -> plans.AssessmentConfig:
+def _line_config(level: str) -> plans.AssessmentConfig:
+    """Line items of two return flags and two ranges of quantity, at one granularity."""
+    dimensions = ["Volume", "Accuracy", "Precision", "Completeness_Missing", "Timeliness"]
+    if level == "global":
+        dimensions += ["Distinctness", "Completeness_Frequency"]
     return plans.AssessmentConfig(
-        columns=["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"],
+        columns=LINE_COLUMNS,
         keys=[["l_returnflag"], ["l_linestatus", "l_returnflag"], ["l_quantity"]],
-        dimensions=[
-            "Volume", "Accuracy", "Precision", "Completeness_Missing", "Distinctness", "Timeliness",
-            "Completeness_Frequency", "Consistency",
-        ],
-        granularity={
-            name: ["global", "attribute", "value"]
-            for name in ("Volume", "Accuracy", "Precision", "Completeness_Missing", "Distinctness", "Timeliness")
-        },
+        dimensions=dimensions,
+        granularity={name: [level] for name in dimensions},
         values={"l_returnflag": ["A", "N"]},
         intervals={"l_quantity": [(1, 10), (20, None)]},
         compare="typed",
@@ -140,7 +139,6 @@ def _line_config() -> plans.AssessmentConfig:
         numeric_columns=["l_quantity", "l_extendedprice"],
         timestamps={"l_shipdate": None},
         volatility_hours={"l_shipdate": 100_000},
-        rules=["l_returnflag:l_linestatus"],
     )
 
 
@@ -151,7 +149,7 @@ def _line_metadata(lineitem: DataFrame) -> plans.SourceMetadata:
 
 def _final_quality(spark: SparkSession, folder: str) -> DataFrame:
     lineitem = _table(spark, folder, "lineitem")
-    return _rounded(plans.final_quality(lineitem, _line_config(), SHIP_NOW, _line_metadata(lineitem)))
+    return _rounded(plans.final_quality(lineitem, _line_config("global"), SHIP_NOW, _line_metadata(lineitem)))
 
 
 # --- queries -----------------------------------------------------------------------
@@ -207,9 +205,8 @@ def _customers_of_region(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _assessed_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Value tables of the fused assessment as one long table."""
-    lineitem = _table(spark, folder, "lineitem")
-    tables = plans.assess(lineitem, _line_config(), SHIP_NOW, _line_metadata(lineitem), stored=False)
+    """Value tables of a stored assessment as one long table."""
+    tables = plans.assess(_table(spark, folder, "lineitem"), _line_config("value"), SHIP_NOW)
 
     def lines(name: str, metrics: list[str]) -> DataFrame:
         table = tables[name]
@@ -348,7 +345,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "association_consistency_tuple": lambda s, d: _rounded(_association(s, d)),
         "select_interval_string": _on(
             "orders",
-            lambda t: op.filter_intervals(t.select("o_orderkey", "o_custkey"), {"o_custkey": [("100", "20")]}),
+            lambda t: op.filter_intervals(
+                t.select("o_orderkey", "o_totalprice"), {"o_totalprice": [("100", "20"), ("9", "")]}
+            ),
         ),
         "select_interval_typed": _on(
             "lineitem",
@@ -553,7 +552,6 @@ LINES = (
     "WITH seen AS (SELECT l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_shipdate "
     "FROM lineitem WHERE l_returnflag IN ('A', 'N') AND (l_quantity BETWEEN 1 AND 10 OR l_quantity >= 20))"
 )
-LINE_COLUMNS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def _final_quality_sql() -> str:
@@ -733,8 +731,8 @@ def oracle_sql() -> dict[str, str]:
         "WHERE c_acctbal < 0) THEN 1 ELSE 0 END + CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation JOIN "
         "region ON n_regionkey = r_regionkey WHERE r_name IN ('AFRICA', 'AMERICA', 'ASIA')) THEN 1 ELSE 0 END) / 2 "
         'AS "ASSOCIATION_CONSISTENCY" FROM customer',
-        "select_interval_string": "SELECT o_orderkey, o_custkey FROM orders "
-        "WHERE CAST(o_custkey AS VARCHAR) BETWEEN '100' AND '20'",
+        "select_interval_string": "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders "
+        "WHERE CAST(o_totalprice AS VARCHAR) BETWEEN '100' AND '20' OR CAST(o_totalprice AS VARCHAR) >= '9'",
         "select_interval_typed": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem "
         "WHERE (l_quantity <= 5 OR l_quantity BETWEEN 40 AND 45) AND l_discount >= 0.05e0",
         "select_interval_timestamp": "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN "

@@ -1,7 +1,7 @@
 """Data-quality assessment of large tables with Spark DataFrames."""
 
 from .operators import AccuracyTarget, TimeColumn
-from .plans import AssessmentConfig, SourceMetadata, assess, final_quality, write_assessment
+from .plans import AssessmentConfig, SourceMetadata, assess, assess_folder, final_quality, write_assessment
 
 __all__ = [
     "AccuracyTarget",
@@ -9,6 +9,7 @@ __all__ = [
     "SourceMetadata",
     "TimeColumn",
     "assess",
+    "assess_folder",
     "final_quality",
     "write_assessment",
 ]

@@ -133,7 +133,7 @@ def association_consistency(
         return source
     out, hits = source, F.lit(0.0)
     for i, allowed in enumerate(usable):
-        names, binding, listed = allowed.columns, f"binding_{i}", f"listed_{i}"
+        names, binding, listed = allowed.columns, f"__binding_{i}", f"__listed_{i}"
         parts = [f"binding_part_{j}" for j in range(len(names))]
         distinct = allowed.select(
             *[key_part(column(c)).alias(p) for c, p in zip(names, parts)]

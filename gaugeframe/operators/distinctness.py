@@ -19,7 +19,8 @@ def distinctness_global(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     distinct. Equal rows collapse map-side, so a row copied very often costs one
     shuffled record per map task.
     """
-    copies = rows.groupBy(*[column(name) for name in columns]).agg(F.count(F.lit(1)).alias("copies"))
+    cells = rows.select(*[column(name).alias(f"cell_{i}") for i, name in enumerate(columns)])
+    copies = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("copies"))
     weight = F.col("copies") / F.lit(2.0)
     counted = copies.agg(
         F.sum("copies").alias("n"),

@@ -50,10 +50,10 @@ def value_hour_counts(
     """The same per key value and hour, for all keys."""
     keys = usable_keys(keys, [timestamp, *(timestamps or ())])
     instant = to_instant(rows, timestamp, time_format, on_invalid)
-    known = rows.withColumn(INSTANT, instant).filter(F.col(INSTANT).isNotNull())
-    return group_by_keys(
-        known, keys, [F.col(INSTANT)], _measures(), within={"Hour": F.hour(INSTANT)}, apart=apart
+    groups = group_by_keys(
+        rows, keys, [instant.alias(INSTANT)], _measures(), within={"Hour": F.hour(instant)}, apart=apart
     )
+    return groups.filter(F.col("Hour").isNotNull())
 
 
 def roll_up_hours(counts: DataFrame, key: str) -> DataFrame:

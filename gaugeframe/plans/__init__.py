@@ -9,5 +9,6 @@ from .assess import (
     write_assessment,
 )
 from .config import DIMENSIONS, GRANULARITIES, AssessmentConfig
+from .folder import assess_folder, metadata_timestamps, read_source_metadata
 
 __all__ = [name for name in dir() if not name.startswith("_")]

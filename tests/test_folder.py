@@ -1,0 +1,125 @@
+"""From a source folder to an output folder, with every dimension at once."""
+
+import json
+
+import pytest
+
+from gaugeframe import AssessmentConfig, assess_folder
+from gaugeframe.plans import DIMENSIONS, metadata_timestamps
+from gaugeframe.sources import read_metadata
+from helpers import by, one, rows
+
+FORMAT = "%d/%m/%y %H:%M:%S,%f"
+NOW = "2020-01-03 00:00:00"
+HEADER = ["line", "bus", "price", "used"]
+USES = [
+    ("one", "10", "A", "1,5", "01/01/20 08:00:00,000000"),
+    ("one", "10", "A", "2,5", "01/01/20 08:30:00,000000"),
+    ("one", "10", "B", "2,0", "02/01/20 08:00:00,500000"),
+    ("two", "20", "C", "3,0", "02/01/20 09:00:00,000000"),
+    ("bad", "99", "Z", "junk", "junk"),
+]
+
+
+def put(path, records):
+    path.mkdir(parents=True)
+    text = "".join((r if isinstance(r, str) else json.dumps(r)) + "\n" for r in records)
+    (path / "part-0").write_text(text, encoding="utf-8")
+
+
+@pytest.fixture
+def folder(tmp_path):
+    root = tmp_path / "source"
+    names = ("one", "two", "bad")
+    put(root / "source_analysed_updates", [{"fileName": n, "correctAnalysis": int(n != "bad")} for n in names])
+    for name in names:
+        uses = [use[1:] for use in USES if use[0] == name]
+        put(root / "extended_dataset" / name, [dict(zip(HEADER, use)) for use in uses])
+        (root / "updates").mkdir(exist_ok=True)
+        lines = "".join('"' + '";"'.join(use) + '";\n' for use in uses)
+        (root / "updates" / f"{name}.txt").write_text(lines, encoding="utf-8")
+    put(root / "timelinessMetadata", [{"timelinessNames": ["TIMELINESS_used"], "timeFormats": [FORMAT]}])
+    put(root / "update_rate_global_used", [{"Hour": 8, "Frequency": 3 / 7200}, {"Hour": 9, "Frequency": 2 / 3600}])
+    put(root / "update_rate_values_used", [{"Key": "line", "Value": "10", "Hour": 8, "Frequency": 0.0001}])
+    put(root / "source_distinctness", [{"Attribute": "line", "Count": 4}, {"Attribute": "bus", "Count": 3}])
+    put(root / "association_rules", [{"Antecedent": "line", "Consequent": "bus"}])
+    put(root / "source_quality", [{"Volume": 1.0}])
+    put(tmp_path / "allowed", [{"line": "10", "bus": "A"}, {"line": "20", "bus": "C"}])
+    return tmp_path
+
+
+def settings(folder, **changes):
+    base = dict(
+        columns=HEADER,
+        keys=[["line"], ["line", "bus"]],
+        granularity={name: ["global", "attribute", "value", "tuple"] for name in DIMENSIONS},
+        expected_mean={"price": 2},
+        interval_width={"price": 4},
+        timestamps={"used": FORMAT},
+        volatility_hours={"used": 48},
+        rules=["bus:line"],
+        allow_list_names=[str(folder / "allowed"), str(folder / "absent")],
+    )
+    return AssessmentConfig(**{**base, **changes})
+
+
+def check(tables):
+    final = one(tables["final_quality"])
+    assert final["Volume"] == 1.0 and final["Volume(TotalRows)"] == 4 and final["Confidence"] == 1.0
+    assert final["Accuracy_Dynamic_price"] == pytest.approx((0.75 + 0.75 + 1 + 0.5) / 4)
+    assert final["Precision_price"] == pytest.approx(1 - (1.25 / 4) ** 0.5 / 2.25)
+    assert final["Completeness_Missing"] == 1.0 and final["Distinctness"] == 1.0
+    assert final["Completeness_Frequency_used"] == pytest.approx((1.0 + 0.5) / 2)
+    assert final["Timeliness_Max_used"] == pytest.approx(1 - 15 / 48)
+    assert final["Last_Analysis_Timestamp_used"] == "03/01/20 00:00:00,000000"
+    assert {r["Value"]: r["Count"] for r in rows(tables["volume_values"].filter("Attribute = 'line'"))} == {
+        "10": 3, "20": 1,
+    }
+    frequency = one(tables["completeness_frequency_values"])
+    assert frequency["CompletenessFrequencyValue"] == pytest.approx(min(1, 3 / (86400.5 * 0.0001)))
+    population = one(tables["completeness_population_attributes"])
+    assert (population["Attribute"], population["CompletenessPopulationValue"]) == ("line", 0.5)
+    consistency = by(tables["consistency_attributes_mean_per_rule"], "RuleAntecedent")
+    assert consistency["line"]["ConsistencyValue"] == pytest.approx((2 / 3 + 1) / 2)
+    assert consistency["bus"]["ConsistencyValue"] == 1.0
+    extended = by(tables["extended_dataset"], "used")
+    assert extended["02/01/20 08:00:00,500000"]["ASSOCIATION_CONSISTENCY"] == "0.0"
+    assert extended["02/01/20 09:00:00,000000"]["ASSOCIATION_CONSISTENCY"] == "1.0"
+    assert float(extended["01/01/20 08:00:00,000000"]["TIMELINESS_used"]) == pytest.approx(1 - 40 / 48)
+
+
+def test_json_source(spark, folder):
+    source, output = str(folder / "source"), str(folder / "out")
+    tables = assess_folder(spark, source, output, settings(folder), NOW, HEADER)
+    check(tables)
+    written = {path.name for path in (folder / "out").iterdir()}
+    assert written == set(tables)
+    for name in written:
+        assert spark.read.text(f"{output}/{name}").count() == tables[name].count()
+
+
+def test_text_source(spark, folder):
+    """Raw text keeps its time fractions only with the decimal comma fix switched off."""
+    source, output = str(folder / "source"), str(folder / "out")
+    config = settings(folder)
+    check(assess_folder(spark, source, output, config, NOW, HEADER, regex="([^;]+);", decimal_commas=False))
+
+
+def test_requested_files(spark, folder):
+    tables = assess_folder(
+        spark, str(folder / "source"), str(folder / "out"), settings(folder, dimensions=["Volume"]), NOW, HEADER, ["two"]
+    )
+    assert one(tables["final_quality"])["Volume(TotalRows)"] == 1
+
+
+def test_source_summary(spark, folder):
+    output = str(folder / "out")
+    config = settings(folder)
+    assert assess_folder(spark, str(folder / "source"), output, config, NOW, HEADER, source_summary=True) == {}
+    assert one(spark.read.json(f"{output}/source_quality")) == {"Volume": 1.0}
+
+
+def test_timestamp_formats_from_metadata(spark, folder):
+    table = read_metadata(spark, str(folder / "source"), "timelinessMetadata")
+    assert metadata_timestamps(table) == {"used": FORMAT}
+    assert metadata_timestamps(None) == {}
