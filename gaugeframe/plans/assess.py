@@ -63,7 +63,7 @@ from ..operators.precision import (
     precision_metrics,
     precision_values,
 )
-from ..operators.selection import drop_incomplete, null_to_text, select_columns, select_rows
+from ..operators.selection import drop_incomplete, null_to_text, select_rows
 from ..operators.timeliness import (
     timeliness_attribute,
     timeliness_inputs,
@@ -73,7 +73,7 @@ from ..operators.timeliness import (
     timeliness_tuple,
     timeliness_value,
 )
-from ..operators.volume import total_rows, volume_measures, volume_metrics, volume_values
+from ..operators.volume import volume_measures, volume_metrics, volume_values
 from ..sources.writers import store, write_extended, write_json
 from .config import AssessmentConfig
 
@@ -118,7 +118,15 @@ class SourceMetadata:
 class _Run:
     """Shared inputs of the steps of one assessment."""
 
-    def __init__(self, source, config: AssessmentConfig, now, metadata: SourceMetadata, stored: bool):
+    def __init__(
+        self,
+        source: DataFrame,
+        config: AssessmentConfig,
+        now: dt.datetime | str,
+        metadata: SourceMetadata,
+        stored: bool,
+        store_rows: bool = False,
+    ):
         self.source, self.config, self.now, self.metadata = source, config, now, metadata
         self.columns = list(config.columns)
         self.rows = select_rows(
@@ -132,6 +140,8 @@ class _Run:
             config.sample_seed,
             config.sample_key,
         )
+        if store_rows:
+            self.rows = store(self.rows, "rows")
         self.complete_rows = drop_incomplete(self.rows)
         self.complete = complete_row(self.columns)
         self.confidence = float(config.sample_fraction)
@@ -142,11 +152,19 @@ class _Run:
         self.times = config.time_columns()
         self.stored = stored
         self.measured: dict[tuple, list[int]] = {}
+        self.counted: DataFrame | None = None
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Store a shared aggregate, or leave it lazy."""
         return store(df, name) if self.stored else df
 
+    def total(self) -> Column:
+        """Rows of the source before selection, as a scalar subquery; counted once when stored."""
+        if self.counted is None:
+            counted = self.source.agg(F.count(F.lit(1)).alias("total"))
+            self.counted = self.keep(counted, "source-rows")
+        return self.counted.scalar()
+
     def large(self, keys: Sequence[Sequence[str]]) -> list[int]:
         """Keys that get a scan of their own; a lazy run does not look at the data."""
         if not self.stored:
@@ -265,7 +283,7 @@ def _final_quality(run: _Run, totals: DataFrame, hours: Mapping[str, DataFrame])
     """One wide row of global metrics with the mean of their confidences."""
     metrics, row = [], totals
     if run.wants("Volume", "global"):
-        row = row.withColumn("vol_total", total_rows(select_columns(run.source, run.columns)))
+        row = row.withColumn("vol_total", run.total())
         metrics += volume_metrics()
     if run.targets and run.wants("Accuracy", "global"):
         metrics += accuracy_metrics(run.targets)
@@ -324,7 +342,7 @@ def _key_tables(run: _Run, totals: DataFrame, groups: DataFrame | None) -> dict[
         if run.wants("Timeliness", "attribute"):
             out["timeliness_attributes"] = timeliness_attribute(signed, run.confidence)
     if run.wants("Volume", "value"):
-        out["volume_values"] = volume_values(seen, total_rows(select_columns(run.source, run.columns)))
+        out["volume_values"] = volume_values(seen, run.total())
     cardinality = key_cardinality(seen)
     if run.wants("Distinctness", "attribute"):
         out["distinctness_attributes"] = distinctness_attributes(cardinality, run.confidence)
@@ -411,13 +429,16 @@ def assess(
     metadata: SourceMetadata | None = None,
     allow_lists: Sequence[DataFrame] = (),
     stored: bool = True,
+    store_rows: bool = False,
 ) -> dict[str, DataFrame]:
     """All tables the configuration asks for, by name.
 
     With ``stored`` the shared aggregates are computed here, once, and written to the
     shared folder. Without it everything stays lazy and each table plans its own scan.
+    ``store_rows`` also writes the selected rows first: for sources that are slow to read
+    (JSON, regex text) and for selections and samples much smaller than the source.
     """
-    run = _Run(source, config, now, metadata or SourceMetadata(), stored)
+    run = _Run(source, config, now, metadata or SourceMetadata(), stored, store_rows)
     totals, groups = _aggregates(run)
     hours, values = _frequency(run)
     tables = {"final_quality": _final_quality(run, totals, hours)}

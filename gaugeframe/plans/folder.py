@@ -49,14 +49,14 @@ def assess_folder(
     files: Sequence[str] | None = None,
     regex: str = "",
     source_summary: bool = False,
-    stored: bool = True,
     **text_options,
 ) -> dict[str, DataFrame]:
     """Read the analysed updates of a source, assess them and write every table.
 
     ``header`` names all columns of the source; ``files`` restricts the updates; a
     ``regex`` reads the raw text updates instead of JSON rows; ``config.allow_list_names``
-    are paths. ``source_summary`` only copies the stored quality report.
+    are paths. ``source_summary`` only copies the stored quality report. The selected rows
+    are parsed once and kept as parquet in the shared folder.
     """
     if source_summary:
         copy_source_quality(spark, folder, output)
@@ -64,6 +64,6 @@ def assess_folder(
     source = read_analysed_source(spark, folder, header, files, regex, **text_options)
     metadata = read_source_metadata(spark, folder, list(config.timestamps))
     allow_lists = read_allow_lists(spark, config.allow_list_names, config.columns)
-    tables = assess(source, config, now, metadata, allow_lists, stored)
+    tables = assess(source, config, now, metadata, allow_lists, store_rows=True)
     write_assessment(tables, output)
     return tables

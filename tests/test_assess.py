@@ -170,6 +170,12 @@ def test_large_keys_apart_do_not_change_a_stored_assessment(tables, events, meta
         same(tables[name], apart[name])
 
 
+def test_stored_rows_do_not_change_an_assessment(tables, events, metadata, allowed):
+    kept = assess(events, settings(), NOW, metadata, [allowed], store_rows=True)
+    for name in tables:
+        same(tables[name], kept[name])
+
+
 def test_counts_of_a_key_add_up(tables):
     total = one(tables["final_quality"])["Volume(TotalRows)"]
     sums = tables["volume_values"].groupBy("Attribute").agg(F.sum("Count").alias("n"))
