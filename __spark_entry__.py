@@ -231,6 +231,12 @@ def _assessed_values(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _assessed_distinctness(spark: SparkSession, folder: str) -> DataFrame:
+    """Duplicate mass in a stored assessment: only rows with a repeated hash are compared."""
+    config = plans.AssessmentConfig(columns=["l_partkey", "l_suppkey"], dimensions=["Distinctness"])
+    return plans.assess(_table(spark, folder, "lineitem"), config, NOW)["final_quality"]
+
+
 def _sampled_report(spark: SparkSession, folder: str) -> DataFrame:
     """Final row of a sampled selection in long form; the fraction is the confidence."""
     config = plans.AssessmentConfig(
@@ -341,6 +347,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distinctness_global_lineitem": _on(
             "lineitem", lambda t: op.distinctness_global(t, ["l_partkey", "l_suppkey"])
         ),
+        "assessed_distinctness": lambda s, d: _rounded(_assessed_distinctness(s, d)),
         "distinctness_attribute": _on(
             "part", lambda t: op.distinctness_attribute(t, [PART_COLUMNS, ["p_brand"], ["p_name"]])
         ),
@@ -723,6 +730,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "distinctness_global": duplicates.format(table="part", columns="p_name, p_brand"),
         "distinctness_global_lineitem": duplicates.format(table="lineitem", columns="l_partkey, l_suppkey"),
+        "assessed_distinctness": "SELECT *, 1e0 AS \"Confidence\" FROM ("
+        + duplicates.format(table="lineitem", columns="l_partkey, l_suppkey")
+        + ")",
         "distinctness_attribute": " UNION ALL ".join(
             f"SELECT '{'_'.join(key)}' AS \"Attribute\", count(*) AS \"DistinctCount\", "
             f"round(count(*) / sum(n), 6) AS \"Distinctness\", 1e0 AS \"Confidence\" FROM "

@@ -17,8 +17,10 @@ from .consistency import (
 )
 from .distinctness import (
     completeness_population,
+    distinctness_among,
     distinctness_attribute,
     distinctness_global,
+    repeated_hashes,
     source_distinctness,
 )
 from .frequency import (

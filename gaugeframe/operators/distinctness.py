@@ -12,25 +12,67 @@ from .grouping import Keys, group_by_keys, label_of, usable_keys
 from .volume import volume_measures
 
 
-def distinctness_global(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: 1 minus the duplicate mass over the rows.
+def _cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The compared cells under names of our own."""
+    return rows.select(*[column(name).alias(f"cell_{i}") for i, name in enumerate(columns)])
+
+
+def _distinctness(copies: DataFrame) -> DataFrame:
+    """The metric from groups of equal rows: column ``copies`` holds their sizes.
 
     A group of ``c`` equal rows weighs ``c / 2`` when that exceeds 1: pairs count as
-    distinct. Equal rows collapse map-side, so a row copied very often costs one
-    shuffled record per map task.
+    distinct.
     """
-    cells = rows.select(*[column(name).alias(f"cell_{i}") for i, name in enumerate(columns)])
-    copies = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("copies"))
     weight = F.col("copies") / F.lit(2.0)
     counted = copies.agg(
         F.sum("copies").alias("n"),
-        F.coalesce(F.sum(F.when(weight > 1.0, weight)), F.lit(0.0)).alias("mass"),
+        F.coalesce(F.sum(F.when(F.col("repeated") & (weight > 1.0), weight)), F.lit(0.0)).alias("mass"),
     )
     return counted.select(
         at_least_zero(F.lit(1.0) - ratio(F.col("mass"), F.col("n"))).alias("Distinctness")
     )
 
 
+def distinctness_global(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: 1 minus the duplicate mass over the rows.
+
+    Equal rows collapse map-side, so a row copied very often costs one shuffled record
+    per map task; rows without copies are shuffled whole.
+    """
+    cells = _cells(rows, columns)
+    copies = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return _distinctness(copies.withColumn("repeated", F.lit(True)))
+
+
+def repeated_hashes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Hashes that at least three rows share: only those can hold a weighing group.
+
+    Shuffles a hash and a count per row instead of the row.
+    """
+    hashes = rows.select(F.xxhash64(*[column(name) for name in columns]).alias("hash"))
+    return hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("hash")
+
+
+def distinctness_among(rows: DataFrame, columns: Sequence[str], hashes: DataFrame) -> DataFrame:
+    """The exact metric when ``hashes`` (from repeated_hashes) fit a broadcast.
+
+    Rows with another hash weigh nothing and collapse to one record per map task; the
+    others are compared cell by cell, so colliding hashes do no harm.
+    """
+    cells = _cells(rows, columns)
+    names = cells.columns
+    marked = cells.withColumn("hash", F.xxhash64(*names)).join(
+        F.broadcast(hashes.withColumn("repeated", F.lit(True))), "hash", "left"
+    )
+    repeated = F.coalesce(F.col("repeated"), F.lit(False))
+    copies = (
+        marked.select(repeated.alias("repeated"), *[F.when(repeated, F.col(n)).alias(n) for n in names])
+        .groupBy("repeated", *names)
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    return _distinctness(copies)
+
+
 def key_cardinality(groups: DataFrame) -> DataFrame:
     """Distinct key values and rows per key, from grouped row counts."""
     return groups.groupBy("Attribute").agg(

@@ -40,10 +40,12 @@ from ..operators.consistency import (
     rule_scores,
 )
 from ..operators.distinctness import (
+    distinctness_among,
     distinctness_attributes,
     distinctness_global,
     key_cardinality,
     population_attributes,
+    repeated_hashes,
 )
 from ..operators.frequency import (
     frequency_attribute,
@@ -91,6 +93,9 @@ BOUNDED_TABLES = (
     "consistency_attributes_mean_per_rule",
 )
 
+# Largest set of row hashes (8 bytes each) sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class SourceMetadata:
@@ -279,6 +284,16 @@ def _frequency(run: _Run) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     return hours, values
 
 
+def _distinctness(run: _Run) -> DataFrame:
+    """Duplicates of whole rows: only rows with a repeated hash are compared when a stored
+    run finds these hashes few enough to broadcast."""
+    if run.stored:
+        hashes = run.keep(repeated_hashes(run.complete_rows, run.columns), "row-hashes")
+        if hashes.count() <= BROADCAST_ROWS:
+            return distinctness_among(run.complete_rows, run.columns, hashes)
+    return distinctness_global(run.complete_rows, run.columns)
+
+
 def _final_quality(run: _Run, totals: DataFrame, hours: Mapping[str, DataFrame]) -> DataFrame:
     """One wide row of global metrics with the mean of their confidences."""
     metrics, row = [], totals
@@ -294,7 +309,7 @@ def _final_quality(run: _Run, totals: DataFrame, hours: Mapping[str, DataFrame])
     if run.times and run.wants("Timeliness", "global"):
         metrics += timeliness_metrics(run.times, run.now)
     if run.wants("Distinctness", "global"):
-        metrics.append(distinctness_global(run.complete_rows, run.columns).scalar().alias("Distinctness"))
+        metrics.append(_distinctness(run).scalar().alias("Distinctness"))
     for name, table in hours.items():
         metrics.append(frequency_global(table, name).scalar().alias(f"Completeness_Frequency_{name}"))
     if not metrics:

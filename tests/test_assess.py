@@ -1,7 +1,9 @@
 """The fused assessment gives the tables of the separate operators."""
 
 import datetime as dt
+import random
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +172,24 @@ def test_large_keys_apart_do_not_change_a_stored_assessment(tables, events, meta
         same(tables[name], apart[name])
 
 
+def test_duplicates_by_hash_or_by_row(spark, monkeypatch):
+    draw = random.Random(4)
+    cells = [("a", None), ("a", 1), ("b", 1), ("b", 2), ("c", 3)]
+    records = [draw.choice(cells) for _ in range(40)] + [("x", n) for n in range(30)] + [("y", 1)] * 2
+    df = spark.createDataFrame(records, "k string, n int").repartition(3)
+    sizes = Counter(r for r in records if r[1] is not None)
+    expected = 1 - sum(n / 2 for n in sizes.values() if n > 2) / sum(sizes.values())
+    config = AssessmentConfig(columns=["k", "n"], dimensions=["Distinctness"])
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(sys.modules["gaugeframe.plans.assess"], "BROADCAST_ROWS", limit)
+        for stored in (True, False):
+            found = one(assess(df, config, NOW, stored=stored)["final_quality"])["Distinctness"]
+            assert found == pytest.approx(expected)
+    unique = spark.createDataFrame([(n,) for n in range(9)], "n int")
+    assert op.repeated_hashes(unique, ["n"]).count() == 0
+    assert one(op.distinctness_among(unique, ["n"], op.repeated_hashes(unique, ["n"])))["Distinctness"] == 1.0
+
+
 def test_stored_rows_do_not_change_an_assessment(tables, events, metadata, allowed):
     kept = assess(events, settings(), NOW, metadata, [allowed], store_rows=True)
     for name in tables:
