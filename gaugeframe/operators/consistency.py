@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import column, key_part, ratio
-from .grouping import group_by_keys
+from ..functions import column, group_cell, key_part, ratio
+from .grouping import aggregate_sets, split_passes
 
 Rule = tuple[tuple[str, ...], tuple[str, ...]]
 
@@ -53,36 +53,52 @@ def rule_keys(rules: Sequence[Rule]) -> list[tuple[str, ...]]:
 def rule_scores(rows: DataFrame, rules: Sequence[Rule], apart: Iterable[int] = ()) -> DataFrame:
     """Majority share of the consequent per rule and antecedent value.
 
-    Pair counts of the rules come from one pass, but for those in ``apart``; the roll-up to the antecedent moves
-    counts only and combines them map-side, so a dominant antecedent is harmless.
+    Pair counts of the rules come from one pass, but for those in ``apart`` (see
+    group_by_keys); the roll-up to the antecedent moves counts only and combines them
+    map-side, so a dominant antecedent is harmless. Values are rendered at the end.
     """
-    pairs = group_by_keys(
-        rows,
-        rule_keys(rules),
-        [],
+    out = None
+    for positions in split_passes(rule_keys(rules), apart):
+        scores = _scores_in_one_pass(rows, {i: rules[i] for i in positions})
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
+def _scores_in_one_pass(rows: DataFrame, rules: dict[int, Rule]) -> DataFrame:
+    names = list(dict.fromkeys(name for x, y in rules.values() for name in x + y))
+    part = {name: f"part_{i}" for i, name in enumerate(names)}
+    columns_of = {i: frozenset(part[name] for name in x + y) for i, (x, y) in rules.items()}
+    pairs, set_ids = aggregate_sets(
+        rows.select(*[group_cell(rows, name).alias(part[name]) for name in names]),
+        list(part.values()),
+        columns_of.values(),
         [F.count(F.lit(1)).alias("n")],
-        labels=[str(i) for i in range(len(rules))],
-        apart=apart,
     )
-    number = F.col("Attribute").cast("int")
-    width = F.element_at(F.array(*[F.lit(len(x)) for x, _ in rules]), number + 1)
+
+    def numbers(members: frozenset) -> Column:
+        return F.array(*[F.lit(i) for i in rules if columns_of[i] == members])
+
+    applicable = F.coalesce(*[F.when(F.col("key_set") == number, numbers(s)) for s, number in set_ids.items()])
+    rule = F.col("rule")
+    antecedent = {
+        part[name]: F.when(rule.isin([i for i, (x, _) in rules.items() if name in x]), F.col(part[name]))
+        for name in dict.fromkeys(name for x, _ in rules.values() for name in x)
+    }
     scored = (
-        pairs.select(number.alias("rule"), F.slice("Parts", F.lit(1), width).alias("antecedent"), "n")
-        .groupBy("rule", "antecedent")
+        pairs.select(F.explode(applicable).alias("rule"), *part.values(), "n")
+        .select("rule", *[cell.alias(name) for name, cell in antecedent.items()], "n")
+        .groupBy("rule", *antecedent)
         .agg(F.sum("n").alias("n"), F.max("n").alias("top"))
     )
-    texts = F.array(
-        *[
-            F.struct(F.lit(",".join(x)).alias("RuleAntecedent"), F.lit(",".join(y)).alias("RuleConsequent"))
-            for x, y in rules
-        ]
-    )
-    text = F.element_at(texts, F.col("rule") + 1)
+
+    def text(of) -> Column:
+        return F.coalesce(*[F.when(rule == i, of(x, y)) for i, (x, y) in rules.items()])
+
     return scored.select(
         "rule",
-        text["RuleAntecedent"].alias("RuleAntecedent"),
-        text["RuleConsequent"].alias("RuleConsequent"),
-        F.array_join("antecedent", ",").alias("AntecedentValue"),
+        text(lambda x, y: F.lit(",".join(x))).alias("RuleAntecedent"),
+        text(lambda x, y: F.lit(",".join(y))).alias("RuleConsequent"),
+        text(lambda x, y: F.concat_ws(",", *[key_part(F.col(part[name])) for name in x])).alias("AntecedentValue"),
         ratio(F.col("top"), F.col("n")).alias("ConsistencyValue"),
     )
 

@@ -112,7 +112,7 @@ def frequency_groups(counts: DataFrame, rates: DataFrame, confidence: float = 1.
         rates.select(F.col("Key").alias("Attribute"), "Value", "Hour", "Frequency"),
         ["Attribute", "Value", "Hour"],
     )
-    rolled = rated.groupBy("Attribute", "Parts", "Value").agg(
+    rolled = rated.groupBy("Attribute", "Parts").agg(
         F.sum("RecordNumber").alias("RecordNumber"),
         F.min("First").alias("First"),
         F.max("Last").alias("Last"),
@@ -122,7 +122,7 @@ def frequency_groups(counts: DataFrame, rates: DataFrame, confidence: float = 1.
     expected = elapsed * F.lit(float(confidence)) * F.col("Rate")
     return rolled.select(
         "Attribute",
-        "Value",
+        F.array_join("Parts", ",").alias("Value"),
         "RecordNumber",
         at_most_one(ratio(F.col("RecordNumber"), expected)).alias("CompletenessFrequencyValue"),
     )

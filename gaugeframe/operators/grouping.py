@@ -73,13 +73,8 @@ def group_by_keys(
     if not keys:
         raise ValueError("at least one grouping key is needed")
     labels = list(labels) if labels is not None else [label_of(key) for key in keys]
-    columns_apart = {frozenset(keys[i]) for i in apart}
-    passes: dict[frozenset, list[int]] = {}
-    for i, key in enumerate(keys):
-        columns = frozenset(key)
-        passes.setdefault(columns if columns in columns_apart else frozenset(), []).append(i)
     out = None
-    for positions in passes.values():
+    for positions in split_passes(keys, apart):
         grouped = _one_pass(
             rows,
             [keys[i] for i in positions],
@@ -110,27 +105,9 @@ def _one_pass(
         *inputs,
     )
 
-    sets = list(dict.fromkeys(frozenset(key) for key in keys))
     whole = frozenset()
-    if total:
-        sets.append(whole)
-    group_columns = [*part.values(), *within]
-    if len(sets) == 1:
-        grouped = staged.groupBy(*group_columns).agg(F.lit(0).alias("key_set"), *measures)
-    else:
-        grouped = staged.groupingSets(
-            [[part[n] for n in names if n in members] + list(within) for members in sets],
-            *group_columns,
-        ).agg(F.grouping_id().alias("key_set"), *measures)
-
-    def set_id(members: frozenset) -> int:
-        """grouping_id(): a bit per grouping column, first column highest, 1 = not grouped."""
-        if len(sets) == 1:
-            return 0
-        bits = 0
-        for name in [*names, *within]:
-            bits = bits * 2 + (0 if name in members or name in within else 1)
-        return bits
+    sets = [frozenset(part[name] for name in key) for key in keys] + ([whole] if total else [])
+    grouped, set_ids = aggregate_sets(staged, list(part.values()), sets, measures, list(within))
 
     def views(members: frozenset) -> Column:
         """The keys over these columns (in any order) with their rendered components."""
@@ -144,20 +121,57 @@ def _one_pass(
                     F.array(*[key_part(F.col(part[name])) for name in key]).alias("Parts"),
                 )
                 for key, label in zip(keys, labels)
-                if frozenset(key) == members
+                if frozenset(part[name] for name in key) == members
             ]
         )
 
-    view = F.coalesce(*[F.when(F.col("key_set") == set_id(s), views(s)) for s in sets])
+    view = F.coalesce(*[F.when(F.col("key_set") == number, views(s)) for s, number in set_ids.items()])
+    dropped = {*part.values(), *within, "key_set"}
     return grouped.select(F.inline(view), "*").select(
         "Attribute",
         "Parts",
         F.array_join("Parts", ",").alias("Value"),
         *within,
-        *[name for name in grouped.columns if name not in group_columns and name != "key_set"],
+        *[name for name in grouped.columns if name not in dropped],
     )
 
 
+def aggregate_sets(
+    staged: DataFrame,
+    columns: Sequence[str],
+    sets: Iterable[frozenset],
+    measures: Sequence[Column],
+    common: Sequence[str] = (),
+) -> tuple[DataFrame, dict[frozenset, int]]:
+    """Aggregate by several subsets of ``columns`` (each with the ``common`` ones) at once.
+
+    Returns the groups, with ``key_set`` telling the subset, and its number per subset:
+    grouping_id() has a bit per grouping column, the first highest, 1 for "not grouped".
+    """
+    sets = list(dict.fromkeys(sets))
+    everything = [*columns, *common]
+    if len(sets) == 1:
+        return staged.groupBy(*everything).agg(F.lit(0).alias("key_set"), *measures), {sets[0]: 0}
+    grouped = staged.groupingSets(
+        [[name for name in columns if name in members] + list(common) for members in sets], *everything
+    ).agg(F.grouping_id().alias("key_set"), *measures)
+    ids = {}
+    for members in sets:
+        bits = ["0" if name in members or name in common else "1" for name in everything]
+        ids[members] = int("".join(bits), 2)
+    return grouped, ids
+
+
+def split_passes(keys: Keys, apart: Iterable[int]) -> list[list[int]]:
+    """Positions of keys to aggregate together; keys over the same columns share a pass."""
+    columns_apart = {frozenset(keys[i]) for i in apart}
+    passes: dict[frozenset, list[int]] = {}
+    for i, key in enumerate(keys):
+        columns = frozenset(key)
+        passes.setdefault(columns if columns in columns_apart else frozenset(), []).append(i)
+    return list(passes.values())
+
+
 def per_column(
     groups: DataFrame,
     entries: Mapping[str, Sequence[Column]],
