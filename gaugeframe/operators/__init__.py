@@ -17,8 +17,8 @@ from .consistency import (
 )
 from .distinctness import (
     completeness_population,
-    distinctness_among,
     distinctness_attribute,
+    distinctness_by_hash,
     distinctness_global,
     repeated_hashes,
     source_distinctness,

@@ -11,6 +11,9 @@ from ..functions import at_least_zero, at_most_one, column, ratio
 from .grouping import Keys, group_by_keys, label_of, usable_keys
 from .volume import volume_measures
 
+# Largest set of row hashes (8 bytes each) sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
 
 def _cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The compared cells under names of our own."""
@@ -53,12 +56,18 @@ def repeated_hashes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("hash")
 
 
-def distinctness_among(rows: DataFrame, columns: Sequence[str], hashes: DataFrame) -> DataFrame:
-    """The exact metric when ``hashes`` (from repeated_hashes) fit a broadcast.
+def distinctness_by_hash(
+    rows: DataFrame, columns: Sequence[str], hashes: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """The exact metric, comparing only rows whose hash is among the repeated ones.
 
-    Rows with another hash weigh nothing and collapse to one record per map task; the
-    others are compared cell by cell, so colliding hashes do no harm.
+    ``hashes`` is the stored table of repeated_hashes. It is broadcast when it holds at
+    most ``limit`` rows (counted here); beyond that all rows are grouped instead. Rows
+    with another hash weigh nothing and collapse to one record per map task; the others
+    are compared cell by cell, so colliding hashes do no harm.
     """
+    if hashes.count() > (BROADCAST_ROWS if limit is None else limit):
+        return distinctness_global(rows, columns)
     cells = _cells(rows, columns)
     names = cells.columns
     marked = cells.withColumn("hash", F.xxhash64(*names)).join(

@@ -109,7 +109,11 @@ def null_to_text(df: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Bernoulli sample without replacement."""
+    """Bernoulli sample without replacement.
+
+    Scans of the same files pick the same rows. After a join or shuffle they may not:
+    store the rows, or sample by key.
+    """
     check_fraction(fraction)
     return df if fraction == 1 else df.sample(False, float(fraction), seed)
 

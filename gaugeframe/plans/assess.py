@@ -40,8 +40,8 @@ from ..operators.consistency import (
     rule_scores,
 )
 from ..operators.distinctness import (
-    distinctness_among,
     distinctness_attributes,
+    distinctness_by_hash,
     distinctness_global,
     key_cardinality,
     population_attributes,
@@ -93,9 +93,6 @@ BOUNDED_TABLES = (
     "consistency_attributes_mean_per_rule",
 )
 
-# Largest set of row hashes (8 bytes each) sent to every executor.
-BROADCAST_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class SourceMetadata:
@@ -285,12 +282,10 @@ def _frequency(run: _Run) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
 
 
 def _distinctness(run: _Run) -> DataFrame:
-    """Duplicates of whole rows: only rows with a repeated hash are compared when a stored
-    run finds these hashes few enough to broadcast."""
+    """Duplicates of whole rows; a stored run looks at row hashes first."""
     if run.stored:
         hashes = run.keep(repeated_hashes(run.complete_rows, run.columns), "row-hashes")
-        if hashes.count() <= BROADCAST_ROWS:
-            return distinctness_among(run.complete_rows, run.columns, hashes)
+        return distinctness_by_hash(run.complete_rows, run.columns, hashes)
     return distinctness_global(run.complete_rows, run.columns)
 
 

@@ -172,7 +172,7 @@ def test_large_keys_apart_do_not_change_a_stored_assessment(tables, events, meta
         same(tables[name], apart[name])
 
 
-def test_duplicates_by_hash_or_by_row(spark, monkeypatch):
+def test_duplicates_by_hash_or_by_row(spark):
     draw = random.Random(4)
     cells = [("a", None), ("a", 1), ("b", 1), ("b", 2), ("c", 3)]
     records = [draw.choice(cells) for _ in range(40)] + [("x", n) for n in range(30)] + [("y", 1)] * 2
@@ -180,14 +180,18 @@ def test_duplicates_by_hash_or_by_row(spark, monkeypatch):
     sizes = Counter(r for r in records if r[1] is not None)
     expected = 1 - sum(n / 2 for n in sizes.values() if n > 2) / sum(sizes.values())
     config = AssessmentConfig(columns=["k", "n"], dimensions=["Distinctness"])
-    for limit in (1_000_000, 0):
-        monkeypatch.setattr(sys.modules["gaugeframe.plans.assess"], "BROADCAST_ROWS", limit)
-        for stored in (True, False):
-            found = one(assess(df, config, NOW, stored=stored)["final_quality"])["Distinctness"]
-            assert found == pytest.approx(expected)
+    for stored in (True, False):
+        found = one(assess(df, config, NOW, stored=stored)["final_quality"])["Distinctness"]
+        assert found == pytest.approx(expected)
+    complete = op.drop_incomplete(df)
+    hashes = op.repeated_hashes(complete, ["k", "n"])
+    for limit in (None, 0):
+        found = one(op.distinctness_by_hash(complete, ["k", "n"], hashes, limit))["Distinctness"]
+        assert found == pytest.approx(expected)
     unique = spark.createDataFrame([(n,) for n in range(9)], "n int")
-    assert op.repeated_hashes(unique, ["n"]).count() == 0
-    assert one(op.distinctness_among(unique, ["n"], op.repeated_hashes(unique, ["n"])))["Distinctness"] == 1.0
+    hashes = op.repeated_hashes(unique, ["n"])
+    assert hashes.count() == 0
+    assert one(op.distinctness_by_hash(unique, ["n"], hashes))["Distinctness"] == 1.0
 
 
 def test_stored_rows_do_not_change_an_assessment(tables, events, metadata, allowed):
