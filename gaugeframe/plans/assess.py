@@ -290,7 +290,7 @@ def _distinctness(run: _Run) -> DataFrame:
 
 
 def _final_quality(run: _Run, totals: DataFrame, hours: Mapping[str, DataFrame]) -> DataFrame:
-    """One wide row of global metrics with the mean of their confidences."""
+    """One wide row of global metrics; each has the run's confidence, so their mean is it."""
     metrics, row = [], totals
     if run.wants("Volume", "global"):
         row = row.withColumn("vol_total", run.total())
@@ -308,10 +308,8 @@ def _final_quality(run: _Run, totals: DataFrame, hours: Mapping[str, DataFrame])
     for name, table in hours.items():
         metrics.append(frequency_global(table, name).scalar().alias(f"Completeness_Frequency_{name}"))
     if not metrics:
-        row = run.source.sparkSession.range(1)
-    confidences = [run.confidence] * len(metrics)
-    mean = sum(confidences) / len(confidences) if confidences else None
-    return run.keep(row.select(*metrics, F.lit(mean).cast("double").alias("Confidence")), "final-quality")
+        return run.source.sparkSession.range(1).select(F.lit(None).cast("double").alias("Confidence"))
+    return run.keep(row.select(*metrics, F.lit(run.confidence).alias("Confidence")), "final-quality")
 
 
 def _key_tables(run: _Run, totals: DataFrame, groups: DataFrame | None) -> dict[str, DataFrame]:
