@@ -286,6 +286,37 @@ def _extended(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _training_data_modules():
+    """The optional subpackage with its pipeline, or None where it was left out."""
+    try:
+        import corpus_pipeline
+
+        from gaugeframe.llm import queries as found
+        from gaugeframe.llm import sql
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "gaugeframe.llm"):
+            raise
+        return None
+    return corpus_pipeline, found, sql
+
+
+def _training_data_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    modules = _training_data_modules()
+    if modules is None:
+        return {}
+    corpus_pipeline, found, _ = modules
+    return {**found.queries(), "pipeline": corpus_pipeline.run}
+
+
+def _training_data_sql() -> dict[str, str]:
+    modules = _training_data_modules()
+    if modules is None:
+        return {}
+    corpus_pipeline, _, sql = modules
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**sql.oracle_sql(), **whole}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "accuracy_global": _on("lineitem", lambda t: op.accuracy_global(t, ACCURACY)),
@@ -410,6 +441,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "mean_confidence": lambda s, d: plans.mean_confidence(_sampled_report(s, d)),
     }
+    out.update(_training_data_queries())
     return out
 
 
@@ -795,4 +827,5 @@ def oracle_sql() -> dict[str, str]:
             )
         ),
         "mean_confidence": "SELECT avg(c) AS \"Confidence\" FROM (SELECT 0.25e0 AS c FROM orders)",
+        **_training_data_sql(),
     }
