@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import (
+    chat_snapshots,
+    line_chunks,
+    near_duplicates,
+    packing,
+    pseudo_likelihood,
+    quality_rules,
+    repeated_bytes,
+    templates,
+    toxicity,
+    url_rules,
+)
 from .frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,5 +25,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_snapshots": lambda s, d: chat_snapshots.collapse(read(s, d, "conversations")),
+        "op2_pseudo_likelihood": lambda s, d: pseudo_likelihood.pseudo_likelihood(read(s, d, "documents")),
+        "op3_url_rules": lambda s, d: url_rules.judge(read(s, d, "pages"), read(s, d, "labels")),
+        "op4_near_duplicates": lambda s, d: near_duplicates.near_duplicates(read(s, d, "documents")),
+        "op5_toxicity": lambda s, d: toxicity.toxicity(read(s, d, "documents"), read(s, d, "labels")),
+        "op6_line_chunks": lambda s, d: line_chunks.line_report(read(s, d, "documents")),
+        "op7_templates": lambda s, d: templates.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
+        "op8_packing": lambda s, d: packing.pieces(read(s, d, "documents"), with_ids=False),
+        "op9_repeated_bytes": lambda s, d: repeated_bytes.cleaned(read(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality_rules.quality_report(read(s, d, "documents")),
     }

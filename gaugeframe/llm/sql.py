@@ -54,7 +54,7 @@ def quality_rules_sql() -> str:
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 words AS (SELECT *, regexp_extract_all(t, '{word}') AS w,
-                 list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{word}')) AS l FROM docs),
+                 [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{word}')] AS l FROM docs),
 windows AS (SELECT r, i, array_to_string(w[i + 1 : i + 3], ' ') AS s
             FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM words WHERE len(w) >= 3)),
 twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, s) AS n FROM windows) WHERE n > 1),
