@@ -38,14 +38,9 @@ def chunk_key(lines: Column) -> Column:
     return F.md5(F.array_join(lines, "\n"))
 
 
-def chunked(docs: DataFrame, key: Callable[[Column], Column] = chunk_key) -> DataFrame:
-    """The rows as ``doc`` with identity (doc_id, ``th``), ``lines`` and ``chunks``: (start, size, key)."""
-    step = docs.select(
-        payload(docs).alias("doc"),
-        F.col("doc_id"),
-        F.md5(F.col("text")).alias("th"),
-        F.split("text", "\n").alias("lines"),
-    )
+def chunked(rows: DataFrame, text: Column, keep: list[str], key: Callable[[Column], Column] = chunk_key) -> DataFrame:
+    """The kept columns with the text's ``lines`` and its ``chunks``: (start, size, key)."""
+    step = rows.select(*keep, F.split(text, "\n").alias("lines"))
     step = step.withColumn("h", F.transform("lines", lambda x: F.md5(x)))
     before = lambda i, k: F.coalesce(F.get("h", i - k), F.lit(""))
     rolled = F.transform("h", lambda x, i: F.md5(F.concat(*[before(i, k) for k in range(WINDOW - 1, 0, -1)], x)))
@@ -66,7 +61,7 @@ def chunked(docs: DataFrame, key: Callable[[Column], Column] = chunk_key) -> Dat
         "spans",
         lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), key(F.slice("lines", s["start"] + 1, s["size"])).alias("key")),
     )
-    return step.select("doc", "doc_id", "th", "lines", chunks.alias("chunks"))
+    return step.select(*keep, "lines", chunks.alias("chunks"))
 
 
 def _candidates(cut: DataFrame) -> DataFrame:
@@ -112,9 +107,11 @@ def _mended(spelt: DataFrame) -> DataFrame:
 def marked(docs: DataFrame, key: Callable[[Column], Column] = chunk_key) -> DataFrame:
     """The rows as ``doc`` with ``lines``, ``chunks`` and ``removed``, the numbers of removed chunks."""
     same = lambda a, b: F.col(f"{a}_id").eqNullSafe(F.col(f"{b}_id")) & F.col(f"{a}_th").eqNullSafe(F.col(f"{b}_th"))
-    listed = _candidates(chunked(docs.select("doc_id", "text"), key))
-    cut = chunked(docs, key).select("doc", F.col("doc_id").alias("d_id"), F.col("th").alias("d_th"), "lines", "chunks")
-    met = store(cut.join(listed, same("d", "of"), "left").drop("of_id", "of_th"), "line-chunks")
+    known = docs.select("doc_id", F.md5("text").alias("th"), "text")
+    listed = _candidates(chunked(known, F.col("text"), ["doc_id", "th"], key))
+    rows = docs.select(payload(docs).alias("doc"), F.col("doc_id").alias("d_id"), F.md5(F.col("text")).alias("d_th"))
+    met = store(rows.join(listed, same("d", "of"), "left").drop("of_id", "of_th"), "line-chunks")
+    met = chunked(met, F.col("doc.text"), ["doc", "d_id", "d_th", "found"], key)
     found = met.where("found IS NOT NULL").select(
         F.col("d_id").alias("of_id"), F.col("d_th").alias("of_th"), "lines", "chunks", F.explode("found").alias("f")
     )

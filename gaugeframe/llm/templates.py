@@ -9,8 +9,10 @@ token, at least ``LITERALS`` tokens that are no placeholder, and consistent slot
 value of the item stands for one value of the document and the other way round, per type. So a question
 with other numbers and names is found, and one that only shares its skeleton by chance is not.
 
-The benchmark side of the join is grouped by hash and stored, so Spark knows its size: it broadcasts it
-below its threshold and shuffles beyond. Documents are not shuffled with their text unless they have a hit.
+Before the join, windows are tried against a table of bits of fixed size that marks the benchmark's hashes, so
+only hits and few others bring their tokens to the join, whatever its kind: the documents are read once, and
+their texts are never shuffled. The benchmark's windows are stored, so Spark knows their size and broadcasts
+them below its threshold.
 
 Defined cases: null and empty texts have no tokens and match nothing; items of fewer than ``SHORTEST``
 tokens match nothing; rows with equal doc_id and text are one document; null ids are ids of their own;
@@ -27,6 +29,8 @@ from .frames import payload, store
 WINDOW = 13
 SHORTEST = 8
 LITERALS = 5
+#: Size of the table of known hashes: 1 << FILTER_BITS bits.
+FILTER_BITS = 20
 #: Unit words that follow a number.
 UNITS = (
     "mg g kg t mm cm m km ml cl l s sec min h hr hrs kmh mph hz khz mhz ghz kb mb gb tb w kw mw v a j kj cal kcal pa bar "
@@ -39,36 +43,55 @@ NAME, POINT = "\u0001", "\u0002"
 
 
 def canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns with ``raw`` and ``template`` token arrays."""
+    """The kept columns with ``raw`` and ``template`` token arrays; the steps on digits are for texts that have some."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), NAME + POINT, "  ")
-    step = rows.select(*keep, text.alias("t"))
-    step = step.withColumn("t", F.regexp_replace("t", r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", NAME))
-    step = step.withColumn("t", F.regexp_replace("t", r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT))
+    step = rows.select(*keep, F.regexp_replace(text, r" (?=\p{Lu})(?<=[\p{Ll}\p{N},;] )", f" {NAME}").alias("t"))
+    step = step.withColumn("digits", F.col("t").rlike(r"\p{Nd}"))
+    digits = lambda changed: F.when(F.col("digits"), changed).otherwise(F.col("t"))
+    step = step.withColumn("t", digits(F.regexp_replace("t", r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT)))
     step = step.withColumn("t", F.regexp_replace("t", f"[^\\p{{L}}\\p{{M}}\\p{{N}}{NAME}{POINT}]+", " "))
-    step = step.withColumn("t", F.regexp_replace("t", r"(?<=\p{Nd})(?=\p{L})|(?<=\p{L})(?=\p{Nd})", " "))
+    step = step.withColumn("t", digits(F.regexp_replace("t", r"(?<=\p{Nd})(?=\p{L})|(?<=\p{L})(?=\p{Nd})", " ")))
     step = step.withColumn("t", F.lower(F.trim("t")))
     shape = F.regexp_replace("t", f"{NAME}[^ ]+", "<name>")
-    shape = F.regexp_replace(shape, f"(?<=^| )\\p{{Nd}}[\\p{{Nd}}{POINT}]*(?= |$)", "<num>")
-    shape = F.regexp_replace(shape, f"(?<=<num> )(?:{'|'.join(UNITS)})(?= |$)", "<unit>")
+    numbers = F.regexp_replace(shape, f"(?<=^| )\\p{{Nd}}[\\p{{Nd}}{POINT}]*(?= |$)", "<num>")
+    numbers = F.regexp_replace(numbers, f"(?<=<num> )(?:{'|'.join(UNITS)})(?= |$)", "<unit>")
     some = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
-    return step.select(*keep, some(F.col("t")).alias("raw"), some(shape).alias("template"))
+    return step.select(*keep, some(F.col("t")).alias("raw"), some(F.when(F.col("digits"), numbers).otherwise(shape)).alias("template"))
+
+
+def window_hash(tokens: Column) -> Column:
+    """The hash of a window from the hashes of its tokens."""
+    return F.xxhash64(tokens)
 
 
 def _windows(rows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """One row per window: its start, size and hash."""
+    """One row per window: its start, size and hash. The kept columns are not copied before they are used."""
     none = F.array().cast("array<bigint>")
+    rows = rows.withColumn("h", F.transform("template", lambda t: F.xxhash64(t)))
     hashes = lambda size: F.when(
-        F.size("template") >= size,
-        F.transform(F.sequence(F.lit(1), F.size("template") - (size - 1)), lambda i: F.xxhash64(F.slice("template", i, size))),
+        F.size("h") >= size,
+        F.transform(F.sequence(F.lit(1), F.size("h") - (size - 1)), lambda i: window_hash(F.slice("h", i, size))),
     ).otherwise(none)
     # The outer form: for the inner one Spark infers a filter on the array and computes it a second time.
-    each = F.array(*[F.struct(F.lit(size).alias("size"), hashes(size).alias("hashes")) for size in sizes])
     if len(sizes) == 1:
         return rows.select(*keep, F.lit(sizes[0]).alias("size"), F.posexplode_outer(hashes(sizes[0])).alias("start", "hash"))
-    by_size = rows.select(*keep, F.explode(each).alias("x"))
+    each = F.array(*[F.struct(F.lit(size).alias("size"), hashes(size).alias("hashes")) for size in sizes])
+    by_size = rows.select(*keep, F.explode_outer(each).alias("x"))
     return by_size.select(*keep, "x.size", F.posexplode_outer("x.hashes").alias("start", "hash"))
 
 
+def _known(known: DataFrame) -> Column:
+    """Whether column ``hash`` may be that of a benchmark window: a table of ``1 << FILTER_BITS`` bits."""
+    size = 1 << FILTER_BITS
+    word = F.floor(F.pmod("hash", F.lit(size)) / 64).cast("int")
+    bit = F.pmod("hash", F.lit(64)).cast("int")
+    rows = known.select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(hash, 64) AS int))").alias("bit"))
+    words = [0] * (size // 64)
+    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most size / 64 rows
+        words[r["word"]] = r["bits"]
+    return F.getbit(F.get(F.lit(words).cast("array<bigint>"), word), bit) == 1
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """The stored windows of the benchmark, with their tokens.
 
@@ -85,7 +108,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     cut = starts.select("item_id", "at", "size", part("raw").alias("i_raw"), part("template").alias("i_template"))
     literals = F.filter("i_template", lambda t: ~t.startswith("<"))
     cut = cut.where(F.size(literals) >= LITERALS).distinct()
-    return store(cut.withColumn("hash", F.xxhash64("i_template")), "benchmark-windows")
+    return store(cut.withColumn("hash", window_hash(F.transform("i_template", lambda t: F.xxhash64(t)))), "benchmark-windows")
 
 
 def consistent(theirs: Column, ours: Column, template: Column) -> Column:
@@ -109,17 +132,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # At most WINDOW - SHORTEST + 1 numbers.
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect()) or [WINDOW]
     keyed = docs.select("doc_id", F.md5(F.col("text")).alias("th"), "text")
-    cut = _windows(canonical(keyed, ["doc_id", "th"]), ["doc_id", "th"], sizes)
-    hashes = known.select("hash", "size").distinct()
-    found = cut.join(hashes, ["hash", "size"], "left_semi")
-    lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size", "hash")).alias("found"))
-    lists = store(lists.select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), "found"), "template-hits")
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("th").eqNullSafe(F.col("of_th"))
-    met = keyed.join(lists, same).select("doc_id", "th", "text", "found").dropDuplicates(["doc_id", "th"])
-    met = canonical(met, ["doc_id", "th", "found"])
-    spelt = met.select("doc_id", "th", "raw", "template", F.explode("found").alias("f"))
-    part = lambda c: F.expr(f"slice({c}, f.start + 1, f.size)")
-    spelt = spelt.select("doc_id", "th", "f.*", part("raw").alias("raw"), part("template").alias("template"))
+    cut = _windows(canonical(keyed, ["doc_id", "th"]), ["doc_id", "th", "raw", "template"], sizes).where(_known(known))
+    part = lambda c: F.expr(f"slice({c}, start + 1, size)")
+    spelt = cut.select("doc_id", "th", "start", "size", "hash", part("raw").alias("raw"), part("template").alias("template"))
     pairs = spelt.join(known, ["hash", "size"]).where("template = i_template")
     fits = consistent(F.col("i_raw"), F.col("raw"), F.col("template"))
     return pairs.where(fits).select("doc_id", "th", "item_id", "at", "start", "size", (F.col("raw") != F.col("i_raw")).alias("changed"))
