@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from .frames import store
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, which bounds what a step holds."""
+    for batch in batches:
+        yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 2048) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables in which no group is cut, with the first row of each group.
 
-    The batches come sorted by the keys. What is held is a batch and the group at its end.
+    The batches come sorted by the keys. What is held is a part of a batch and the group at its end.
     """
     rest: pa.Table | None = None
 
@@ -27,9 +33,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             change[1:] |= pa.compute.fill_null(pa.compute.not_equal(column.slice(1), column.slice(0, len(column) - 1)), True).to_numpy(False)
         return np.flatnonzero(change)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in sliced(batches, rows):
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
         first = firsts(table)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .frames import payload, store
-from .groups import components, whole_groups
+from .groups import components, sliced, whole_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -150,7 +150,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for batch in batches:
+        for batch in sliced(batches, 512):
             sets = [shingles(t.as_py(), known) for t in batch.column("text")]
             ids = batch.column("k").to_pylist()
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if s.size else i.encode() for s, i in zip(sets, ids)]
@@ -165,7 +165,7 @@ def _bands(classes: DataFrame) -> DataFrame:
     """A row per class and band: (band, c)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 512):
             values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
             keys = _mixed((values.astype(np.uint64) * _BAND_ODD).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             rows = np.repeat(np.arange(batch.num_rows), BANDS)
@@ -253,7 +253,7 @@ def verified(docs: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for batch in batches:
+        for batch in sliced(batches, 512):
             found = pa.array([shingles(t.as_py(), known).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("root", "total", "c")], found], kind.names)
 

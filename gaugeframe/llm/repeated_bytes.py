@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .frames import store
-from .groups import whole_groups
+from .groups import sliced, whole_groups
 
 DEPTH = 200
 GRAM = 48
@@ -143,7 +143,7 @@ def _runs(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in sliced(batches, 512):
             rows, parts = [], []
             for k, text in enumerate(batch.column("text")):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
@@ -171,22 +171,21 @@ def _stretches(docs: DataFrame, ambiguous: DataFrame) -> DataFrame:
     kind = StructType([*longs, source.schema["doc_id"], StructField("th", LongType()), StructField("bytes", BinaryType())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(k, 512) for k in range(0, whole.num_rows, 512)):
-                rows, parts, asked = [], [], batch.column("asked")
-                values = asked.flatten()
-                sizes = pa.compute.list_value_length(asked).to_numpy()
-                place = values.field("place").to_numpy()
-                at = 0
-                for k, text in enumerate(batch.column("text")):
-                    data = (text.as_py() or "").encode()
-                    for p in place[at : at + sizes[k]]:
-                        parts.append(data[p >> 16 : (p >> 16) + (p >> 8 & 255) + DEPTH])
-                    rows.append(np.full(sizes[k], k))
-                    at += sizes[k]
-                where = pa.array(np.concatenate(rows))
-                columns = [*[values.field(c) for c in ("g", "c", "n", "total", "place")], batch.column("doc_id").take(where), batch.column("th").take(where)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], kind.names)
+        for batch in sliced(batches, 512):
+            rows, parts, asked = [], [], batch.column("asked")
+            values = asked.flatten()
+            sizes = pa.compute.list_value_length(asked).to_numpy()
+            place = values.field("place").to_numpy()
+            at = 0
+            for k, text in enumerate(batch.column("text")):
+                data = (text.as_py() or "").encode()
+                for p in place[at : at + sizes[k]]:
+                    parts.append(data[p >> 16 : (p >> 16) + (p >> 8 & 255) + DEPTH])
+                rows.append(np.full(sizes[k], k))
+                at += sizes[k]
+            where = pa.array(np.concatenate(rows))
+            columns = [*[values.field(c) for c in ("g", "c", "n", "total", "place")], batch.column("doc_id").take(where), batch.column("th").take(where)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], kind.names)
 
     return met.mapInArrow(fetch, kind)
 
@@ -247,13 +246,12 @@ def _counted(stretches: DataFrame) -> DataFrame:
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for whole in batches:
-            for batch in (whole.slice(k, 1024) for k in range(0, whole.num_rows, 1024)):
-                place = batch.column("place").to_numpy()
-                row, inside, gap, h = _last_digits(batch.column("bytes").to_pylist(), place, powers)
-                where = pa.array(row)
-                told = [batch.column("g").take(where), pa.array(gap), pa.array(h.view(np.int64)), batch.column("n").take(where), pa.array((place[row] >> 16) + inside)]
-                yield pa.RecordBatch.from_arrays([*told, batch.column("doc_id").take(where), batch.column("th").take(where)], kind.names)
+        for batch in sliced(batches, 1024):
+            place = batch.column("place").to_numpy()
+            row, inside, gap, h = _last_digits(batch.column("bytes").to_pylist(), place, powers)
+            where = pa.array(row)
+            told = [batch.column("g").take(where), pa.array(gap), pa.array(h.view(np.int64)), batch.column("n").take(where), pa.array((place[row] >> 16) + inside)]
+            yield pa.RecordBatch.from_arrays([*told, batch.column("doc_id").take(where), batch.column("th").take(where)], kind.names)
 
     rows = stretches.dropDuplicates(["g", "c"]).mapInArrow(opened, kind)
     again = rows.groupBy("g", "gap", "h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
@@ -290,22 +288,21 @@ def cleaned(docs: DataFrame, with_text: bool = False) -> DataFrame:
     kind = StructType([source.schema["doc_id"], *longs, StructField("kept_sha256", StringType()), *[StructField("kept", BinaryType())] * with_text])
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(k, 512) for k in range(0, whole.num_rows, 512)):
-                rows, kept = [], []
-                for text, spans in zip(batch.column("text"), batch.column("spans")):
-                    data = (text.as_py() or "").encode()
-                    merged = merge(spans.values) if spans.is_valid else []
-                    parts, at = [], 0
-                    for a, b in merged:
-                        parts.append(data[at:a])
-                        at = b
-                    rest = b"".join([*parts, data[at:]])
-                    rows.append((len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest()))
-                    kept.append(rest)
-                columns = [pa.array(c, f) for c, f in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-                columns += [pa.array(kept, pa.binary())] if with_text else []
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], kind.names)
+        for batch in sliced(batches, 512):
+            rows, kept = [], []
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
+                data = (text.as_py() or "").encode()
+                merged = merge(spans.values) if spans.is_valid else []
+                parts, at = [], 0
+                for a, b in merged:
+                    parts.append(data[at:a])
+                    at = b
+                rest = b"".join([*parts, data[at:]])
+                rows.append((len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest()))
+                kept.append(rest)
+            columns = [pa.array(c, f) for c, f in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            columns += [pa.array(kept, pa.binary())] if with_text else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], kind.names)
 
     return met.mapInArrow(removed, kind)
 

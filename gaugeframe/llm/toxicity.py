@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from .groups import sliced
+
 BITS = 20
 #: Bound of the training sample.
 MAX_ROWS = 16_000
@@ -144,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl(), max_rows: int
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        for batch in batches:
+        for batch in sliced(batches, 512):
             found = [np.unique(features(t or "", known)).astype(np.int32) for t in batch.column("text").to_pylist()]
             lists = pa.array(found, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "features"])
@@ -171,7 +173,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = Hashes(), np.zeros(size)
         table[model[0]] = model[1]
-        for batch in batches:
+        for batch in sliced(batches, 512):
             sums = np.empty(batch.num_rows)
             for k, text in enumerate(batch.column("text")):
                 found = features(text.as_py() or "", known)
