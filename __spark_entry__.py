@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,15 +24,13 @@ NOW = "2024-02-01 00:00:00"
 SHIP_NOW = "2002-01-01 00:00:00"
 
 
-_schemas: dict[str, StructType] = {}
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table; its schema is read from the file once, as a catalogue would keep it."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder among the stored tables of the session."""
+    return f"{sources.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _six_places(x: Column) -> Column:
@@ -202,7 +201,7 @@ def _association(spark: SparkSession, folder: str) -> DataFrame:
 def _json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Orders written as JSON to the shared folder, read back with an all-text schema."""
     header = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-    path = sources.shared_folder(spark) + "/orders_json/" + os.path.basename(folder.rstrip("/"))
+    path = _scratch(spark, "orders-json")
     sources.write_json(_table(spark, folder, "orders").select(*header), path)
     return sources.read_rows(spark, path, header)
 
@@ -235,7 +234,7 @@ def _assessed_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _assessed_distinctness(spark: SparkSession, folder: str) -> DataFrame:
-    """Duplicate mass in a stored assessment: only rows with a repeated hash are compared."""
+    """Duplicate mass in a stored assessment."""
     config = plans.AssessmentConfig(columns=["l_partkey", "l_suppkey"], dimensions=["Distinctness"])
     return plans.assess(_table(spark, folder, "lineitem"), config, NOW)["final_quality"]
 
@@ -286,6 +285,171 @@ def _extended(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _comma_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with a composite key whose two values show one text: (x,b | c) and (x | b,c)."""
+    even = F.col("event_id") % 2 == 0
+    return _table(spark, folder, "events").select(
+        "event_id",
+        "ts",
+        F.when(even, F.concat("event_type", F.lit(",b"))).otherwise(F.col("event_type")).alias("a"),
+        F.when(even, "c").otherwise("b,c").alias("c"),
+    )
+
+
+def _frequency_commas(spark: SparkSession, folder: str) -> DataFrame:
+    events, keys = _comma_events(spark, folder), [["a", "c"]]
+    rates = op.update_rate_values(op.value_hour_counts(events, "ts", keys))
+    counts = op.value_hour_counts(events.filter("event_id % 3 <> 0"), "ts", keys)
+    return op.frequency_value(op.frequency_groups(counts, rates))
+
+
+def _interval_of_text_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Instants as text, each tenth one junk, which lies in no interval."""
+    junk = F.when(F.col("event_id") % 10 == 0, "junk").otherwise(F.col("ts")).alias("ts")
+    events = _text_events(spark, folder).select("event_id", "event_type", junk)
+    low, high = "05/01/2024 00.00.00", "20/01/2024 12.00.00"
+    times = {"ts": "%d/%m/%y %H:%M:%S,%f"}
+    return op.filter_intervals(events, {"ts": [(low, high)]}, timestamps=times, on_invalid="skip").drop("ts")
+
+
+def _stored_allow_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The allow-lists as JSON text, read back and held against typed columns."""
+    paths = []
+    for allowed in _allow_lists(spark, folder):
+        paths.append(_scratch(spark, "allow-list"))
+        sources.write_json(allowed, paths[-1])
+    columns = ["c_nationkey", "c_mktsegment"]
+    lists = sources.read_allow_lists(spark, [*paths, paths[0] + "-absent"], columns)
+    marked = op.association_consistency(_table(spark, folder, "customer"), lists, columns)
+    return marked.select("c_custkey", F.col("ASSOCIATION_CONSISTENCY").cast("double").alias("ASSOCIATION_CONSISTENCY"))
+
+
+def _numbers_in_allow_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """A double column against lists of texts: 5 and 5.0 are one number, x is none."""
+    texts = [spark.createDataFrame([(t,) for t in part], "l_quantity string") for part in (["5", "7.0", "x"], ["5.00", "9"])]
+    lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    marked = op.association_consistency(lines, texts, ["l_quantity"])
+    return marked.withColumn("ASSOCIATION_CONSISTENCY", F.col("ASSOCIATION_CONSISTENCY").cast("double"))
+
+
+def _structured_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark, "order-lines")
+    sources.write_text(_order_lines(spark, folder), path)
+    return sources.structure_text(sources.read_text_lines(spark, path), ORDER_REGEX, ORDER_FIELDS)
+
+
+def _metadata_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Update rates as a profiling step leaves them beside a source."""
+    path = _scratch(spark, "source")
+    counts = op.value_hour_counts(_table(spark, folder, "events"), "ts", EVENT_KEYS, apart=EVENT_APART)
+    sources.write_json(op.update_rate_values(counts).drop("Parts"), f"{path}/update_rate_values_ts")
+    return sources.read_metadata(spark, path, "update_rate_values", "ts")
+
+
+def _source_quality_copy(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark, "source")
+    quality = _table(spark, folder, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    sources.write_json(quality, f"{path}/source_quality")
+    sources.copy_source_quality(spark, path, f"{path}/out")
+    return spark.read.schema(quality.schema).json(f"{path}/out/source_quality")
+
+
+def _kept_output(spark: SparkSession, folder: str) -> DataFrame:
+    """A second write with "ignore" leaves the first output as it is."""
+    path, header = _scratch(spark, "kept"), ["o_orderkey", "o_orderstatus"]
+    orders = _table(spark, folder, "orders").select(*header)
+    for status in ("O", "F"):
+        sources.write_json(orders.filter(F.col("o_orderstatus") == status), path, "ignore")
+    return sources.read_rows(spark, path, header)
+
+
+def _text_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path = _scratch(spark, "customers")
+    sources.write_text(_table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), path, ";")
+    return sources.read_text_lines(spark, path)
+
+
+def _extended_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path, table = _scratch(spark, "extended"), _extended(spark, folder)
+    sources.write_extended(table, path)
+    return spark.read.schema(table.schema).json(path)
+
+
+def _stored_and_custom_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules of the metadata beside a source and rules of the configuration, one of them in both."""
+    path, part = _scratch(spark, "source"), _table(spark, folder, "part")
+    pairs = part.limit(1).select(F.inline(F.array(*[F.struct(F.lit(x).alias("Antecedent"), F.lit(y).alias("Consequent")) for x, y in (("p_brand", "p_type"), ("p_brand,p_type", "p_size"))])))
+    sources.write_json(pairs, f"{path}/association_rules")
+    config = plans.AssessmentConfig(
+        columns=["p_brand", "p_type", "p_size"],
+        dimensions=["Consistency"],
+        granularity={"Consistency": ["value"]},
+        rules=["p_type:p_brand", "p_brand:p_type"],
+    )
+    metadata = plans.SourceMetadata(association_rules=sources.read_metadata(spark, path, "association_rules"))
+    return plans.assess(part, config, NOW, metadata, stored=False)["consistency_values"]
+
+
+def _bernoulli_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of a random sample: no foreign and no repeated key, a fitting share, the same rows again."""
+    orders = _table(spark, folder, "orders").select("o_orderkey")
+    draw = lambda: op.sample_rows(orders, 0.25, 7)
+    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    total, drawn = n(orders), n(draw())
+    return orders.agg(F.count(F.lit(1)).alias("n")).select(
+        (n(draw().join(orders, "o_orderkey", "left_anti")) == 0).alias("is_subset"),
+        (n(draw().distinct()) == drawn).alias("is_unique"),
+        (F.abs(drawn - total * 0.25) <= 5 * F.sqrt(total * 0.1875)).alias("share_fits"),
+        (n(draw().join(draw(), "o_orderkey", "left_anti")) == 0).alias("same_again"),
+    )
+
+
+def _dirty_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with empty and NULL types and coarse amounts, so that many rows repeat."""
+    kind = F.when(F.col("user_id") % 7 == 0, "").when(F.col("user_id") % 11 != 0, F.col("event_type"))
+    return _table(spark, folder, "events").select(kind.alias("kind"), F.floor(F.col("value") / 20).alias("amount"), "ts")
+
+
+DIRTY_EVENTS = """dirty AS (SELECT CASE WHEN user_id % 7 = 0 THEN '' WHEN user_id % 11 <> 0 THEN event_type END AS kind,
+  CAST(floor(value / 20) AS BIGINT) AS amount, ts FROM events)"""
+
+
+def _dirty_config(level: str) -> plans.AssessmentConfig:
+    wanted = ("Volume", "Completeness_Missing", "Distinctness", "Precision")
+    return plans.AssessmentConfig(
+        columns=["kind", "amount"],
+        keys=[["kind"]],
+        dimensions=wanted,
+        granularity={name: [level] for name in wanted},
+        numeric_columns=["amount"],
+    )
+
+
+def _dirty_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return plans.final_quality(_dirty_events(spark, folder), _dirty_config("global"), NOW)
+
+
+def _assessed_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    """Attribute tables of a stored assessment of dirty rows as one long table."""
+    config = replace(_dirty_config("attribute"), dimensions=("Completeness_Missing", "Distinctness", "Precision"))
+    tables = plans.assess(_dirty_events(spark, folder), config, NOW)
+
+    def lines(name: str, metric: str) -> DataFrame:
+        return tables[name].select("Attribute", F.lit(metric).alias("Metric"), F.col(metric).cast("double").alias("Result"))
+
+    return (
+        lines("completeness_missing_attributes", "CompletenessMissingValue")
+        .unionByName(lines("distinctness_attributes", "DistinctCount"))
+        .unionByName(lines("precision_attributes", "Precision"))
+    )
+
+
+def _mixed_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Two reports of different samples: the mean hangs on how many metrics each has."""
+    whole = plans.long_report(_dirty_quality(spark, folder))
+    return plans.mean_confidence(_sampled_report(spark, folder).unionByName(whole))
+
+
 def _training_data_modules():
     """The optional subpackage with its pipeline, or None where it was left out."""
     try:
@@ -357,7 +521,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "completeness_frequency_attribute": _on("events", lambda t: op.frequency_attribute(_frequency(t))),
         "update_rate_global": _on("events", lambda t: op.update_rate_global(op.hour_counts(t, "ts"))),
         "update_rate_values": _on(
-            "events", lambda t: op.update_rate_values(op.value_hour_counts(t, "ts", EVENT_KEYS, apart=EVENT_APART))
+            "events",
+            lambda t: op.update_rate_values(op.value_hour_counts(t, "ts", EVENT_KEYS, apart=EVENT_APART)).drop("Parts"),
         ),
         "completeness_population": _on("orders", _population),
         "source_distinctness": _on(
@@ -440,6 +605,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _sampled_report(s, d).withColumn("Value", F.col("Value").cast("double"))
         ),
         "mean_confidence": lambda s, d: plans.mean_confidence(_sampled_report(s, d)),
+        "mixed_confidence": lambda s, d: _rounded(_mixed_confidence(s, d)),
+        "completeness_frequency_commas": lambda s, d: _rounded(_frequency_commas(s, d)),
+        "select_interval_text_timestamp": _interval_of_text_times,
+        "interval_on_nulls": lambda s, d: op.filter_intervals(_dirty_orders(s, d), {"o_orderpriority": [("2-HIGH", None)]}),
+        "read_allow_lists": lambda s, d: _rounded(_stored_allow_lists(s, d)),
+        "allow_list_numbers": _numbers_in_allow_lists,
+        "read_text_structured": _structured_from_files,
+        "metadata_round_trip": lambda s, d: _rounded(_metadata_round_trip(s, d)),
+        "source_quality_copy": _source_quality_copy,
+        "keep_existing_output": _kept_output,
+        "text_sink": _text_sink,
+        "extended_sink": lambda s, d: _rounded(_extended_sink(s, d)),
+        "stored_and_custom_rules": lambda s, d: _rounded(_stored_and_custom_rules(s, d)),
+        "sample_bernoulli_facts": _bernoulli_facts,
+        "final_quality_dirty": lambda s, d: _rounded(_dirty_quality(s, d)),
+        "assessed_attributes": lambda s, d: _rounded(_assessed_attributes(s, d)),
     }
     out.update(_training_data_queries())
     return out
@@ -670,12 +851,12 @@ def oracle_sql() -> dict[str, str]:
     accuracy = _accuracy_sql(LINE_KEYS)
     placed = "(SELECT * FROM orders WHERE o_orderstatus IN ('O', 'F'))"
     cents = "CAST(trunc(o_totalprice * 100) AS BIGINT)"
-    hashed = "CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2500"
+    hashed = f"CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) < {2**58}"
     duplicates = (
         "SELECT round(greatest(0e0, 1e0 - coalesce(sum(c / 2) FILTER (WHERE c / 2 > 1), 0) / sum(c)), 6) "
         'AS "Distinctness" FROM (SELECT count(*) AS c FROM {table} GROUP BY {columns})'
     )
-    return {
+    sql = {
         "accuracy_global": "SELECT "
         + ", ".join(
             f"round(avg(ceil({_score(t.column, t.mean, t.width)})), 6) AS \"Accuracy_Static_{t.column}\", "
@@ -827,5 +1008,54 @@ def oracle_sql() -> dict[str, str]:
             )
         ),
         "mean_confidence": "SELECT avg(c) AS \"Confidence\" FROM (SELECT 0.25e0 AS c FROM orders)",
-        **_training_data_sql(),
     }
+    sql["mixed_confidence"] = "SELECT round((5 * 0.25e0 + 6 * 1e0) / 11, 6) AS \"Confidence\" FROM (SELECT count(*) FROM orders)"
+    sql["completeness_frequency_commas"] = f"""
+        WITH seen AS (SELECT ts, event_id, hour(ts) AS h, CASE WHEN event_id % 2 = 0 THEN event_type || ',b' ELSE event_type END AS a,
+          CASE WHEN event_id % 2 = 0 THEN 'c' ELSE 'b,c' END AS c FROM events),
+        rates AS (SELECT a, c, h, count(*) / ({DAYS} * 3600e0) AS f FROM seen GROUP BY a, c, h),
+        counts AS (SELECT a, c, h, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM seen WHERE event_id % 3 <> 0 GROUP BY a, c, h),
+        rolled AS (SELECT a, c, sum(n) AS n, date_diff('microsecond', min(lo), max(hi)) / 1e6 AS e, avg(f) AS f
+          FROM counts JOIN rates USING (a, c, h) GROUP BY a, c)
+        SELECT 'a_c' AS "Attribute", a || ',' || c AS "Value", CAST(n AS BIGINT) AS "RecordNumber",
+          round(least(1e0, n / (e * f)), 6) AS "CompletenessFrequencyValue" FROM rolled WHERE e * f > 0"""
+    sql["select_interval_text_timestamp"] = (
+        "SELECT event_id, event_type FROM events WHERE event_id % 10 <> 0 "
+        "AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"
+    )
+    sql["interval_on_nulls"] = f"WITH {DIRTY} SELECT * FROM dirty WHERE o_orderpriority >= '2-HIGH'"
+    sql["read_allow_lists"] = sql["association_consistency_tuple"]
+    sql["allow_list_numbers"] = (
+        "SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity = 5 THEN 1e0 WHEN l_quantity IN (7, 9) THEN 0.5e0 "
+        'ELSE 0e0 END AS "ASSOCIATION_CONSISTENCY" FROM lineitem'
+    )
+    sql["read_text_structured"] = sql["structure_text"]
+    sql["metadata_round_trip"] = sql["update_rate_values"]
+    sql["source_quality_copy"] = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"
+    sql["keep_existing_output"] = (
+        "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'"
+    )
+    sql["text_sink"] = (
+        "SELECT CAST(c_custkey AS VARCHAR) || ';' || c_mktsegment || ';' || CAST(c_nationkey AS VARCHAR) AS value FROM customer"
+    )
+    sql["extended_sink"] = sql["extended_dataset"]
+    stored_rules = op.rule_set(["p_type:p_brand", "p_brand:p_type", "p_brand,p_type:p_size"])
+    sql["stored_and_custom_rules"] = _rule_value_sql("part", stored_rules)
+    sql["sample_bernoulli_facts"] = (
+        "SELECT true AS is_subset, true AS is_unique, true AS share_fits, true AS same_again FROM (SELECT count(*) FROM orders)"
+    )
+    complete = "kind IS NOT NULL AND amount IS NOT NULL"
+    precision = "greatest(0e0, 1e0 - stddev_pop(amount) / abs(avg(amount)))"
+    sql["final_quality_dirty"] = f"""WITH {DIRTY_EVENTS},
+        seen AS (SELECT * FROM dirty WHERE {complete}), groups AS (SELECT count(*) AS c FROM seen GROUP BY kind, amount)
+        SELECT round(least(1e0, count(*) / (SELECT count(*) FROM dirty)), 6) AS "Volume", count(*) AS "Volume(TotalRows)",
+          round({precision}, 6) AS "Precision_amount", round(stddev_pop(amount), 6) AS "Precision(Deviation)_amount",
+          (SELECT round(avg({_present("kind")} + {_present("amount")}) / 2, 6) FROM dirty) AS "Completeness_Missing",
+          (SELECT round(greatest(0e0, 1e0 - coalesce(sum(c / 2) FILTER (WHERE c / 2 > 1), 0) / sum(c)), 6) FROM groups) AS "Distinctness",
+          1e0 AS "Confidence" FROM seen"""
+    sql["assessed_attributes"] = f"""WITH {DIRTY_EVENTS}, seen AS (SELECT * FROM dirty WHERE {complete}),
+        kinds AS (SELECT kind, {precision} AS p FROM seen GROUP BY kind)
+        SELECT 'kind' AS "Attribute", 'CompletenessMissingValue' AS "Metric", round(avg({_present("kind")}), 6) AS "Result" FROM dirty
+        UNION ALL SELECT 'kind', 'DistinctCount', CAST(count(*) AS DOUBLE) FROM kinds
+        UNION ALL SELECT 'kind', 'Precision', round(avg(p), 6) FROM kinds"""
+    return {**sql, **_training_data_sql()}

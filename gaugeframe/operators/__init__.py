@@ -18,9 +18,7 @@ from .consistency import (
 from .distinctness import (
     completeness_population,
     distinctness_attribute,
-    distinctness_by_hash,
     distinctness_global,
-    repeated_hashes,
     source_distinctness,
 )
 from .frequency import (
@@ -34,7 +32,6 @@ from .frequency import (
     update_rate_values,
     value_hour_counts,
 )
-from .grouping import large_keys
 from .precision import precision_attribute, precision_global, precision_value
 from .selection import (
     drop_incomplete,

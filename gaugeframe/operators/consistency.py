@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions import column, group_cell, key_part, ratio
+from ..functions import column, data_type, group_cell, key_part, ratio
 from .grouping import aggregate_sets, split_passes
 
 Rule = tuple[tuple[str, ...], tuple[str, ...]]
@@ -130,6 +133,12 @@ def usable_allow_lists(allow_lists: Sequence[DataFrame], columns: Sequence[str])
     return [a for a in allow_lists if a.columns and set(a.columns) <= set(columns)]
 
 
+def _as_source(source: DataFrame, name: str) -> Column:
+    """A list's cell in the source column's type; NULL where its text is no such value."""
+    kind = data_type(source, name)
+    return column(name) if isinstance(kind, StringType) else column(name).cast("string").try_cast(kind)
+
+
 def association_consistency(
     source: DataFrame,
     allow_lists: Sequence[DataFrame],
@@ -138,23 +147,34 @@ def association_consistency(
 ) -> DataFrame:
     """Per-row share of usable allow-lists that contain the row's binding.
 
-    Lists are deduplicated, so rows never multiply. Nothing is forced to broadcast: a
-    list below Spark's broadcast threshold is broadcast and the source is not shuffled.
-    A larger one is a sort-merge join on the binding as one array; since the list is
-    deduplicated on its columns but joined on the array, both join inputs are plain
+    A list's text is cast to the source column's type before both are compared, so "1"
+    matches the double 1.0; text that cannot be cast matches nothing. Lists over the same
+    columns are merged to one table of (binding, lists that hold it), so k lists cost one
+    join per set of columns, and rows never multiply. Nothing is forced to broadcast: a
+    table below Spark's broadcast threshold is broadcast and the source is not shuffled.
+    A larger one is a sort-merge join on the binding as one array; since the table is
+    grouped on its columns but joined on the array, both join inputs are plain
     shuffles, which lets adaptive execution split a binding that dominates the source.
     """
     usable = usable_allow_lists(allow_lists, columns)
     if not usable:
         return source
+    merged: dict[tuple[str, ...], list[DataFrame]] = {}
+    for allowed in usable:
+        merged.setdefault(tuple(sorted(allowed.columns)), []).append(allowed)
     out, hits = source, F.lit(0.0)
-    for i, allowed in enumerate(usable):
-        names, binding, listed = allowed.columns, f"__binding_{i}", f"__listed_{i}"
+    for i, (names, lists) in enumerate(merged.items()):
+        binding, listed = f"__binding_{i}", f"__listed_{i}"
         parts = [f"binding_part_{j}" for j in range(len(names))]
-        distinct = allowed.select(
-            *[key_part(column(c)).alias(p) for c, p in zip(names, parts)]
-        ).distinct()
-        marks = distinct.select(F.array(*parts).alias(binding), F.lit(1.0).alias(listed))
+        cells = None
+        for number, allowed in enumerate(lists):
+            cast = [key_part(_as_source(source, c)).alias(p) for c, p in zip(names, parts)]
+            # Text that the source's type cannot hold becomes NULL, which would match a NULL cell.
+            sound = allowed.filter(reduce(and_, [column(c).isNull() | _as_source(source, c).isNotNull() for c in names]))
+            own = sound.select(*cast, F.lit(number).alias("list")).distinct()
+            cells = own if cells is None else cells.unionByName(own)
+        marks = cells.groupBy(*parts).agg(F.count(F.lit(1)).cast("double").alias(listed))
+        marks = marks.select(F.array(*parts).alias(binding), listed)
         out = out.withColumn(binding, F.array(*[key_part(column(c)) for c in names]))
         out = out.join(marks, on=binding, how="left").drop(binding)
         hits = hits + F.coalesce(F.col(listed), F.lit(0.0))

@@ -83,8 +83,37 @@ def update_rate_global(counts: DataFrame) -> DataFrame:
 
 
 def update_rate_values(counts: DataFrame) -> DataFrame:
-    """Records per second per key value and hour of day, from value_hour_counts."""
-    return counts.select(F.col("Attribute").alias("Key"), "Value", "Hour", _rate().alias("Frequency"))
+    """Records per second per key value and hour of day, from value_hour_counts.
+
+    ``Parts`` holds the components of the value, which tell values with commas apart.
+    """
+    return counts.select(F.col("Attribute").alias("Key"), "Value", "Parts", "Hour", _rate().alias("Frequency"))
+
+
+def _met(counts: DataFrame, rates: DataFrame) -> DataFrame:
+    """The counts with the rate of their value and hour; no row is ever multiplied.
+
+    Rates are met on the parts of a value. Stored rates that only have the display text
+    are met on that; then two values of one display text, and in either case two rates of
+    one value and hour, raise.
+    """
+    by = "Parts" if "Parts" in rates.columns else "Value"
+    once = rates.groupBy(F.col("Key").alias("Attribute"), by, "Hour").agg(
+        F.min("Frequency").alias("Frequency"), F.count(F.lit(1)).alias("rates")
+    )
+    rated = counts.join(once, ["Attribute", by, "Hour"])
+    failed = F.when(F.col("rates") > 1, F.raise_error(F.lit("two rates for one key value and hour")))
+    rated = rated.withColumn("Frequency", F.coalesce(failed.cast("double"), F.col("Frequency"))).drop("rates")
+    if by == "Parts":
+        return rated
+    shown = rated.groupBy("Attribute", "Value", "Hour").agg(
+        F.min("Parts").alias("Parts"),
+        F.max("Parts").alias("other"),
+        *[F.min(c).alias(c) for c in ("RecordNumber", "First", "Last", "Frequency")],
+    )
+    clash = F.raise_error(F.lit("two key values have one display text: their rates need Parts"))
+    parts = F.when(F.col("Parts") == F.col("other"), F.col("Parts")).otherwise(clash.cast("array<string>"))
+    return shown.withColumn("Parts", parts).drop("other")
 
 
 def frequency_hour(counts: DataFrame, rates: DataFrame, confidence: float = 1.0) -> DataFrame:
@@ -108,11 +137,7 @@ def frequency_groups(counts: DataFrame, rates: DataFrame, confidence: float = 1.
     moves at most 24 rows per value on each side. A value without elapsed time or rate
     has NULL and belongs to neither published table.
     """
-    rated = counts.join(
-        rates.select(F.col("Key").alias("Attribute"), "Value", "Hour", "Frequency"),
-        ["Attribute", "Value", "Hour"],
-    )
-    rolled = rated.groupBy("Attribute", "Parts").agg(
+    rolled = _met(counts, rates).groupBy("Attribute", "Parts").agg(
         F.sum("RecordNumber").alias("RecordNumber"),
         F.min("First").alias("First"),
         F.max("Last").alias("Last"),

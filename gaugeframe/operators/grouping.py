@@ -25,22 +25,6 @@ def usable_keys(keys: Keys, excluded: Iterable[str] = ()) -> list[tuple[str, ...
     return usable
 
 
-def large_keys(rows: DataFrame, keys: Keys, limit: int = 100_000) -> list[int]:
-    """Positions of the keys with more than about ``limit`` distinct values.
-
-    One scan of the key columns with a sketch per key and a single collected row. Worth
-    it before a pass over many keys: see ``apart`` of group_by_keys.
-    """
-    if len(keys) < 2:
-        return []
-    sketches = [
-        F.approx_count_distinct(F.xxhash64(*[group_cell(rows, name) for name in key])).alias(f"key_{i}")
-        for i, key in enumerate(keys)
-    ]
-    sizes = rows.agg(*sketches).first()
-    return [i for i in range(len(keys)) if sizes[i] > limit]
-
-
 def group_by_keys(
     rows: DataFrame,
     keys: Keys,

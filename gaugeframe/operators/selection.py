@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import bound_instant, column, data_type, key_part, to_instant
 
 COMPARE_MODES = ("string", "typed")
-BUCKETS = 10_000
+# Bits of the hash that decides a sample by key.
+SAMPLE_BITS = 60
 
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -37,16 +38,19 @@ def interval_condition(
     compare: str = "string",
     time_format: str | None = None,
     timestamp: bool = False,
+    on_invalid: str = "fail",
 ) -> Column:
     """The column is not NULL and lies in one of the closed intervals.
 
-    Bounds may be open (None or ""). Timestamp columns compare instants; others compare
-    as text, or in the column's own type with ``compare="typed"``.
+    Bounds may be open (None or ""). Timestamp columns compare instants (text that is none
+    raises, or with ``on_invalid="skip"`` lies in no interval); others compare as text,
+    which keeps a numeric column's filter from the scan, or in the column's own type with
+    ``compare="typed"``.
     """
     if compare not in COMPARE_MODES:
         raise ValueError(f"compare must be one of {COMPARE_MODES}")
     if timestamp:
-        value, literal = to_instant(df, name, time_format), bound_instant
+        value, literal = to_instant(df, name, time_format, on_invalid), bound_instant
     elif compare == "typed":
         kind = data_type(df, name)
         value, literal = column(name), lambda b: F.lit(b).cast(kind)
@@ -67,6 +71,7 @@ def filter_intervals(
     intervals: Mapping[str, Sequence[tuple]],
     compare: str | Mapping[str, str] = "string",
     timestamps: Mapping[str, str | None] | None = None,
+    on_invalid: str = "fail",
 ) -> DataFrame:
     """Alternatives within a column, conjunction across columns, in a single filter."""
     timestamps = timestamps or {}
@@ -75,7 +80,7 @@ def filter_intervals(
             continue
         mode = compare if isinstance(compare, str) else compare.get(name, "string")
         df = df.filter(
-            interval_condition(df, name, pairs, mode, timestamps.get(name), name in timestamps)
+            interval_condition(df, name, pairs, mode, timestamps.get(name), name in timestamps, on_invalid)
         )
     return df
 
@@ -122,9 +127,8 @@ def sample_by_key(df: DataFrame, name: str, fraction: float) -> DataFrame:
     """Sample decided by a hash of one column's text: equal keys (NULL included) are kept
     or dropped together, and a rerun or a recomputed partition picks the same rows."""
     check_fraction(fraction)
-    prefix = F.substring(F.md5(key_part(column(name))), 1, 8)
-    bucket = F.conv(prefix, 16, 10).cast("bigint") % BUCKETS
-    return df.filter(bucket < round(fraction * BUCKETS))
+    prefix = F.substring(F.md5(key_part(column(name))), 1, SAMPLE_BITS // 4)
+    return df.filter(F.conv(prefix, 16, 10).cast("bigint") < int(fraction * 2**SAMPLE_BITS))
 
 
 def check_fraction(fraction: float) -> None:
@@ -142,10 +146,11 @@ def select_rows(
     fraction: float = 1.0,
     seed: int = 42,
     sample_key: str | None = None,
+    on_invalid: str = "fail",
 ) -> DataFrame:
     """The selection stage: projection, intervals, value lists, then sampling."""
     rows = select_columns(df, columns)
-    rows = filter_intervals(rows, intervals or {}, compare, timestamps)
+    rows = filter_intervals(rows, intervals or {}, compare, timestamps, on_invalid)
     rows = filter_values(rows, values or {})
     if sample_key:
         return sample_by_key(rows, sample_key, fraction)

@@ -41,11 +41,9 @@ from ..operators.consistency import (
 )
 from ..operators.distinctness import (
     distinctness_attributes,
-    distinctness_by_hash,
     distinctness_global,
     key_cardinality,
     population_attributes,
-    repeated_hashes,
 )
 from ..operators.frequency import (
     frequency_attribute,
@@ -57,7 +55,7 @@ from ..operators.frequency import (
     roll_up_hours,
     value_hour_counts,
 )
-from ..operators.grouping import group_by_keys, label_of, large_keys, usable_keys
+from ..operators.grouping import group_by_keys, label_of, usable_keys
 from ..operators.precision import (
     precision_attribute,
     precision_inputs,
@@ -141,7 +139,14 @@ class _Run:
             config.sample_fraction,
             config.sample_seed,
             config.sample_key,
+            config.on_invalid,
         )
+        drawn = config.sample_fraction < 1 and not config.sample_key
+        if drawn and any(isinstance(v, DataFrame) for v in config.values.values()):
+            # Behind a join two scans may draw different rows.
+            if not stored:
+                raise ValueError("a random sample of rows met by a value table must be stored, or sampled by key")
+            store_rows = True
         if store_rows:
             self.rows = store(self.rows, "rows")
         self.complete_rows = drop_incomplete(self.rows)
@@ -153,7 +158,6 @@ class _Run:
         self.numbers = config.precision_columns()
         self.times = config.time_columns()
         self.stored = stored
-        self.measured: dict[tuple, list[int]] = {}
         self.counted: DataFrame | None = None
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -168,13 +172,9 @@ class _Run:
         return self.counted.scalar()
 
     def large(self, keys: Sequence[Sequence[str]]) -> list[int]:
-        """Keys that get a scan of their own; a lazy run does not look at the data."""
-        if not self.stored:
-            return []
-        wanted = tuple(tuple(key) for key in keys)
-        if wanted not in self.measured:
-            self.measured[wanted] = large_keys(self.rows, wanted)
-        return self.measured[wanted]
+        """Positions of the keys that the configuration declares to have very many values."""
+        declared = {frozenset(key) for key in self.config.large_keys}
+        return [i for i, key in enumerate(keys) if frozenset(key) in declared]
 
     def wants(self, dimension: str, *levels: str) -> bool:
         return any(self.config.wants(dimension, level) for level in levels)
@@ -248,7 +248,7 @@ def _aggregates(run: _Run) -> tuple[DataFrame, DataFrame | None]:
     inputs, measures = _measures(run, ("global", "attribute"))
     totals = run.rows.select(*inputs).agg(*measures)
     inputs, measures = _measures(run, ("attribute", "value"))
-    return totals, group_by_keys(run.rows, run.keys, inputs, measures)
+    return totals, group_by_keys(run.rows, run.keys, inputs, measures, apart=run.large(run.keys))
 
 
 def _frequency(run: _Run) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -282,10 +282,7 @@ def _frequency(run: _Run) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
 
 
 def _distinctness(run: _Run) -> DataFrame:
-    """Duplicates of whole rows; a stored run looks at row hashes first."""
-    if run.stored:
-        hashes = run.keep(repeated_hashes(run.complete_rows, run.columns), "row-hashes")
-        return distinctness_by_hash(run.complete_rows, run.columns, hashes)
+    """Duplicates of whole rows."""
     return distinctness_global(run.complete_rows, run.columns)
 
 
@@ -488,11 +485,17 @@ def mean_confidence(report: DataFrame) -> DataFrame:
     return report.agg(F.avg("Confidence").alias("Confidence"))
 
 
-def write_assessment(tables: Mapping[str, DataFrame], output: str) -> None:
-    """One JSON folder per table; an existing per-value frequency table is kept."""
+def write_assessment(tables: Mapping[str, DataFrame], output: str, mode: str = "overwrite") -> None:
+    """One JSON folder per table.
+
+    ``mode="keep"`` leaves an existing per-value frequency table as it is, for folders that
+    belong to one run; by default no table of an earlier run stays beside new ones.
+    """
+    if mode not in ("overwrite", "keep"):
+        raise ValueError("mode must be overwrite or keep")
     for name, table in tables.items():
         if name == "extended_dataset":
             write_extended(table, f"{output}/{name}")
         else:
-            mode = "ignore" if name == "completeness_frequency_values" else "overwrite"
-            write_json(table, f"{output}/{name}", mode, single_file=name in BOUNDED_TABLES)
+            kept = mode == "keep" and name == "completeness_frequency_values"
+            write_json(table, f"{output}/{name}", "ignore" if kept else "overwrite", single_file=name in BOUNDED_TABLES)

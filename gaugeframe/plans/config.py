@@ -34,6 +34,8 @@ class AssessmentConfig:
     ``granularity`` maps a dimension to granularities; blank or absent means global.
     "Consistency-R" among the dimensions forces the per-row consistency refresh.
     ``timestamps`` maps a timestamp column to its strptime format (None when typed).
+    ``large_keys`` declares keys (or rule sides) with more values than a map task can
+    combine; each gets a scan of its own, which changes the plan and not the result.
     """
 
     columns: Sequence[str]
@@ -48,7 +50,7 @@ class AssessmentConfig:
     numeric_columns: Sequence[str] | None = None
     timestamps: Mapping[str, str | None] = field(default_factory=dict)
     volatility_hours: Mapping[str, float] = field(default_factory=dict)
-    default_volatility_hours: float = DEFAULT_VOLATILITY_HOURS
+    default_volatility_hours: float | None = None
     rules: Sequence = ()
     allow_list_names: Sequence[str] = ()
     refreshed_allow_list_names: Sequence[str] | None = None
@@ -57,6 +59,7 @@ class AssessmentConfig:
     sample_seed: int = 42
     sample_key: str | None = None
     on_invalid: str = "fail"
+    large_keys: Sequence[Sequence[str]] = ()
 
     def __post_init__(self):
         known = set(self.columns)
@@ -64,6 +67,7 @@ class AssessmentConfig:
             raise ValueError("columns must be a non-empty list without repeats")
         for what, names in (
             ("key", [name for key in self.keys for name in key]),
+            ("large key", [name for key in self.large_keys for name in key]),
             ("interval", self.intervals),
             ("value list", self.values),
             ("accuracy", [*self.expected_mean, *self.interval_width]),
@@ -118,7 +122,7 @@ class AssessmentConfig:
     def time_columns(self) -> list[TimeColumn]:
         """Timestamp columns among the assessed ones; a blank volatility takes the default."""
         return [
-            TimeColumn(c, float(self.volatility_hours.get(c) or self.default_volatility_hours), self.timestamps[c])
+            TimeColumn(c, float(self.volatility_hours.get(c) or self.default_volatility_hours or DEFAULT_VOLATILITY_HOURS), self.timestamps[c])
             for c in self.columns
             if c in self.timestamps
         ]

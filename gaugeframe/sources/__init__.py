@@ -13,6 +13,7 @@ from .writers import (
     copy_source_quality,
     shared_folder,
     store,
+    stored_tables,
     write_extended,
     write_json,
     write_text,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +20,17 @@ def text_schema(header: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType(), True) for name in header])
 
 
-def read_rows(spark: SparkSession, paths: str | Sequence[str], header: Sequence[str]) -> DataFrame:
-    """JSON Lines rows with an all-text schema; no inference pass."""
-    return spark.read.schema(text_schema(header)).json(paths if isinstance(paths, str) else list(paths))
+def read_rows(
+    spark: SparkSession, paths: str | Sequence[str], header: Sequence[str], on_malformed: str = "fail"
+) -> DataFrame:
+    """JSON Lines rows with an all-text schema; no inference pass.
+
+    A line that is no JSON object raises; with ``on_malformed="null"`` it is a row of NULLs.
+    """
+    if on_malformed not in ON_MISMATCH:
+        raise ValueError(f"on_malformed must be one of {ON_MISMATCH}")
+    reader = spark.read.schema(text_schema(header)).option("mode", "FAILFAST" if on_malformed == "fail" else "PERMISSIVE")
+    return reader.json(paths if isinstance(paths, str) else list(paths))
 
 
 def read_text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -89,7 +97,8 @@ def read_analysed_source(
     """The analysed updates of a source folder: JSON rows, or text lines with a regex.
 
     Only file names of the update catalogue reach the driver: they are the path list of
-    one multi-path read.
+    one multi-path read, a name per update, which Spark itself keeps on the driver for
+    any listing of files. A catalogue of millions of updates should be compacted first.
     """
     catalogue = spark.read.schema("fileName string, correctAnalysis int").json(
         f"{folder}/source_analysed_updates"
@@ -105,6 +114,7 @@ def read_analysed_source(
 
 # The metadata tables beside a source and their schemas.
 METADATA_SCHEMAS = {
+    "preliminary_information": "header array<string>, regex string, volatiliy string, consistencyRuleFiles array<string>",
     "timelinessMetadata": "timelinessNames array<string>, timeFormats array<string>",
     "update_rate_global": "Hour int, Frequency double",
     "update_rate_values": "Key string, Value string, Hour int, Frequency double",
@@ -127,13 +137,23 @@ def read_metadata(
 
 
 def read_allow_lists(
-    spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    columns: Sequence[str] | None = None,
+    schemas: Mapping[str, Sequence[str]] | None = None,
 ) -> list[DataFrame]:
-    """Allow-lists (JSON) whose columns are all among ``columns``; absent files are skipped."""
+    """Allow-lists (JSON) whose columns are all among ``columns``; absent files are skipped.
+
+    A malformed line raises. ``schemas`` names the columns of a list by path, which saves the
+    reading of a long list to infer them.
+    """
     out = []
     for path in paths:
+        reader = spark.read.option("primitivesAsString", True).option("mode", "FAILFAST")
+        if schemas and path in schemas:
+            reader = reader.schema(text_schema(schemas[path]))
         try:
-            table = spark.read.option("primitivesAsString", True).json(path)
+            table = reader.json(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

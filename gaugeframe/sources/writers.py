@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import column
 
+# The folder of the innermost stored_tables block, and of local applications without a shared one.
+_folder: ContextVar[str | None] = ContextVar("stored-tables", default=None)
+_local: dict[str, str] = {}
+
 WRITE_MODES = ("overwrite", "ignore", "append", "error")
 
 
@@ -42,14 +51,38 @@ def copy_source_quality(spark: SparkSession, folder: str, output: str) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a local session without that setting gets a temporary folder: one per
+    application, removed when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    application = spark.sparkContext.applicationId
+    if application in _local:
+        return _local[application]
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="gaugeframe-")
+    _local[application] = tempfile.mkdtemp(prefix="gaugeframe-")
+    atexit.register(shutil.rmtree, _local[application], ignore_errors=True)
+    return _local[application]
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[str]:
+    """Tables stored inside go to one folder, which is removed at the end.
+
+    For code that reads its results inside the block: a DataFrame on top of stored tables
+    cannot be read after it. Outside of any block stored tables stay, as files of a
+    checkpoint do, until the folder is cleaned.
+    """
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -58,6 +91,6 @@ def store(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read of this table, not of the source.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 import datetime as dt
 import random
-import sys
 from collections import Counter
 
 import pytest
@@ -165,14 +164,13 @@ def test_lazy_and_stored_assessments_agree(tables, events, metadata, allowed):
         same(tables[name], lazy[name])
 
 
-def test_large_keys_apart_do_not_change_a_stored_assessment(tables, events, metadata, monkeypatch):
-    monkeypatch.setattr(sys.modules["gaugeframe.plans.assess"], "large_keys", lambda rows, keys: list(range(len(keys))))
-    apart = assess(events, settings(), NOW, metadata)
+def test_large_keys_apart_do_not_change_an_assessment(tables, events, metadata):
+    apart = assess(events, settings(large_keys=KEYS), NOW, metadata)
     for name in set(tables) - {"extended_dataset"}:
         same(tables[name], apart[name])
 
 
-def test_duplicates_by_hash_or_by_row(spark):
+def test_duplicates_of_rows(spark):
     draw = random.Random(4)
     cells = [("a", None), ("a", 1), ("b", 1), ("b", 2), ("c", 3)]
     records = [draw.choice(cells) for _ in range(40)] + [("x", n) for n in range(30)] + [("y", 1)] * 2
@@ -183,15 +181,6 @@ def test_duplicates_by_hash_or_by_row(spark):
     for stored in (True, False):
         found = one(assess(df, config, NOW, stored=stored)["final_quality"])["Distinctness"]
         assert found == pytest.approx(expected)
-    complete = op.drop_incomplete(df)
-    hashes = op.repeated_hashes(complete, ["k", "n"])
-    for limit in (None, 0):
-        found = one(op.distinctness_by_hash(complete, ["k", "n"], hashes, limit))["Distinctness"]
-        assert found == pytest.approx(expected)
-    unique = spark.createDataFrame([(n,) for n in range(9)], "n int")
-    hashes = op.repeated_hashes(unique, ["n"])
-    assert hashes.count() == 0
-    assert one(op.distinctness_by_hash(unique, ["n"], hashes))["Distinctness"] == 1.0
 
 
 def test_stored_rows_do_not_change_an_assessment(tables, events, metadata, allowed):
@@ -307,10 +296,21 @@ def test_written_tables(spark, tables, tmp_path):
         assert back.count() == tables[name].count()
         assert set(back.columns) == set(tables[name].columns)
     write_assessment({name: tables[name].limit(0) for name in wanted[1:]}, output)
+    for name in wanted[1:]:
+        assert spark.read.text(f"{output}/{name}").count() == 0
+    write_assessment({name: tables[name] for name in wanted}, output)
+    write_assessment({name: tables[name].limit(0) for name in wanted[1:]}, output, mode="keep")
     assert spark.read.text(f"{output}/volume_values").count() == 0
     assert spark.read.text(f"{output}/completeness_frequency_values").count() > 0
 
 
+def test_random_samples_behind_a_value_table_are_stored(spark, events):
+    users = events.select("user_id").distinct()
+    config = settings(values={"user_id": users}, sample_fraction=0.5)
+    with pytest.raises(ValueError):
+        assess(events, config, NOW, stored=False)
+
+
 @pytest.mark.parametrize(
     "changes",
     [

@@ -144,8 +144,6 @@ def test_two_keys_over_the_same_columns(spark):
 def test_keys_apart_give_the_same_groups(table):
     lines = table("lineitem")
     keys = [["l_returnflag"], ["l_orderkey", "l_returnflag"], ["l_suppkey"]]
-    assert op.large_keys(lines, keys, limit=500) == [1]
-    assert op.large_keys(lines, keys[1:2], limit=500) == []
 
     def found(**options):
         return by(op.volume_value(lines, lines, keys, **options), "Attribute", "Value")
@@ -353,3 +351,16 @@ def test_bad_numbers_fail_or_are_skipped(spark):
     target = [op.AccuracyTarget("x", 10, 10)]
     raised(lambda: op.accuracy_global(df, target).collect(), "CAST_INVALID_INPUT")
     assert one(op.accuracy_global(df, target, "skip"))["Accuracy_Static_x"] == 1.0
+
+
+def test_rates_of_values_with_commas(spark):
+    """Two values show one text; each meets its own rate, and no record counts twice."""
+    times = ["2024-01-01 08:00:00", "2024-01-01 08:30:00"]
+    data = [(t, a, c) for t in times for a, c in (("x,b", "c"), ("x", "b,c"))]
+    df = spark.createDataFrame(data, "t string, a string, c string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    counts = op.value_hour_counts(df, "t", [["a", "c"]])
+    out = op.frequency_groups(counts, op.update_rate_values(counts)).collect()
+    assert [(r["Value"], r["RecordNumber"]) for r in out] == [("x,b,c", 2)] * 2
+    shown = op.update_rate_values(counts).drop("Parts")
+    raised(lambda: op.frequency_groups(counts, shown).collect(), "two rates for one key value and hour")
+    raised(lambda: op.frequency_groups(counts, shown.dropDuplicates(["Value"])).collect(), "one display text")

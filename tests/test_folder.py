@@ -1,13 +1,14 @@
 """From a source folder to an output folder, with every dimension at once."""
 
 import json
+import re
 
 import pytest
 
 from gaugeframe import AssessmentConfig, assess_folder
 from gaugeframe.plans import DIMENSIONS, metadata_timestamps
 from gaugeframe.sources import read_metadata
-from helpers import by, one, rows
+from helpers import by, one, plan_of, rows
 
 FORMAT = "%d/%m/%y %H:%M:%S,%f"
 NOW = "2020-01-03 00:00:00"
@@ -123,3 +124,23 @@ def test_timestamp_formats_from_metadata(spark, folder):
     table = read_metadata(spark, str(folder / "source"), "timelinessMetadata")
     assert metadata_timestamps(table) == {"used": FORMAT}
     assert metadata_timestamps(None) == {}
+
+
+def test_everything_from_metadata(spark, folder):
+    """Header, formats, default volatility and the last refresh stand beside the source."""
+    source = folder / "source"
+    lists = [str(folder / "allowed"), str(folder / "absent")]
+    put(source / "preliminary_information", [{"header": HEADER, "regex": "", "volatiliy": 48.0, "consistencyRuleFiles": []}])
+    config = settings(folder, timestamps={}, volatility_hours={})
+    tables = assess_folder(spark, str(source), str(folder / "out"), config, NOW)
+    check(tables)
+    for name, table in tables.items():
+        # Only metadata is read as JSON: the rows were parsed once.
+        assert not re.search(r"FileScan json \[(\]|[^\]]*(price|used)#)", plan_of(table)), name
+    kept = assess_folder(spark, str(source), str(folder / "again"), settings(folder, refreshed_allow_list_names=lists), NOW)
+    assert "ASSOCIATION_CONSISTENCY" not in kept["extended_dataset"].columns
+
+
+def test_no_header_anywhere(spark, folder):
+    with pytest.raises(ValueError):
+        assess_folder(spark, str(folder / "source"), str(folder / "out"), settings(folder), NOW)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe import operators as op
-from helpers import plan_of, rows
+from helpers import plan_of, raised, rows
 
 
 @pytest.fixture
@@ -91,9 +91,25 @@ def test_samples(table):
     one, two = (op.sample_rows(orders, 0.3, 5).count() for _ in range(2))
     assert one == two and 0 < one < orders.count()
     kept = op.sample_by_key(orders, "o_orderkey", 0.25)
-    assert kept.count() == 363
+    assert kept.count() == 394
     shuffled = op.sample_by_key(orders.repartition(3, F.col("o_custkey")), "o_orderkey", 0.25)
     assert shuffled.exceptAll(kept).count() == 0
     for bad in (0, -1, 1.5):
         with pytest.raises(ValueError):
             op.sample_rows(orders, bad)
+
+
+def test_small_fractions_keep_their_share(spark):
+    """A fraction far below 1/10,000 of ten million keys; five standard errors are 50 rows."""
+    keys = spark.range(0, 10_000_000, 1, 8).select(F.col("id").alias("k"))
+    assert 50 <= op.sample_by_key(keys, "k", 1e-5).count() <= 150
+    assert op.sample_by_key(keys, "k", 0.99996).count() < 10_000_000
+
+
+def test_times_that_are_none(spark):
+    df = spark.createDataFrame([(1, "2024-01-02"), (2, "junk"), (3, None), (4, "2023-12-31")], "n int, t string")
+    call = lambda policy: op.filter_intervals(
+        df, {"t": [("01/01/2024 00.00.00", "")]}, timestamps={"t": "%Y-%m-%d"}, on_invalid=policy
+    )
+    assert [r["n"] for r in call("skip").collect()] == [1]
+    raised(lambda: call("fail").collect(), "CANNOT_PARSE_TIMESTAMP")

@@ -122,3 +122,21 @@ def test_store_uses_the_shared_folder(spark):
     assert kept.count() == 5 and by(kept, "id")[3]["odd"] == 1
     files = kept.inputFiles()
     assert files and all(f"{folder}/numbers-" in path for path in files)
+
+
+def test_malformed_lines_are_not_silent(spark, tmp_path):
+    path = tmp_path / "bad"
+    path.mkdir()
+    (path / "part-0").write_text('{"x": "1", "y": "2"}\nno json\n', encoding="utf-8")
+    raised(lambda: sources.read_rows(spark, str(path), ["x", "y"]).collect(), "MALFORMED_RECORD")
+    assert len(sources.read_rows(spark, str(path), ["x", "y"], on_malformed="null").collect()) == 2
+    raised(lambda: [t.collect() for t in sources.read_allow_lists(spark, [str(path)], ["x", "y"])], "MALFORMED")
+    named = sources.read_allow_lists(spark, [str(path)], ["x", "y"], schemas={str(path): ["x", "y"]})
+    raised(lambda: named[0].collect(), "MALFORMED_RECORD")
+
+
+def test_stored_tables_are_removed(spark, tmp_path):
+    with sources.stored_tables(spark) as folder:
+        kept = sources.store(spark.range(5), "numbers")
+        assert kept.count() == 5 and folder in kept.inputFiles()[0]
+    raised(kept.count, "FILE_NOT_EXIST")
