@@ -129,12 +129,12 @@ def fences(sketch: DataFrame) -> DataFrame:
     own = quantiles(sketch, ["lang", "source"])
     rename = lambda df, mark: df.select(*[F.col(c).alias(f"{mark}_{c}") for c in df.columns])
     of_lang = rename(quantiles(sketch, ["lang"]), "lang")
-    of_all = rename(quantiles(sketch.withColumn("every", F.lit(1)), ["every"]), "all")
-    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("lang_lang")), "left").join(of_all, F.lit(1) == F.col("all_every"), "left")
+    of_all = quantiles(sketch.withColumn("every", F.lit(1)), ["every"]).first()  # one row
+    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("lang_lang")), "left")
     chosen = lambda c: (
         F.when(F.col("n_docs") >= MIN_GROUP, F.col(c))
         .when(F.col("lang_n_docs") >= MIN_GROUP, F.col(f"lang_{c}"))
-        .otherwise(F.col(f"all_{c}"))
+        .otherwise(F.lit(of_all[c] if of_all else None).cast("bigint"))
         .alias(c)
     )
     picked = joined.select("lang", "source", *[chosen(c) for c in quarter])

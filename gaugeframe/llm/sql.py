@@ -74,5 +74,35 @@ FROM (SELECT *, n_words < {rules.MIN_WORDS} OR n_repeat_words * 100 > n_words *
 JOIN fences f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source"""
 
 
+CHAT_SNAPSHOTS = """
+WITH told AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t
+              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+copies AS (SELECT t, min(conv_id) AS conv_id, count(*) AS n_copies FROM told GROUP BY t),
+earlier AS (SELECT DISTINCT t[1:k] AS p FROM (SELECT t, unnest(range(1, len(t))) AS k FROM told))
+SELECT conv_id, CAST(len(t) AS BIGINT) AS n_turns, n_copies,
+  array_to_string(['<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' FOR x IN t], chr(10)) AS text
+FROM copies LEFT JOIN earlier ON t = p WHERE p IS NULL"""
+
+LINE_CHUNKS = """
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, text, md5(text) AS th, string_split(text, chr(10)) AS lines FROM documents),
+hashed AS (SELECT d, [md5(x) FOR x IN lines] AS h FROM docs WHERE text IS NOT NULL),
+rolled AS (SELECT d, [md5(coalesce(h[i - 1], '') || h[i]) FOR i IN range(1, len(h) + 1)] AS r FROM hashed),
+ends AS (SELECT d, unnest([i FOR i IN range(1, len(r) + 1) IF i = len(r) OR coalesce(r[i] < r[i - 1] AND r[i] < r[i + 1], false)]) AS e
+         FROM rolled),
+spans AS (SELECT d, e, coalesce(lag(e) OVER w, 0) AS s, row_number() OVER w AS idx FROM ends WINDOW w AS (PARTITION BY d ORDER BY e)),
+chunks AS (SELECT d, doc_id, th, idx, e - s AS n, array_to_string(lines[s + 1 : e], chr(10)) AS body FROM spans JOIN docs USING (d)),
+judged AS (SELECT *, n >= 2 AND (doc_id, th, idx) <> first_value((doc_id, th, idx)) OVER (
+             PARTITION BY body, n >= 2 ORDER BY doc_id, th, idx) AS again FROM chunks),
+told AS (SELECT d, sum(n) FILTER (again) AS gone, count(*) FILTER (again) AS chunks_gone,
+           string_agg(body, chr(10) ORDER BY idx) FILTER (NOT again) AS kept FROM judged GROUP BY d)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_lines,
+  CAST(coalesce(chunks_gone, 0) AS BIGINT) AS n_removed_chunks, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
+FROM docs LEFT JOIN told USING (d)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules_sql()}
+    return {
+        "op1_chat_snapshots": CHAT_SNAPSHOTS,
+        "op6_line_chunks": LINE_CHUNKS,
+        "op10_quality_rules": quality_rules_sql(),
+    }
