@@ -1039,7 +1039,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT CAST(c_custkey AS VARCHAR) || ';' || c_mktsegment || ';' || CAST(c_nationkey AS VARCHAR) AS value FROM customer"
     )
     sql["extended_sink"] = sql["extended_dataset"]
-    stored_rules = op.rule_set(["p_type:p_brand", "p_brand:p_type", "p_brand,p_type:p_size"])
+    stored_rules = op.rule_set(["p_type:p_brand", "p_brand:p_type"], [("p_brand", "p_type"), ("p_brand,p_type", "p_size")])
     sql["stored_and_custom_rules"] = _rule_value_sql("part", stored_rules)
     sql["sample_bernoulli_facts"] = (
         "SELECT true AS is_subset, true AS is_unique, true AS share_fits, true AS same_again FROM (SELECT count(*) FROM orders)"
