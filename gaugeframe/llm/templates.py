@@ -44,7 +44,9 @@ NAME, POINT = "\u0001", "\u0002"
 
 def canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns with ``raw`` and ``template`` token arrays; the steps on digits are for texts that have some."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), NAME + POINT, "  ")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # translate() looks at each character of a text, which the few texts with marks of their own are worth.
+    text = F.when(text.contains(NAME) | text.contains(POINT), F.translate(text, NAME + POINT, "  ")).otherwise(text)
     step = rows.select(*keep, F.regexp_replace(text, r" (?=\p{Lu})(?<=[\p{Ll}\p{N},;] )", f" {NAME}").alias("t"))
     step = step.withColumn("digits", F.col("t").rlike(r"\p{Nd}"))
     digits = lambda changed: F.when(F.col("digits"), changed).otherwise(F.col("t"))
@@ -55,7 +57,8 @@ def canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
     shape = F.regexp_replace("t", f"{NAME}[^ ]+", "<name>")
     numbers = F.regexp_replace(shape, f"(?<=^| )\\p{{Nd}}[\\p{{Nd}}{POINT}]*(?= |$)", "<num>")
     numbers = F.regexp_replace(numbers, f"(?<=<num> )(?:{'|'.join(UNITS)})(?= |$)", "<unit>")
-    some = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    # Single blanks part the tokens by now; only an empty text would give an empty one.
+    some = lambda x: F.when(F.col("t") != "", F.split(x, " ")).otherwise(F.array().cast("array<string>"))
     return step.select(*keep, some(F.col("t")).alias("raw"), some(F.when(F.col("digits"), numbers).otherwise(shape)).alias("template"))
 
 
