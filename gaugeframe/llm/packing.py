@@ -9,7 +9,7 @@ Documents are cut where they are read: no shuffle. A sequence id is the number o
 scan; it is the same each time the same files are scanned, and unique but not gapless.
 
 White space parts tokens, so texts are split at blanks and line ends and each different word is
-tokenised once per worker; the table of known words is emptied when it holds ``KNOWN`` words.
+tokenised once per worker, which remembers two tables of ``KNOWN`` words.
 
 Defined cases: null and empty texts have the end mark as their only id; repeated rows are packed each; an
 empty table gives an empty table; other columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +33,31 @@ MAX_LENGTH = 4096
 #: Id of the end mark, added to each document.
 END = 2
 #: Words a worker remembers.
-KNOWN = 400_000
+KNOWN = 600_000
 #: Characters of a text that are split into words at a time.
 SEGMENT = 1 << 20
 
 
 class WordTokens(dict):
-    """Ids of each word, kept in one growing array; numbers words as they come."""
+    """Ids of each word, kept in one growing array; numbers words as they come.
+
+    Full tables are kept as the older half: its words are taken over when they come again. Words of
+    Latin-1 letters with or without a point or comma behind are lower-cased and parted here, as the
+    tokenizer would, so that one stem stands for all its forms.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # For stems: they are lower-case words already, so only the merges are left to do.
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.old: tuple[dict, np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._empty()
+
+    def _empty(self) -> None:
         self.clear()
         self.new: list[str] = []
         self.flat = np.zeros(0, np.uint32)
@@ -58,18 +68,33 @@ class WordTokens(dict):
         self.new.append(word)
         return number
 
+    def _known(self, word: str) -> np.ndarray | None:
+        for table, flat, ends in ((self, self.flat, self.ends), self.old):
+            number = table.get(word, ends.size)
+            if number < ends.size - 1:
+                return flat[ends[number] : ends[number + 1]]
+        return None
+
     def _learn(self) -> None:
-        if self.new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
-            ends = np.cumsum([len(ids) for ids in found]) + self.ends[-1]
-            self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], np.uint32)])
-            self.ends = np.concatenate([self.ends, ends])
-            self.new = []
+        if not self.new:
+            return
+        parts = [stems(word) for word in self.new]
+        found: dict[str, list[int]] = {}
+        odd = [word for word, part in zip(self.new, parts) if not part and self._known(word) is None]
+        plain = list(dict.fromkeys(x for part in parts for x in part if self._known(x) is None))
+        for tokenizer, words in ((self.tokenizer, odd), (self.bare, plain)):
+            found.update(zip(words, (e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))))
+        of = lambda x: found[x] if x in found else self._known(x).tolist()
+        ids = [[i for x in part or (word,) for i in of(x)] for word, part in zip(self.new, parts)]
+        self.ends = np.concatenate([self.ends, np.cumsum([len(x) for x in ids]) + self.ends[-1]])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        self.new = []
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         if len(self) > KNOWN:
-            self.reset()
+            self.old = (dict(self), self.flat, self.ends)
+            self._empty()
         numbers = [np.concatenate([self._numbers(s) for s in segments(t)] or [np.zeros(0, np.int64)]) for t in texts]
         self._learn()
         out = []
@@ -85,6 +110,15 @@ class WordTokens(dict):
         return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
 
 
+def stems(word: str) -> tuple[str, ...]:
+    """A lower-case stem, and the mark behind it; nothing for words of another make."""
+    if word and max(word) < "\u0100":
+        stem = word[:-1] if word[-1] in ".," else word
+        if stem.isalpha():
+            return (stem.lower(), word[-1]) if stem is not word else (stem.lower(),)
+    return ()
+
+
 def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
     """The text in parts of about ``size`` characters, cut at blanks or line ends."""
     at = 0
