@@ -17,10 +17,10 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,9 @@ MAX_LENGTH = 4096
 END = 2
 #: Words a worker remembers.
 KNOWN = 600_000
+#: Texts that need no more than lower case and blanks around their marks.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ., \\n]*")
+DOUBLE_MARKS = ("..", ",,", ".,", ",.")
 #: Characters of a text that are split into words at a time.
 SEGMENT = 1 << 20
 
@@ -41,19 +44,12 @@ SEGMENT = 1 << 20
 class WordTokens(dict):
     """Ids of each word, kept in one growing array; numbers words as they come.
 
-    Full tables are kept as the older half: its words are taken over when they come again. Words of
-    Latin-1 letters with or without a point or comma behind are lower-cased and parted here, as the
-    tokenizer would, so that one stem stands for all its forms.
+    Full tables are kept as the older half: its words are taken over when they come again.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
+    def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # For stems: they are lower-case words already, so only the merges are left to do.
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer = tokenizer
         self.old: tuple[dict, np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
         self._empty()
 
@@ -68,55 +64,78 @@ class WordTokens(dict):
         self.new.append(word)
         return number
 
-    def _known(self, word: str) -> np.ndarray | None:
-        for table, flat, ends in ((self, self.flat, self.ends), self.old):
-            number = table.get(word, ends.size)
-            if number < ends.size - 1:
-                return flat[ends[number] : ends[number + 1]]
-        return None
-
-    def _learn(self) -> None:
-        if not self.new:
-            return
-        parts = [stems(word) for word in self.new]
-        found: dict[str, list[int]] = {}
-        odd = [word for word, part in zip(self.new, parts) if not part and self._known(word) is None]
-        plain = list(dict.fromkeys(x for part in parts for x in part if self._known(x) is None))
-        for tokenizer, words in ((self.tokenizer, odd), (self.bare, plain)):
-            found.update(zip(words, (e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))))
-        of = lambda x: found[x] if x in found else self._known(x).tolist()
-        ids = [[i for x in part or (word,) for i in of(x)] for word, part in zip(self.new, parts)]
-        self.ends = np.concatenate([self.ends, np.cumsum([len(x) for x in ids]) + self.ends[-1]])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.new = []
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
+    def make_room(self) -> None:
         if len(self) > KNOWN:
             self.old = (dict(self), self.flat, self.ends)
             self._empty()
-        numbers = [np.concatenate([self._numbers(s) for s in segments(t)] or [np.zeros(0, np.int64)]) for t in texts]
-        self._learn()
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def learn(self) -> None:
+        """Ids of the words that are new since the last call."""
+        table, flat, ends = self.old
+        taken = np.array([table.get(w, -1) for w in self.new], np.int64)
+        unknown = [w for w, at in zip(self.new, taken.tolist()) if at < 0]
+        encoded = self.tokenizer.encode(unknown, is_pretokenized=True, add_special_tokens=False)
+        sizes = np.zeros(taken.size, np.int64)
+        fresh = taken < 0
+        sizes[fresh] = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(unknown))
+        sizes[~fresh] = ends[taken[~fresh] + 1] - ends[taken[~fresh]]
+        ids = np.empty(sizes.sum(), np.uint32)
+        of_fresh = np.repeat(fresh, sizes)
+        ids[of_fresh] = np.array(encoded.ids, np.uint32)
+        ids[~of_fresh] = _gathered(flat, ends, taken[~fresh])
+        self.ends = np.concatenate([self.ends, np.cumsum(sizes) + self.ends[-1]])
+        self.flat = np.concatenate([self.flat, ids])
+        self.new = []
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        return _gathered(self.flat, self.ends, numbers)
+
+
+def _gathered(flat: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with the given numbers, one after the other."""
+    starts, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+    upto = np.cumsum(sizes)
+    return flat[np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if upto.size else 0)]
+
+
+class Tokens:
+    """Ids of texts. Words of Latin-1 letters with single points and commas, as most texts are made of, are lower-cased and parted
+    here, as the tokenizer would, so that one entry stands for all forms of a word."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        bare = Tokenizer.from_file(path)
+        # Lower-case words are left alone by these steps, so only the merges are left to do.
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.odd, self.plain = WordTokens(Tokenizer.from_file(path)), WordTokens(bare)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        for table in (self.odd, self.plain):
+            table.make_room()
+        numbers = [self._numbers(t) for t in texts]
+        for table in (self.odd, self.plain):
+            table.learn()
+        return [np.concatenate([np.zeros(0, np.uint32), *(table.ids(n) for table, n in parts)]) for parts in numbers]
+
+    def _numbers(self, text: str) -> list[tuple[WordTokens, np.ndarray]]:
+        """Tables and word numbers of the text's parts: whole segments if they are plain, else line by line."""
         out = []
-        for n in numbers:
-            starts, sizes = self.ends[n], self.ends[n + 1] - self.ends[n]
-            upto = np.cumsum(sizes)
-            total = int(upto[-1]) if n.size else 0
-            out.append(self.flat[np.repeat(starts - upto + sizes, sizes) + np.arange(total)])
+        for segment in segments(text):
+            for part in [segment] if plain(segment) else segment.split("\n"):
+                if plain(part):
+                    out.append((self.plain, self.plain.numbers(part.lower().replace(".", " . ").replace(",", " , ").split())))
+                else:
+                    out.append((self.odd, self.odd.numbers(part.split(" "))))
         return out
 
-    def _numbers(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
-
 
-def stems(word: str) -> tuple[str, ...]:
-    """A lower-case stem, and the mark behind it; nothing for words of another make."""
-    if word and max(word) < "\u0100":
-        stem = word[:-1] if word[-1] in ".," else word
-        if stem.isalpha():
-            return (stem.lower(), word[-1]) if stem is not word else (stem.lower(),)
-    return ()
+def plain(text: str) -> bool:
+    return PLAIN.fullmatch(text) is not None and not any(x in text for x in DOUBLE_MARKS)
 
 
 def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
@@ -138,11 +157,11 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> WordTokens:
-    return WordTokens(path)
+def _tokens(path: str) -> Tokens:
+    return Tokens(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, at_once: int = 128) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, at_once: int = 256) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids on request.
 
     ``tokenizer`` is the path of a file that every executor can open.
@@ -154,12 +173,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True,
     fields += [StructField("ids", ArrayType(IntegerType()))] if with_ids else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _words(path)
+        known = _tokens(path)
         for whole in batches:
             for batch in (whole.slice(k, at_once) for k in range(0, whole.num_rows, at_once)):
                 rows: list[tuple[int, int, int, int, int]] = []
                 lists = []
-                for k, ids in enumerate(known.ids([t or "" for t in batch.column("text").to_pylist()])):
+                for k, ids in enumerate(known([t or "" for t in batch.column("text").to_pylist()])):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
                     at = 0
                     for size in piece_lengths(ids.size):
