@@ -157,10 +157,12 @@ def judged(counted: DataFrame) -> DataFrame:
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
     inside = reduce(lambda a, b: a & b, [v <= F.col(f"max_{s}") for s, v in _signals().items()])
     inside = inside & (_signals()["length"] >= F.col("min_length"))
-    joined = counted.withColumn("base_failed", base).join(fences(sketches(counted)), same, "left")
+    # Stored, the fences have a size that Spark knows: below its threshold no document is shuffled.
+    limits = store(fences(sketches(counted)), "quality-fences")
+    joined = counted.withColumn("base_failed", base).join(limits, same, "left")
     verdict = F.when(F.col("base_failed"), False).otherwise(inside)
-    limits = [f"max_{s}" for s in SIGNALS] + ["min_length"]
-    return joined.withColumn("kept", F.coalesce(verdict, F.lit(False))).select(*counted.columns, "base_failed", "kept", *limits)
+    shown = [f"max_{s}" for s in SIGNALS] + ["min_length"]
+    return joined.withColumn("kept", F.coalesce(verdict, F.lit(False))).select(*counted.columns, "base_failed", "kept", *shown)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
