@@ -5,10 +5,17 @@ table per place, are added up, go through tanh and then through a two-step softm
 then the token within its class). The score of a document is the sum of the logarithms of the probabilities of all its
 tokens, each given both its sides.
 
-Tokens are lower-cased words. The ``TOP`` most frequent words of the whole corpus have numbers of their own, all others
-share ``OTHERS`` numbers by hash. Training is data-parallel: in each of ``ROUNDS`` rounds every task trains a copy of the
+Tokens are lower-cased words. All words of the corpus are counted and their counts are kept as a table. Words that
+occur at least ``RARE`` times the root of the number of tokens, and the ``TOP`` most frequent ones in any case, have
+numbers of their own; all others share a quarter of the numbers or more by hash. So the vocabulary grows with the
+corpus, and the classes with the root of the vocabulary. A word without a number of its own has the probability of its
+shared number times its share of that number's occurrences in the corpus, with one occurrence set aside for all words
+that the corpus does not have. The counts of the more frequent ones (``MIDDLE``) are told to the workers, those of the
+others meet the documents by a join on the word; a word that occurs once adds log 1 = 0.
+
+Training is data-parallel: in each of ``ROUNDS`` rounds every task trains a copy of the
 current network on its own documents (every ``STRIDE``-th position, another one each round), and the copies are averaged,
-weighted by their positions, in a Spark aggregation. So all documents teach, and only one network of fixed size
+weighted by their positions, in a Spark aggregation. So all documents teach, and only one network
 ever reaches the driver. How the documents are dealt to tasks has a small influence on the network.
 
 Defined cases: a null or empty text has no tokens, the sum 0.0 and a null mean; repeated rows are scored each; texts
@@ -17,22 +24,33 @@ of any length are read in blocks; an empty table gives an empty table; other col
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+from .frames import store
 
 CLASSES = 32
-#: Numbers of the vocabulary: the most frequent words, then shared ones. Number VOCABULARY is beyond the border.
+#: Numbers of the smallest vocabulary: the most frequent words, then shared ones. The last number plus 1 is beyond the border.
 VOCABULARY = CLASSES * CLASSES
 OTHERS = 256
 TOP = VOCABULARY - OTHERS
+#: Words with this many times the root of the number of tokens have numbers of their own, ...
+RARE = 0.5
+#: ... and workers know the counts of words that are up to so many times rarer.
+MIDDLE = 16
+#: Values of a network that travel in one row.
+PIECE = 4096
 REACH = 2
 WIDTH = 32
 ROUNDS = 2
@@ -44,53 +62,79 @@ BLOCK = 1 << 15
 KNOWN = 400_000
 WORD = re.compile(r"\S+")
 
-SHAPES = {
-    "embed": (2 * REACH, VOCABULARY + 1, WIDTH),
-    "bias": (WIDTH,),
-    "outer": (WIDTH, CLASSES),
-    "outer_bias": (CLASSES,),
-    "inner": (CLASSES, WIDTH, CLASSES),
-    "inner_bias": (CLASSES, CLASSES),
-}
 Network = dict[str, np.ndarray]
 
 
-def new_network() -> Network:
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "embed": (2 * REACH, classes * classes + 1, WIDTH),
+        "bias": (WIDTH,),
+        "outer": (WIDTH, classes),
+        "outer_bias": (classes,),
+        "inner": (classes, WIDTH, classes),
+        "inner_bias": (classes, classes),
+    }
+
+
+def new_network(classes: int = CLASSES) -> Network:
     rng = np.random.default_rng(7)
-    return {k: (rng.normal(0, 0.1, s) if len(s) > 1 and "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    sizes = shapes(classes).items()
+    return {k: (rng.normal(0, 0.1, s) if len(s) > 1 and "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in sizes}
 
 
 def flat(net: Network) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in SHAPES])
+    return np.concatenate([net[k].ravel() for k in shapes(1)])
+
+
+def shaped(values: np.ndarray, classes: int) -> Network:
+    sizes = shapes(classes)
+    ends = np.cumsum([int(np.prod(s)) for s in sizes.values()])
+    return {k: part.reshape(s).astype(np.float32) for (k, s), part in zip(sizes.items(), np.split(values, ends[:-1]))}
 
 
-def shaped(values: np.ndarray) -> Network:
-    ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])
-    return {k: part.reshape(s).astype(np.float32) for (k, s), part in zip(SHAPES.items(), np.split(values, ends[:-1]))}
+class Vocabulary(NamedTuple):
+    """The words with numbers of their own, the number of classes, and what the corpus says about all other words."""
+
+    top: list[str]
+    classes: int
+    #: Stored counts (word, n) of the words that occur more than once and are in neither top nor middle.
+    counts: DataFrame
+    #: log n of the more frequent words without a number.
+    middle: dict[str, float]
+    #: For each shared number log(its occurrences + 1).
+    shared: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return self.classes * self.classes
 
 
 class Numbers(dict):
     """The vocabulary number of each word."""
 
-    def __init__(self, top: list[str]):
+    def __init__(self, top: list[str], size: int):
         super().__init__()
-        self.top = {w: k for k, w in enumerate(top)}
+        self.top, self.first = {w: k for k, w in enumerate(top)}, max(TOP, len(top))
+        self.others = size - self.first
         self.update(self.top)
 
     def __missing__(self, word: str) -> int:
         if len(self) > KNOWN:
             self.clear()
             self.update(self.top)
-        self[word] = value = TOP + zlib.crc32(word.encode()) % OTHERS
+        self[word] = value = self.first + zlib.crc32(word.encode()) % self.others
         return value
 
 
-def numbered(texts: list[str | None], known: Numbers) -> tuple[np.ndarray, np.ndarray]:
+def tokens(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def numbered(texts: list[list[str]], known: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens, with REACH border numbers before, between and after the texts; start of each text."""
-    border = np.full(REACH, VOCABULARY, np.int64)
+    border = np.full(REACH, known.first + known.others, np.int64)
     parts, starts, at = [border], [], REACH
-    for text in texts:
-        found = WORD.findall((text or "").lower())
+    for found in texts:
         starts.append(at)
         parts += [np.fromiter(map(known.__getitem__, found), np.int64, len(found)), border]
         at += len(found) + REACH
@@ -111,16 +155,16 @@ def _hidden(net: Network, context: np.ndarray) -> np.ndarray:
 
 def log_probabilities(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log p of the tokens at the given places."""
-    out = np.empty(at.size)
+    out, classes = np.empty(at.size), net["outer_bias"].size
     for k in range(0, at.size, BLOCK):
         places = at[k : k + BLOCK]
         places = places[np.argsort(ids[places], kind="stable")]
         token = ids[places]
         h = _hidden(net, ids[places[:, None] + OFFSETS])
-        group, within = token // CLASSES, token % CLASSES
+        group, within = token // classes, token % classes
         p = _softmax(h @ net["outer"] + net["outer_bias"])[np.arange(token.size), group]
-        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cuts = np.searchsorted(group, np.arange(classes + 1))
+        for c in range(classes):
             s = slice(cuts[c], cuts[c + 1])
             if s.start < s.stop:
                 p[s] *= _softmax(h[s] @ net["inner"][c] + net["inner_bias"][c])[np.arange(s.stop - s.start), within[s]]
@@ -135,6 +179,7 @@ def learn(net: Network, squares: Network, ids: np.ndarray, at: np.ndarray) -> No
         squares[name][where] += grad * grad
         net[name][where] -= RATE * grad / np.sqrt(squares[name][where] + 1e-6)
 
+    classes = net["outer_bias"].size
     for k in range(0, at.size, BATCH):
         places = at[k : k + BATCH]
         places = places[np.argsort(ids[places], kind="stable")]
@@ -142,15 +187,15 @@ def learn(net: Network, squares: Network, ids: np.ndarray, at: np.ndarray) -> No
         n, rows = token.size, np.arange(token.size)
         context = ids[places[:, None] + OFFSETS]
         h = _hidden(net, context)
-        group, within = token // CLASSES, token % CLASSES
+        group, within = token // classes, token % classes
         d = _softmax(h @ net["outer"] + net["outer_bias"])
         d[rows, group] -= 1
         d /= n
         back = d @ net["outer"].T
         step("outer", h.T @ d)
         step("outer_bias", d.sum(0))
-        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cuts = np.searchsorted(group, np.arange(classes + 1))
+        for c in range(classes):
             s = slice(cuts[c], cuts[c + 1])
             if s.start < s.stop:
                 e = _softmax(h[s] @ net["inner"][c] + net["inner_bias"][c])
@@ -167,88 +212,128 @@ def learn(net: Network, squares: Network, ids: np.ndarray, at: np.ndarray) -> No
             step("embed", np.add.reduceat(back[order], firsts, axis=0), (j, seen))
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The TOP most frequent words of all documents, ties in alphabetical order."""
+def counted(docs: DataFrame) -> DataFrame:
+    """All different words of all documents with their counts (word, n). Stored."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
-        def told() -> pa.RecordBatch:
+        def sums() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
             seen.clear()
             return out
 
         for batch in batches:
             for text in batch.column("text"):
-                seen.update(WORD.findall((text.as_py() or "").lower()))
+                seen.update(tokens(text.as_py()))
                 if len(seen) > KNOWN:
-                    yield told()
-        yield told()
-
-    words = docs.select("text").mapInArrow(counted, StructType([StructField("word", StringType()), StructField("n", LongType())]))
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TOP)
-    return [r["word"] for r in top.collect()]
-
-
-def _round(docs: DataFrame, top: list[str], start: Network, number: int) -> Network:
+                    yield sums()
+        yield sums()
+
+    words = docs.select("text").mapInArrow(told, StructType([StructField("word", StringType()), StructField("n", LongType())]))
+    return store(words.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The vocabulary of all documents; equally frequent words come in alphabetical order."""
+    counts = counted(docs)
+    least = RARE * math.sqrt(counts.agg(F.sum("n")).first()[0] or 0)
+    # By Zipf's law the number of words above a count of (some share of) the root grows as the root of the corpus.
+    often = counts.where(F.col("n") >= least / MIDDLE).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    first = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
+    own = max(len(first), int((often["n"] >= least).sum()))
+    top = [r["word"] for r in first] + often["word"].tolist()[len(first) : own]
+    classes = max(CLASSES, math.ceil(math.sqrt(own * VOCABULARY / TOP)))
+    numbers = classes * classes - max(TOP, own)
+    middle = dict(zip(often["word"].tolist()[own:], np.log(often["n"].to_numpy()[own:]).tolist()))
+    others = counts.where((F.col("n") < least) & ~F.col("word").isin([r["word"] for r in first]))
+    shared = np.zeros(numbers)
+    for r in others.groupBy(F.pmod(F.crc32("word"), F.lit(numbers)).alias("k")).agg(F.sum("n").alias("n")).collect():  # one row a number
+        shared[r["k"]] = r["n"]
+    return Vocabulary(top, classes, others.where((F.col("n") < least / MIDDLE) & (F.col("n") > 1)), middle, np.log(shared + 1))
+
+
+def _round(docs: DataFrame, words: Vocabulary, start: Network, number: int) -> Network:
     """One copy of the network per task, trained on its documents; the weighted mean of all copies."""
+    top, size = words.top, words.size
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = Numbers(top), {k: v.copy() for k, v in start.items()}
+        known, net = Numbers(top, size), {k: v.copy() for k, v in start.items()}
         squares = {k: np.zeros_like(v) for k, v in net.items()}
         places = 0
         for whole in batches:
             for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                ids, _ = numbered(batch.column("text").to_pylist(), known)
+                ids, _ = numbered([tokens(t) for t in batch.column("text").to_pylist()], known)
                 at = np.arange(REACH + number * (STRIDE // ROUNDS), ids.size - REACH, STRIDE)
-                at = at[ids[at] < VOCABULARY]
+                at = at[ids[at] < size]
                 learn(net, squares, ids, at)
                 places += at.size
         if places:
-            values = flat(net).astype(float)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(values.size, dtype=np.int32)), pa.array(values * places), pa.array(np.full(values.size, places))], ["k", "v", "n"]
-            )
-
-    kind = StructType([StructField("k", IntegerType()), StructField("v", DoubleType()), StructField("n", LongType())])
-    mean = docs.select("text").mapInArrow(trained, kind).groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v"))
-    found = mean.toPandas()  # one network: a fixed number of values
-    if found.empty:
+            values = flat(net)
+            for k in range(0, values.size, PIECE):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k // PIECE], pa.int32()), pa.array([values[k : k + PIECE].tobytes()], pa.binary()), pa.array([places], pa.int64())],
+                    ["k", "v", "n"],
+                )
+
+    def averaged(copies: pa.Table) -> pa.Table:
+        n = copies.column("n").to_numpy()
+        mean = sum(np.frombuffer(v.as_py(), np.float32) * (m / n.sum()) for v, m in zip(copies.column("v"), n)).astype(np.float32)
+        return pa.table({"k": copies.column("k").slice(0, 1), "v": pa.array([mean.tobytes()], pa.binary())})
+
+    kind = [StructField("k", IntegerType()), StructField("v", BinaryType())]
+    pieces = docs.select("text").mapInArrow(trained, StructType([*kind, StructField("n", LongType())]))
+    found = pieces.groupBy("k").applyInArrow(averaged, StructType(kind)).collect()  # one network
+    if not found:
         return start
-    values = np.empty(len(found))
-    values[found["k"].to_numpy()] = found["v"].to_numpy()
-    return shaped(values)
+    return shaped(np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(found, key=lambda r: r["k"])]), words.classes)
 
 
-def train(docs: DataFrame) -> tuple[list[str], Network]:
-    top, net = vocabulary(docs), new_network()
+def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
+    words = vocabulary(docs)
+    net = new_network(words.classes)
     for number in range(ROUNDS):
-        net = _round(docs, top, net, number)
-    return top, net
+        net = _round(docs, words, net, number)
+    return words, net
 
 
-def score(docs: DataFrame, model: tuple[list[str], Network]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vocabulary, Network]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum) and mean_log_likelihood of each document."""
-    source = docs.select("doc_id", "text")
+    source, (words, net) = docs.select("doc_id", "text"), model
+    top, size, middle, shared = words.top, words.size, words.middle, words.shared
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = Numbers(model[0]), model[1]
+        known = Numbers(top, size)
         for whole in batches:
             for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                ids, starts = numbered(batch.column("text").to_pylist(), known)
+                texts = [tokens(t) for t in batch.column("text").to_pylist()]
+                ids, starts = numbered(texts, known)
                 logs = np.zeros(ids.size + 1)
-                at = np.flatnonzero(ids < VOCABULARY)
+                at = np.flatnonzero(ids < size)
                 logs[at] = log_probabilities(net, ids, at)
+                told = list(chain.from_iterable(texts))
+                without = np.flatnonzero(ids[at] >= known.first)
+                own = np.array([middle.get(told[k]) for k in without.tolist()], float)  # NaN for None
+                far = np.isnan(own)
+                logs[at[without]] += np.where(far, 0, own) - shared[ids[at[without]] - known.first]
+                far = without[far]
                 n = np.diff(starts) - REACH
                 sums = np.add.reduceat(logs, starts)[:-1]
                 sums[n == 0] = 0.0
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n), pa.array(sums), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
+                rare = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(at[far], starts), pa.int32()), pa.array([told[k] for k in far.tolist()], pa.string())
                 )
-
-    doubles = [StructField(c, DoubleType()) for c in ("log_likelihood", "mean_log_likelihood")]
-    return source.mapInArrow(scored, StructType([source.schema["doc_id"], StructField("n_tokens", LongType()), *doubles]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums), rare], ["doc_id", "n_tokens", "part", "rare"])
+
+    kind = [source.schema["doc_id"], StructField("n_tokens", LongType()), StructField("part", DoubleType()), StructField("rare", ArrayType(StringType()))]
+    # Stored, so that the numbers of the rows stay.
+    held = store(source.mapInArrow(scored, StructType(kind)).withColumn("row", F.monotonically_increasing_id()), "likelihood-parts")
+    met = held.select("row", F.explode("rare").alias("word")).join(words.counts, "word")
+    more = met.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    out = held.drop("rare").join(more, "row", "left")
+    whole = F.col("part") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", whole.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

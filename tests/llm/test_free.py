@@ -75,6 +75,32 @@ def test_awkward_scores(spark):
     assert pseudo_likelihood.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("middle", [16, 1])
+def test_words_without_a_number_have_probabilities_of_their_own(spark, monkeypatch, middle):
+    monkeypatch.setattr(pseudo_likelihood, "MIDDLE", middle)
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(pseudo_likelihood.TOP)]
+    bucket = lambda w: zlib.crc32(w.encode()) % pseudo_likelihood.OTHERS
+    often, seldom, junk = [w for w in (f"w{k}" for k in range(3000)) if bucket(w) == 7][:3]
+    rows = [(k, " ".join([*rng.sample(common, 200), *[often] * (k % 10 == 0), *[seldom] * (k in (1, 2))]), "en", "a") for k in range(400)]
+    docs = documents(spark, rows)
+    model = pseudo_likelihood.train(docs)
+    assert model[0].top[0].startswith("c") and len(model[0].top) == pseudo_likelihood.TOP
+    probe = [(k, f"c1 c2 {w} c3 c4", "en", "a") for k, w in enumerate((often, seldom, junk))]
+    found = {r["doc_id"]: r["log_likelihood"] for r in pseudo_likelihood.score(documents(spark, probe), model).collect()}
+    assert math.isclose(found[0] - found[1], math.log(40 / 2), rel_tol=1e-4)
+    assert math.isclose(found[1] - found[2], math.log(2), rel_tol=1e-4)
+
+
+def test_vocabulary_follows_the_counts(spark):
+    rows = [(k, " ".join(f"v{k % 4}x{j}" for j in range(500)), "en", "a") for k in range(400)]
+    words = pseudo_likelihood.vocabulary(documents(spark, rows))
+    least = pseudo_likelihood.RARE * math.sqrt(400 * 500)
+    assert len(words.top) == pseudo_likelihood.TOP and least > 100  # each word occurs 100 times
+    words = pseudo_likelihood.vocabulary(documents(spark, rows * 6))
+    assert len(words.top) == 2000 and words.size >= 2000 * pseudo_likelihood.VOCABULARY / pseudo_likelihood.TOP and not words.middle
+
+
 # --- 4 ---------------------------------------------------------------------------------------
 
 
