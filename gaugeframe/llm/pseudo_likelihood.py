@@ -13,9 +13,9 @@ shared number times its share of that number's occurrences in the corpus, with o
 that the corpus does not have. The counts of the more frequent ones (``MIDDLE``) are told to the workers, those of the
 others meet the documents by a join on the word; a word that occurs once adds log 1 = 0.
 
-Training is data-parallel: in each of ``ROUNDS`` rounds every task trains a copy of the
-current network on its own documents (every ``STRIDE``-th position, another one each round), and the copies are averaged,
-weighted by their positions, in a Spark aggregation. So all documents teach, and only one network
+Training is data-parallel: in each of ``ROUNDS`` rounds every task trains a copy of the current network on its own
+documents (every ``ROUNDS``-th position, another one each round, so that each position is a target once), and the
+copies are averaged, weighted by their positions, in a Spark aggregation. So all documents teach, and only one network
 ever reaches the driver. How the documents are dealt to tasks has a small influence on the network.
 
 Defined cases: a null or empty text has no tokens, the sum 0.0 and a null mean; repeated rows are scored each; texts
@@ -54,7 +54,6 @@ PIECE = 4096
 REACH = 2
 WIDTH = 32
 ROUNDS = 2
-STRIDE = 8
 RATE = 0.15
 BATCH = 1024
 #: Positions whose probabilities are computed at a time, and words a worker remembers.
@@ -176,8 +175,8 @@ def learn(net: Network, squares: Network, ids: np.ndarray, at: np.ndarray) -> No
     """One pass of Adagrad over the given places, in place."""
 
     def step(name: str, grad: np.ndarray, where=slice(None)) -> None:
-        squares[name][where] += grad * grad
-        net[name][where] -= RATE * grad / np.sqrt(squares[name][where] + 1e-6)
+        squares[name][where] = seen = squares[name][where] + grad * grad
+        net[name][where] -= RATE * grad / np.sqrt(seen + 1e-6)
 
     classes = net["outer_bias"].size
     for k in range(0, at.size, BATCH):
@@ -195,21 +194,30 @@ def learn(net: Network, squares: Network, ids: np.ndarray, at: np.ndarray) -> No
         step("outer", h.T @ d)
         step("outer_bias", d.sum(0))
         cuts = np.searchsorted(group, np.arange(classes + 1))
-        for c in range(classes):
+        met = np.flatnonzero(np.diff(cuts))
+        inner, inner_bias = np.empty((met.size, WIDTH, classes), np.float32), np.empty((met.size, classes), np.float32)
+        e = np.empty((n, classes), np.float32)
+        for c in met:
+            np.matmul(h[cuts[c] : cuts[c + 1]], net["inner"][c], out=e[cuts[c] : cuts[c + 1]])
+        e = _softmax(e + net["inner_bias"][group])
+        e[rows, within] -= 1
+        e /= n
+        for k, c in enumerate(met):
             s = slice(cuts[c], cuts[c + 1])
-            if s.start < s.stop:
-                e = _softmax(h[s] @ net["inner"][c] + net["inner_bias"][c])
-                e[np.arange(s.stop - s.start), within[s]] -= 1
-                e /= n
-                back[s] += e @ net["inner"][c].T
-                step("inner", h[s].T @ e, c)
-                step("inner_bias", e.sum(0), c)
+            back[s] += e[s] @ net["inner"][c].T
+            np.matmul(h[s].T, e[s], out=inner[k])
+        np.add.reduceat(e, cuts[met], axis=0, out=inner_bias)
+        step("inner", inner, met)
+        step("inner_bias", inner_bias, met)
         back *= 1 - h * h
         step("bias", back.sum(0))
-        for j in range(context.shape[1]):
-            order = np.argsort(context[:, j], kind="stable")
-            seen, firsts = np.unique(context[order, j], return_index=True)
-            step("embed", np.add.reduceat(back[order], firsts, axis=0), (j, seen))
+        places = np.arange(context.shape[1])
+        flat_places = (context + places * (classes * classes + 1)).ravel()
+        order = np.argsort(flat_places, kind="stable")
+        sorted_places = flat_places[order]
+        firsts = np.flatnonzero(np.diff(sorted_places, prepend=-1))
+        seen = np.divmod(sorted_places[firsts], classes * classes + 1)
+        step("embed", np.add.reduceat(back[order // places.size], firsts, axis=0), seen)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -264,7 +272,7 @@ def _round(docs: DataFrame, words: Vocabulary, start: Network, number: int) -> N
         for whole in batches:
             for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
                 ids, _ = numbered([tokens(t) for t in batch.column("text").to_pylist()], known)
-                at = np.arange(REACH + number * (STRIDE // ROUNDS), ids.size - REACH, STRIDE)
+                at = np.arange(REACH + number, ids.size - REACH, ROUNDS)
                 at = at[ids[at] < size]
                 learn(net, squares, ids, at)
                 places += at.size

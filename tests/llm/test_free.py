@@ -101,6 +101,15 @@ def test_vocabulary_follows_the_counts(spark):
     assert len(words.top) == 2000 and words.size >= 2000 * pseudo_likelihood.VOCABULARY / pseudo_likelihood.TOP and not words.middle
 
 
+def test_every_position_is_trained(spark):
+    text = "zero one two three four five"
+    docs = documents(spark, [(k, text, "en", "a") for k in range(16_000)], clashes=False).coalesce(1)
+    words, net = pseudo_likelihood.train(docs)
+    ids, _ = pseudo_likelihood.numbered([text.split()], pseudo_likelihood.Numbers(words.top, words.size))
+    logs = pseudo_likelihood.log_probabilities(net, ids, np.arange(2, 8))
+    assert logs.min() > -2, logs
+
+
 # --- 4 ---------------------------------------------------------------------------------------
 
 
