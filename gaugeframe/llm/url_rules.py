@@ -4,8 +4,8 @@ Explicit rules (host and path prefix) come first; the longest that fits decides.
 by rules that FP-growth mines from labelled urls: items are the url's tokens and, for unwanted rows,
 ``BAD``. A set of tokens becomes a rule if it occurs with ``BAD`` in at least ``MIN_SUPPORT`` of the labelled rows and
 at least ``MIN_CONFIDENCE`` of the rows with these tokens are unwanted; rules with a subset that is a rule of
-at least the same confidence are pruned. Tokens in more than ``MAX_SHARE`` of the labelled urls tell nothing
-and take no part. A url is blocked if it holds all tokens of a rule.
+at least the same confidence are pruned. Tokens of every labelled url tell nothing and take no part: with or without
+them a set holds the same rows. A url is blocked if it holds all tokens of a rule.
 
 Rules are matched through an inverted index: each rule is filed under its rarest token, so a url meets
 only the rules filed under its own tokens and a rule's other tokens are then looked up in the url's list. Each
@@ -28,7 +28,8 @@ from .frames import store
 BAD = "!bad"
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.7
-MAX_SHARE = 0.5
+#: Share of the labelled urls from which on a token takes no part: only those of all urls.
+MAX_SHARE = 1
 #: (host, path, verdict) of the explicit rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,7 +69,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rows = store(labelled.where("bad IS NOT NULL").select("bad", tokens(F.col("url")).alias("tokens")), "url-labelled")
     total = rows.count()
     held = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    useful = store(held.where((F.col("n") >= total * min_support) & (F.col("n") <= total * MAX_SHARE)), "url-tokens")
+    useful = store(held.where((F.col("n") >= total * min_support) & (F.col("n") < total * MAX_SHARE)), "url-tokens")
     # At most (mean number of tokens of a url) / min_support tokens are that frequent.
     frequent = F.array(*[F.lit(r["token"]) for r in useful.select("token").collect()]).cast("array<string>")
     kept = rows.select("bad", F.array_intersect("tokens", frequent).alias("t"))

@@ -102,6 +102,16 @@ def test_mined_rules_against_all_subsets(spark):
     assert found == expected and found
 
 
+def test_frequent_tokens_make_rules(spark):
+    """{big, x} is sure while {x} is not; the host ``spam`` of most urls is sure by itself."""
+    rows = [(f"http://{'big' if k % 10 < 6 else 'small'}.example/{'x' if k % 2 else 'y'}", k % 2 == 1 and k % 10 < 6) for k in range(200)]
+    found = {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert found == {("big", "x"): (60, 1.0)}
+    rows = [(f"http://{'spam' if k % 5 else 'fine'}.example/{k}", k % 5 > 0) for k in range(200)]
+    found = {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert found == {("spam",): (160, 1.0)}
+
+
 def test_no_pages_and_no_labels(spark):
     pages, labels = labelled(spark)
     assert url_rules.judge(pages.limit(0), labels).count() == 0
