@@ -2,9 +2,9 @@
 
 Explicit rules (host and path prefix) come first; the longest that fits decides. Other urls are judged
 by rules that FP-growth mines from labelled urls: items are the url's tokens and, for unwanted rows,
-``BAD``. A set of tokens becomes a rule if it occurs with ``BAD`` in at least ``MIN_SUPPORT`` of the labelled rows and
-at least ``MIN_CONFIDENCE`` of the rows with these tokens are unwanted; rules with a subset that is a rule of
-at least the same confidence are pruned. Tokens of every labelled url tell nothing and take no part: with or without
+``BAD``. A set of tokens becomes a rule if it occurs with ``BAD`` in at least ``MIN_SUPPORT`` of the labelled rows, and
+in ``MIN_ROWS`` rows at any size of the table, and at least ``MIN_CONFIDENCE`` of the rows with these tokens are
+unwanted; rules with a subset that is a rule of at least the same confidence are pruned. Tokens of every labelled url tell nothing and take no part: with or without
 them a set holds the same rows. A url is blocked if it holds all tokens of a rule.
 
 Rules are matched through an inverted index: each rule is filed under its rarest token, so a url meets
@@ -27,6 +27,8 @@ from .frames import store
 #: Item that marks an unwanted row; tokens hold letters and digits only.
 BAD = "!bad"
 MIN_SUPPORT = 0.005
+#: Unwanted rows that a rule needs at least, however few rows are labelled.
+MIN_ROWS = 5
 MIN_CONFIDENCE = 0.7
 #: Share of the labelled urls from which on a token takes no part: only those of all urls.
 MAX_SHARE = 1
@@ -69,16 +71,18 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rows = store(labelled.where("bad IS NOT NULL").select("bad", tokens(F.col("url")).alias("tokens")), "url-labelled")
     total = rows.count()
     held = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    useful = store(held.where((F.col("n") >= total * min_support) & (F.col("n") < total * MAX_SHARE)), "url-tokens")
+    useful = store(held.where((F.col("n") >= max(total * min_support, MIN_ROWS)) & (F.col("n") < total * MAX_SHARE)), "url-tokens")
     # At most (mean number of tokens of a url) / min_support tokens are that frequent.
     frequent = F.array(*[F.lit(r["token"]) for r in useful.select("token").collect()]).cast("array<string>")
     kept = rows.select("bad", F.array_intersect("tokens", frequent).alias("t"))
     items = F.concat("t", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
     if total == 0:
         return rows.select("tokens", F.lit(0).cast("bigint").alias("support"), F.lit(0.0).alias("confidence"), F.lit("").alias("anchor"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(kept.select(items.alias("items")))
+    # Half a row less, since FP-growth rounds the product with the number of rows up.
+    least = min(1.0, max(min_support, (MIN_ROWS - 0.5) / total))
+    model = FPGrowth(itemsCol="items", minSupport=least).fit(kept.select(items.alias("items")))
     sets = store(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
-    both = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1))
+    both = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.col("freq") >= MIN_ROWS))
     both = both.select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("support"))
     sure = both.join(sets, F.col("tokens") == F.col("items")).withColumn("confidence", F.col("support") / F.col("freq"))
     sure = store(sure.where(F.col("confidence") >= min_confidence).select("tokens", "support", "confidence"), "url-sure")

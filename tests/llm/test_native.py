@@ -112,6 +112,15 @@ def test_frequent_tokens_make_rules(spark):
     assert found == {("spam",): (160, 1.0)}
 
 
+def test_few_rows_make_no_rule(spark):
+    """One to four unwanted rows are no rule on a small table; five are, as long as they are 0.005 of it."""
+    for n, expected in ((3, set()), (98, {("five",)}), (1000, {("five",)})):
+        words = ["one"] + ["four"] * 4 + ["five"] * 5 + [f"good{k % 3}" for k in range(n)]
+        rows = [(f"http://host.example/{w}", not w.startswith("good")) for w in words[:n]]
+        found = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+        assert {tuple(r["tokens"]) for r in found} == expected
+
+
 def test_no_pages_and_no_labels(spark):
     pages, labels = labelled(spark)
     assert url_rules.judge(pages.limit(0), labels).count() == 0
