@@ -7,6 +7,9 @@ boundaries inside it, and every chunk but the last one and that of a one-line te
 least. A chunk of several lines that occurs more than once in the corpus is kept where it comes first,
 in the order (doc_id, md5 of the text, chunk number), and removed elsewhere.
 
+The pipeline stage (``keep_lines``) takes every two adjacent lines as a chunk instead, since boundaries that
+need four lines miss passages of two to five lines inside other text, and the ends of longer ones.
+
 Chunks are found by a 128-bit hash and then compared by their bytes. Only the hash and position of
 each chunk are shuffled to find candidates; texts are shuffled once, to meet the list of their
 candidates, and stored with it. For hashes that different chunks share, chunks are compared by their
@@ -64,6 +67,17 @@ def chunked(rows: DataFrame, text: Column, keep: list[str], key: Callable[[Colum
     return step.select(*keep, "lines", chunks.alias("chunks"))
 
 
+def paired(rows: DataFrame, text: Column, keep: list[str], key: Callable[[Column], Column] = chunk_key) -> DataFrame:
+    """As ``chunked``, but every two adjacent lines are a chunk, unless both are blank."""
+    step = rows.select(*keep, F.split(text, "\n").alias("lines"))
+    starts = F.when(F.size("lines") >= MIN_LINES, F.sequence(F.lit(0), F.size("lines") - MIN_LINES))
+    starts = F.when(F.col("lines").isNotNull(), F.coalesce(starts, F.array().cast("array<int>")))
+    two = lambda i: F.slice("lines", i + 1, MIN_LINES)
+    starts = F.filter(starts, lambda i: F.exists(two(i), lambda x: x.rlike(r"\S")))
+    chunks = F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(MIN_LINES).alias("size"), key(two(i)).alias("key")))
+    return step.select(*keep, "lines", chunks.alias("chunks"))
+
+
 def _candidates(cut: DataFrame) -> DataFrame:
     """Per document its chunks whose hash occurs again: (idx, key, whether it is the first one)."""
     # The outer form: for the inner one Spark infers a filter on the array and computes it a second time.
@@ -104,14 +118,14 @@ def _mended(spelt: DataFrame) -> DataFrame:
     ).select(F.col("of_id").alias("m_id"), F.col("of_th").alias("m_th"), "keys", "again")
 
 
-def marked(docs: DataFrame, key: Callable[[Column], Column] = chunk_key) -> DataFrame:
+def marked(docs: DataFrame, key: Callable[[Column], Column] = chunk_key, cut: Callable[..., DataFrame] = chunked) -> DataFrame:
     """The rows as ``doc`` with ``lines``, ``chunks`` and ``removed``, the numbers of removed chunks."""
     same = lambda a, b: F.col(f"{a}_id").eqNullSafe(F.col(f"{b}_id")) & F.col(f"{a}_th").eqNullSafe(F.col(f"{b}_th"))
     known = docs.select("doc_id", F.md5("text").alias("th"), "text")
-    listed = _candidates(chunked(known, F.col("text"), ["doc_id", "th"], key))
+    listed = _candidates(cut(known, F.col("text"), ["doc_id", "th"], key))
     rows = docs.select(payload(docs).alias("doc"), F.col("doc_id").alias("d_id"), F.md5(F.col("text")).alias("d_th"))
     met = store(rows.join(listed, same("d", "of"), "left").drop("of_id", "of_th"), "line-chunks")
-    met = chunked(met, F.col("doc.text"), ["doc", "d_id", "d_th", "found"], key)
+    met = cut(met, F.col("doc.text"), ["doc", "d_id", "d_th", "found"], key)
     found = met.where("found IS NOT NULL").select(
         F.col("d_id").alias("of_id"), F.col("d_th").alias("of_th"), "lines", "chunks", F.explode("found").alias("f")
     )
@@ -151,12 +165,24 @@ def line_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _uncovered(rows: DataFrame) -> DataFrame:
+    """``marked`` rows of overlapping chunks with the text of the lines that no removed chunk holds."""
+    starts = F.transform("removed", lambda k: F.get("chunks", k)["start"])
+    covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (MIN_LINES - 1))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
+    rows = rows.withColumn("kept", F.when(F.col("lines").isNotNull(), kept))
+    text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
+    return rows.select("doc", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).alias("n_removed_lines"), text.alias("kept_text"))
+
+
 def keep_lines(docs: DataFrame) -> DataFrame:
-    """The documents without the removed lines, with their own columns.
+    """The documents without the lines of repeated passages, with their own columns.
 
-    Documents that lose all their lines go; those that were null or empty before stay.
+    A line goes if it and a line next to it stand together at an earlier place, so passages of two lines
+    and both ends of longer ones go wherever they stand. A line's text stays at the first of these
+    places. Documents that lose all their lines go; those that were null or empty before stay.
     """
-    cleaned = _cleaned(marked(docs))
+    cleaned = _uncovered(marked(docs, cut=paired))
     left = cleaned.where("n_removed_lines = 0 OR kept_text <> ''")
     own = [F.col("kept_text").alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]
     return left.select(*own)

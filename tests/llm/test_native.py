@@ -162,6 +162,30 @@ def test_line_stage_keeps_columns(spark):
     assert line_chunks.keep_lines(docs.limit(0)).count() == 0
 
 
+def test_short_passages_go_from_the_middle(spark):
+    """Passages of two to five lines inside different texts go whole, from all but the first text; blank lines stay."""
+    line = lambda seed: " ".join(f"{seed}w{k}" for k in range(30))
+    rows = []
+    for n in range(2, 6):
+        for seed in range(20):
+            passage = [line(f"p{n}x{seed}y{k}") for k in range(n)]
+            for d in range(2):
+                own = [line(f"d{n}x{seed}y{d}z{k}") for k in range(6)]
+                rows.append((1000 * n + 10 * seed + d, "\n".join([*own[:3], *passage, *own[3:5], "", "", own[5]]), "en", "a"))
+    out = {r["doc_id"]: r["text"] for r in line_chunks.keep_lines(documents(spark, rows)).collect()}
+    for key, text, *_ in rows:
+        n = key // 1000
+        lines = text.split("\n")
+        assert out[key] == (text if key % 10 == 0 else "\n".join(lines[:3] + lines[3 + n :])), key
+
+
+def test_pairs_with_equal_hashes_are_told_apart_by_bytes(spark):
+    docs = documents(spark)
+    clean = lambda key: line_chunks._uncovered(line_chunks.marked(docs, key, line_chunks.paired))
+    weak = clean(lambda lines: F.substring(line_chunks.chunk_key(lines), 1, 1))
+    assert answers(weak, "kept_text", "n_removed_lines") == answers(clean(line_chunks.chunk_key), "kept_text", "n_removed_lines")
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 ITEM = "A train leaves Berlin at 9.30 and travels 240 km to Hamburg while Anna waits 3 hours for the train in Hamburg and reads."
