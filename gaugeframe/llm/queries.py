@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     chat_snapshots,
+    filter_audit,
     line_chunks,
     near_duplicates,
     packing,
     pseudo_likelihood,
     quality_rules,
+    ranked_search,
     repeated_bytes,
     templates,
+    token_counts,
     toxicity,
     url_rules,
 )
@@ -35,4 +38,7 @@ def queries() -> dict[str, Query]:
         "op8_packing": lambda s, d: packing.pieces(read(s, d, "documents"), with_ids=False),
         "op9_repeated_bytes": lambda s, d: repeated_bytes.cleaned(read(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality_rules.quality_report(read(s, d, "documents")),
+        "op11_ranked_search": lambda s, d: ranked_search.ranked_search(read(s, d, "documents"), read(s, d, "benchmark")),
+        "op12_token_counts": lambda s, d: token_counts.token_counts(read(s, d, "documents")),
+        "op13_filter_audit": lambda s, d: filter_audit.audit(read(s, d, "documents"), read(s, d, "labels")),
     }

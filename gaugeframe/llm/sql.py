@@ -100,9 +100,51 @@ SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM docs LEFT JOIN told USING (d)"""
 
 
+RANKED_SEARCH = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
+    unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM documents),
+held AS (SELECT r, doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf FROM docs GROUP BY ALL),
+sized AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY r),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS HUGEINT) AS n_terms FROM sized),
+normal AS (SELECT r, CAST(10 + (90 * n * n_docs) // n_terms AS BIGINT) AS m FROM sized, corpus),
+asked AS (SELECT DISTINCT item_id, text, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM (SELECT item_id, text, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM benchmark)),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM held GROUP BY term), corpus),
+scored AS (SELECT item_id, text, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM asked JOIN weighed USING (term) JOIN held USING (term) JOIN normal USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id ASC NULLS LAST) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10"""
+
+FILTER_AUDIT = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+marks AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+read AS (SELECT *, regexp_extract_all(t, '[^ \x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM docs),
+judged AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+        WHEN 'A' THEN len(w) < 50 WHEN 'B' THEN 100 * len(list_distinct(w)) < 65 * len(w)
+        WHEN 'C' THEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t)
+        WHEN 'D' THEN regexp_matches(t, '[#$%&*|]') ELSE coalesce(read.doc_id > least, false) END) AS fails
+    FROM read LEFT JOIN marks ON read.doc_id = marks.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, step, o[step] AS own, o[1 : step - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+told AS (SELECT part, o, step, own, n, good, toxic, list_contains(fails, own) AS hit, list_has_any(fails, earlier) AS gone, len(fails) AS many FROM cells, steps),
+summed AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (hit AND many = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost FROM told GROUP BY ALL)
+SELECT part, array_to_string(o, '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM summed"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_snapshots": CHAT_SNAPSHOTS,
         "op6_line_chunks": LINE_CHUNKS,
         "op10_quality_rules": quality_rules_sql(),
+        "op11_ranked_search": RANKED_SEARCH,
+        "op13_filter_audit": FILTER_AUDIT,
     }

@@ -1,0 +1,218 @@
+"""Operators 11, 12 and 13 on small tables, against plain Python."""
+
+import math
+import random
+import re
+from collections import Counter
+from itertools import permutations
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from gaugeframe.llm import filter_audit, ranked_search, token_counts
+from tests_llm_corpus import answers, awkward_rows, documents, prose
+
+# --- 11 --------------------------------------------------------------------------------------
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+ITEMS = [
+    (1, "Alpha3 beta7, gamma1 gamma1; omega"), (2, None), (3, ""), (None, "delta9 漢字 É ü"), (4, "nowhere to be found"),
+    (5, "one two three"), (5, "three"), (6, "ALPHA3"), (6, "ALPHA3"), (7, "é"),
+]
+
+
+def by_hand(rows, items, top=10):
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    bags = [(d, Counter(TERM.findall(lower(t or "")))) for d, t, *_ in rows]
+    bags = [(d, b) for d, b in bags if b]
+    df = Counter(t for _, b in bags for t in b)
+    n_docs, total = len(bags), sum(sum(b.values()) for _, b in bags)
+    out = []
+    for item, text in dict.fromkeys(items):
+        scores = []
+        for d, b in bags:
+            m = 10 + 90 * sum(b.values()) * n_docs // total
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * b[t] // (1000 * b[t] + 8 * m)) for t in set(TERM.findall(lower(text or ""))) if t in b)
+            scores.append((-s, d is None, d or 0))
+        out += [(item, k + 1, None if null else d, -s) for k, (s, null, d) in enumerate(sorted(x for x in scores if x[0] < 0)[:top])]
+    return sorted(out, key=str)
+
+
+def items_of(spark, items):
+    return spark.createDataFrame(items, "item_id long, text string").withColumn("rank", F.lit(1)).withColumn("score", F.lit("x"))
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 40])
+def test_search_against_all_scores(spark, monkeypatch, at_once):
+    monkeypatch.setattr(ranked_search, "POSTINGS", at_once)
+    rows = awkward_rows() + [(100 + k, prose(k % 7, 20 + k % 5), "en", "a") for k in range(60)] + [(200, "Alpha3\x00beta7|É", "en", "a")]
+    out = ranked_search.ranked_search(documents(spark, rows), items_of(spark, ITEMS))
+    assert answers(out, "item_id", "rank", "doc_id", "score") == by_hand(rows, ITEMS)
+
+
+def test_search_in_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "QUERIES", 3)
+    out = ranked_search.ranked_search(documents(spark), items_of(spark, ITEMS), top=3)
+    assert answers(out, "item_id", "rank", "doc_id", "score") == by_hand(awkward_rows(), ITEMS, 3)
+
+
+def test_search_in_nothing(spark):
+    docs, items = documents(spark), items_of(spark, ITEMS)
+    assert ranked_search.ranked_search(docs.limit(0), items).count() == 0
+    assert ranked_search.ranked_search(docs, items.limit(0)).count() == 0
+    assert ranked_search.ranked_search(documents(spark, [(1, " .,", "en", "a")]), items).count() == 0
+
+
+def test_visits_stop_below_the_last_place():
+    """Strata whose bound is below the floor are not visited; those at the floor are."""
+    m = np.repeat([10, 20, 30, 40], 5)
+    block = ranked_search.Stratified(m, np.ones(20, int), np.zeros(20, int), np.ones(20, int), np.array([1000]))
+    bounds = [1000 * (10**9 // (1000 + 8 * x)) for x in (10, 20, 30, 40)]
+    for floor, strata in ((1, 4), (bounds[2], 3), (bounds[2] + 1, 2)):
+        seen, visits, answer = [], block.visits(np.array([0]), 1), None
+        while True:
+            try:
+                docs, scores = visits.send(answer)
+            except StopIteration:
+                break
+            seen += docs.tolist()
+            assert scores.tolist() == [bounds[m[d] // 10 - 1] for d in docs]
+            answer = floor
+        assert sorted(seen) == list(range(5 * strata))
+
+
+def test_normaliser_beyond_64_bits(spark):
+    n, n_docs, total = 10**9, 10**12, 10**15
+    found = spark.range(1).select(F.lit(n).cast("bigint").alias("n")).select(F.expr(ranked_search.normaliser(documents=str(n_docs), total=str(total))).alias("m"))
+    assert found.first()["m"] == 10 + 90 * n * n_docs // total
+
+
+# --- 12 --------------------------------------------------------------------------------------
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = ["a", "B", "it's", "'ll", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", "é", "ß", "²", "12", "7", "!", "--", "_", "'"]
+ODD += ["<|endoftext|>", "<|endo", "漢字", "\U0001f600", "́", "ʯ", "ʰ", "и", "ﬁ", "٣", "᠎", "​", "\U000323b0", "\x00", "﻿"]
+
+
+def odd_texts(n):
+    rng = random.Random(2)
+    return ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_counts_are_the_librarys():
+    library, known = Tokenizer.from_file(PATH), token_counts.PreTokens(PATH)
+    for text in odd_texts(3000):
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        assert sum(known.sizes(known.parts(text))) == n, text
+        cut = list(token_counts.segments(text, 3))
+        assert "".join(cut) == text and sum(sum(known.sizes(known.parts(s))) for s in cut) == n, text
+
+
+@pytest.mark.parametrize(("known", "table", "block"), [(500_000, 1 << 16, 1 << 20), (50, 20, 300), (1, 0, 7)])
+def test_token_counts(spark, monkeypatch, known, table, block):
+    monkeypatch.setattr(token_counts, "KNOWN", known)
+    monkeypatch.setattr(token_counts, "BLOCK", block)
+    rows = awkward_rows()[: 17 if block > 100 else 6] + [(1000 + k, t, "en", "a") for k, t in enumerate(odd_texts(200))]
+    rows += [(20, "x" * 30_000, "en", "a"), (21, "a b " * 256, "en", "a"), (22, "a b " * 256 + "c", "en", "a")]
+    library = Tokenizer.from_file(PATH)
+    expected = [(d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in rows]
+    out = token_counts.token_counts(documents(spark, rows), table=table)
+    assert answers(out, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(((*x, x[2] > 512) for x in expected), key=str)
+    assert token_counts.token_counts(documents(spark).limit(0)).count() == 0
+
+
+def test_frequent_words_come_first(spark):
+    rows = [(k, "often " * 50 + "seldom" + chr(97 + k % 26) * (k // 26 + 1), "en", "a") for k in range(200)]
+    assert token_counts.frequent(documents(spark, rows), PATH, 2) == [" often", "often"]
+
+
+def test_summaries_stay_within_their_error():
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(20_000)]
+    exact, seen = Counter(words), Counter()
+    for k in range(0, len(words), 100):
+        seen.update(words[k : k + 100])
+        if len(seen) > 200:
+            seen = token_counts.lowered(seen, 100)
+            assert len(seen) <= 100
+    assert all(exact[w] - len(words) / 100 <= seen[w] <= exact[w] for w in exact)
+
+
+def test_unknown_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.PreTokens(public_tokenizers.path("word_bpe_49k.json"))
+
+
+# --- 13 --------------------------------------------------------------------------------------
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def audited(rows, labels):
+    docs = []
+    for d, text, _, source in rows:
+        t = text or ""
+        words = WORD.findall(t)
+        fails = "A" * (len(words) < 50) + "B" * (100 * len(set(words)) < 65 * len(words))
+        fails += "C" * (100 * len(re.findall("[A-Z]", t)) > 5 * len(t)) + "D" * bool(re.search("[#$%&*|]", t))
+        fails += "E" * any(o is not None and d is not None and o < d and (x or "") == t for o, x, *_ in rows)
+        good, toxic = (any(i == d is not None and pick(q, x) == 1 for i, q, x in labels) for pick in (lambda q, x: q, lambda q, x: x))
+        docs.append((source or "", fails, good, toxic))
+    out = []
+    for part in {x[0] for x in docs}:
+        own = [x[1:] for x in docs if x[0] == part]
+        told = {}
+        for order in map("".join, permutations("ABCDE")):
+            left, gone = own, []
+            for k, letter in enumerate(order):
+                hit = [x for x in left if letter in x[0]]
+                left = [x for x in left if letter not in x[0]]
+                again = sum(letter in x[0] for x in gone)
+                gone = gone + hit
+                told[order, k + 1] = (len(left), len(hit), again, sum(x[0] == letter for x in own), sum(x[1] for x in hit), sum(x[2] for x in hit))
+        for (order, step), x in told.items():
+            shapley = sum(v[1] for (o, k), v in told.items() if o[k - 1] == order[step - 1])
+            out.append((part, order, step, *x, shapley))
+    return sorted(out, key=str)
+
+
+AUDIT = "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley".split()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_audit_against_all_orders(spark, monkeypatch, block):
+    monkeypatch.setattr(filter_audit, "BLOCK", block)
+    rows = [r for r in awkward_rows() if block > 200 or len(r[1] or "") < 20_000]
+    rows += [(30, "A B C " * 30, "en", "a"), (31, "A B C " * 30, "en", "b"), (32, "#" + prose(5, 60), "en", ""), (33, prose(5, 60), "en", "b"), (33, prose(5, 60), "en", "b")]
+    rows += [(34, "x" * 3000 + " y", "en", "b"), (None, "A B C " * 30, "en", "a"), (35, "É\x0bß\x0cé " * 20, "en", "b")]
+    labels = [(1, 1, 0), (1, 0, 1), (30, None, 1), (31, 1, None), (None, 1, 1), (9, 1, 0), (10**6, 1, 1)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("mask", F.lit("x"))
+    docs = documents(spark, rows).withColumn("part", F.lit("x")).withColumn("same", F.lit(1))
+    assert answers(filter_audit.audit(docs, marks), *AUDIT) == audited(rows, labels)
+    assert filter_audit.audit(docs, marks.limit(0)).count() == 600 * len({r[3] or "" for r in rows})
+    assert filter_audit.audit(docs.limit(0), marks).count() == 0
+
+
+def test_transducer_counts():
+    rng = random.Random(6)
+    texts = [None, "", *("".join(rng.choice(["a", "b", "A", "#", " ", "\n", "é", "漢", "\U0001f600", "\x0b", "\x1c"]) for _ in range(rng.randint(0, 60))) for _ in range(500))]
+    for at, n in ((0, len(texts)), (7, 300)):
+        found = filter_audit.Reader().texts(pa.array(texts).slice(at, n))
+        for text, counts in zip(texts[at : at + n], found.tolist()):
+            t = text or ""
+            words = WORD.findall(t)
+            assert counts == [len(words), len(set(words)), t.count("A"), len(t), t.count("#")], t
+
+
+def test_equal_hashes_are_told_apart_by_their_bytes():
+    """All words of a length share one hash; the table still holds each once."""
+    words = [b"ab", b"cd", b"ab", b"ef", b"cd", b"xyz", b"ab"]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    size = np.array([len(w) for w in words])
+    low = np.cumsum(size + 1) - size - 1
+    first = filter_audit.first_spans(data, np.zeros(7, int), low, low + size, np.zeros(7, np.uint64))
+    assert sorted(w for w, f in zip(words, first) if f) == [b"ab", b"cd", b"ef", b"xyz"]
