@@ -204,10 +204,12 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Names of our own, since the documents may have any others.
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("same"), "text")
     counted = store(measured(rows, ["doc_id", "part", "same"]), "audit-counts")
-    least = counted.groupBy(F.col("same").alias("of_same")).agg(F.min("doc_id").alias("least"))
+    copies = counted.groupBy(F.col("same").alias("of_same")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    # Stored, so that the join has a plain shuffle on either side, whose hot texts Spark can split.
+    least = store(copies.where("times > 1").drop("times"), "audit-copies")
     says = lambda c: F.max((F.col(c) == 1).cast("int")).alias(c)
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of_id")).agg(says("quality"), says("toxic"))
-    met = counted.join(least, F.col("same") == F.col("of_same")).join(marks, F.col("doc_id") == F.col("of_id"), "left")
+    met = counted.join(least, F.col("same") == F.col("of_same"), "left").join(marks, F.col("doc_id") == F.col("of_id"), "left")
     fails = [
         F.col("n_words") < MIN_WORDS,
         F.col("n_different") * 100 < F.col("n_words") * MIN_DIFFERENT,
