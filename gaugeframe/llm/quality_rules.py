@@ -8,6 +8,14 @@ by adding counts, which also gives the sketches of a language and of the whole c
 for groups of fewer than ``MIN_GROUP`` documents. The fences are joined to the documents, and a
 document outside of a fence is rejected.
 
+A fence lies where a tail of the group's own scale would leave the share ``OUTSIDE`` of the documents. Beyond the quartile the
+tail is taken as exponential, and its scale is the greatest of three that the sketches give: that of the middle (from
+the quantiles 50 and 75), that of the tail (from 75 and 90, but not more than the tail of the whole language has, since junk
+may be a tenth of a source), and the least that can be told apart. The last one decides where quantiles coincide, as for signals that
+most documents do not have: it is what the least possible occurrence (``LEAST`` words or lines) makes up in a document of
+the group's lower quartile of sizes, which has a sketch too, and for the word length the width of the sketch's bucket at the median.
+The lower fence of the word length is built alike from the quantiles 50, 25 and 10. No cutoff is fixed.
+
 Defined cases: a null text counts as empty, has no words and fails the base rules; null ``lang`` or
 ``source`` are groups of their own; repeated rows are judged each by itself; an empty table gives an
 empty table; columns other than the four needed may have any name.
@@ -15,6 +23,7 @@ empty table; columns other than the four needed may have any name.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,11 +37,15 @@ MAX_REPEAT = 50
 SYMBOLS = "#*$%&|<>"
 #: Groups with fewer documents use the sketch of their language, or of the corpus.
 MIN_GROUP = 30
-#: A fence lies this many quartile distances beyond the quartile, ...
-SPREAD = 3
-#: ... and at least the slack of its signal beyond it, in the signal's unit.
-SLACK = {"symbols": 150, "lines": 500, "repeats": 300, "length": 200}
-SIGNALS = list(SLACK)
+#: Share of a group's documents that an exponential tail of its scale has beyond the fence.
+OUTSIDE = 1e-4
+SIGNALS = ["symbols", "lines", "repeats", "length"]
+#: The least occurrence of a signal (a symbol, a line, two windows of three words), and the size it is measured by.
+LEAST = {"symbols": (1, "words"), "lines": (1, "line_count"), "repeats": (6, "words")}
+SIZES = ["words", "line_count"]
+QUANTILES = [10, 25, 50, 75, 90]
+#: Hundredths by which quantile distances 50 to 75, 75 to 90, and a scale itself, are multiplied to get from the quartile to the fence.
+MIDDLE, TAIL, SCALE = (round(100 * math.log(0.25 / OUTSIDE) / part) for part in (math.log(2), math.log(2.5), 1))
 #: Leading bits that a bucket keeps.
 BITS = 7
 
@@ -96,8 +109,9 @@ def _signals() -> dict[str, Column]:
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """One row per group, signal and bucket with the number of documents; partial sums come first."""
-    each = F.array(*[F.struct(F.lit(k).alias("signal"), v.cast("bigint").alias("v")) for k, v in _signals().items()])
+    """One row per group, signal (or size) and bucket with the number of documents; partial sums come first."""
+    sketched = {**_signals(), "words": F.col("n_words"), "line_count": F.col("n_lines")}
+    each = F.array(*[F.struct(F.lit(k).alias("signal"), v.cast("bigint").alias("v")) for k, v in sketched.items()])
     cut = F.greatest(F.length(F.bin("v")) - BITS, F.lit(0))
     return (
         counted.select("lang", "source", F.explode(each).alias("x"))
@@ -109,7 +123,7 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group the document count and the quartiles of each signal (``symbols_25`` and so on).
+    """Per group the document count and the QUANTILES of each signal and size (``symbols_25`` and so on).
 
     A group has at most some thousand buckets, so the running sum over them is bounded.
     """
@@ -119,31 +133,43 @@ def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     at = lambda s, q: F.min(F.when((F.col("signal") == s) & (F.col("upto") * 100 >= F.col("total") * q), F.col("bucket")))
     return ranked.groupBy(*by).agg(
         F.max("total").alias("n_docs"),
-        *[at(s, q).alias(f"{s}_{q}") for s in SIGNALS for q in (25, 75)],
+        *[at(s, q).alias(f"{s}_{q}") for s in SIGNALS + SIZES for q in QUANTILES],
     )
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """Per (lang, source) the lowest and highest value that is kept of each signal."""
-    quarter = [f"{s}_{q}" for s in SIGNALS for q in (25, 75)]
+    names = [f"{s}_{q}" for s in SIGNALS + SIZES for q in QUANTILES]
     own = quantiles(sketch, ["lang", "source"])
     rename = lambda df, mark: df.select(*[F.col(c).alias(f"{mark}_{c}") for c in df.columns])
     of_lang = rename(quantiles(sketch, ["lang"]), "lang")
     of_all = quantiles(sketch.withColumn("every", F.lit(1)), ["every"]).first()  # one row
     joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("lang_lang")), "left")
-    chosen = lambda c: (
-        F.when(F.col("n_docs") >= MIN_GROUP, F.col(c))
-        .when(F.col("lang_n_docs") >= MIN_GROUP, F.col(f"lang_{c}"))
-        .otherwise(F.lit(of_all[c] if of_all else None).cast("bigint"))
-        .alias(c)
+    whole = lambda c: F.lit(of_all[c] if of_all else None).cast("bigint")
+    above = lambda c: F.when(F.col("lang_n_docs") >= MIN_GROUP, F.col(f"lang_{c}")).otherwise(whole(c))
+    picked = joined.select(
+        "lang",
+        "source",
+        *[F.when(F.col("n_docs") >= MIN_GROUP, F.col(c)).otherwise(above(c)).alias(c) for c in names],
+        *[above(c).alias(f"up_{c}") for c in names],
     )
-    picked = joined.select("lang", "source", *[chosen(c) for c in quarter])
-    room = lambda s: F.greatest((F.col(f"{s}_75") - F.col(f"{s}_25")) * SPREAD, F.lit(SLACK[s]))
+
+    def room(signal: str, median: int, quartile: int, tail: int) -> Column:
+        apart = lambda a, b, mark="": F.abs(F.col(f"{mark}{signal}_{a}") - F.col(f"{mark}{signal}_{b}"))
+        part = lambda c, n: F.floor(c * n / 100)
+        if signal in LEAST:
+            count, size = LEAST[signal]
+            least = F.floor(F.lit(1000 * count) / F.greatest(F.col(f"{size}_25"), F.lit(1)))
+        else:
+            least = F.shiftright(f"{signal}_50", BITS - 1)
+        thin = F.least(apart(tail, quartile), apart(tail, quartile, "up_"))
+        return F.greatest(part(apart(quartile, median), MIDDLE), part(thin, TAIL), part(least, SCALE))
+
     return picked.select(
         F.col("lang").alias("of_lang"),
         F.col("source").alias("of_source"),
-        *[(F.col(f"{s}_75") + room(s)).alias(f"max_{s}") for s in SIGNALS],
-        (F.col("length_25") - room("length")).alias("min_length"),
+        *[(F.col(f"{s}_75") + room(s, 50, 75, 90)).alias(f"max_{s}") for s in SIGNALS],
+        (F.col("length_25") - room("length", 50, 25, 10)).alias("min_length"),
     )
 
 

@@ -6,38 +6,49 @@ from . import quality_rules as rules
 
 
 def _fence_sql() -> str:
-    """Sketch buckets, quartiles per group, language and corpus, and the fences of each group."""
+    """Sketch buckets, quantiles per group, language and corpus, and the fences of each group."""
     each = {
         "symbols": "n_symbols * 1000 // greatest(n_words, 1)",
         "lines": "n_dup_lines * 1000 // greatest(n_lines, 1)",
         "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)",
         "length": "word_chars * 100 // greatest(n_words, 1)",
+        "words": "n_words",
+        "line_count": "n_lines",
     }
     values = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, CAST({v} AS BIGINT) AS v FROM counted" for s, v in each.items())
     levels = {"own": "lang, source", "lan": "lang", "cor": "1 AS every"}
-    quarters = []
+    names = [f"{s}_{q}" for s in each for q in rules.QUANTILES]
+    parts = []
     for level, cols in levels.items():
         by = cols.replace("1 AS every", "every")
         picks = ", ".join(
-            f"min(CASE WHEN signal = '{s}' AND upto * 100 >= total * {q} THEN bucket END) AS {s}_{q}" for s in rules.SIGNALS for q in (25, 75)
+            f"min(CASE WHEN signal = '{s}' AND upto * 100 >= total * {q} THEN bucket END) AS {s}_{q}" for s in each for q in rules.QUANTILES
         )
-        quarters.append(f"""{level} AS (SELECT {by}, max(total) AS n_docs, {picks} FROM (
+        parts.append(f"""{level} AS (SELECT {by}, max(total) AS n_docs, {picks} FROM (
             SELECT *, sum(n) OVER (PARTITION BY {by}, signal) AS total,
                    sum(n) OVER (PARTITION BY {by}, signal ORDER BY bucket) AS upto
             FROM (SELECT {cols}, signal, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {by})""")
-    chosen = ", ".join(
-        f"CASE WHEN own.n_docs >= {rules.MIN_GROUP} THEN own.{s}_{q} WHEN lan.n_docs >= {rules.MIN_GROUP} THEN lan.{s}_{q} ELSE cor.{s}_{q} END AS {s}_{q}"
-        for s in rules.SIGNALS
-        for q in (25, 75)
-    )
-    room = lambda s: f"greatest(({s}_75 - {s}_25) * {rules.SPREAD}, {rules.SLACK[s]})"
-    tops = ", ".join(f"CAST({s}_75 + {room(s)} AS BIGINT) AS max_{s}" for s in rules.SIGNALS)
+    above = ", ".join(f"CASE WHEN lan.n_docs >= {rules.MIN_GROUP} THEN lan.{c} ELSE cor.{c} END AS up_{c}" for c in names)
+    chosen = ", ".join(f"CASE WHEN n_docs >= {rules.MIN_GROUP} THEN {c} ELSE up_{c} END AS {c}" for c in names)
+
+    def room(s: str, median: int, quartile: int, tail: int) -> str:
+        apart = lambda a, b, mark="": f"abs({mark}{s}_{a} - {mark}{s}_{b})"
+        if s in rules.LEAST:
+            count, size = rules.LEAST[s]
+            least = f"({1000 * count} // greatest({size}_25, 1))"
+        else:
+            least = f"({s}_{median} // {2 ** (rules.BITS - 1)})"
+        thin = f"least({apart(tail, quartile)}, {apart(tail, quartile, 'up_')})"
+        return f"greatest({apart(quartile, median)} * {rules.MIDDLE} // 100, {thin} * {rules.TAIL} // 100, {least} * {rules.SCALE} // 100)"
+
+    tops = ", ".join(f"CAST({s}_75 + {room(s, 50, 75, 90)} AS BIGINT) AS max_{s}" for s in rules.SIGNALS)
     return f"""valued AS ({values}),
         sketch AS (SELECT lang, source, signal, (v >> cut) << cut AS bucket, count(*) AS n FROM (
             SELECT *, CAST(greatest(length(bin(v)) - {rules.BITS}, 0) AS INTEGER) AS cut FROM valued) GROUP BY ALL),
-        {", ".join(quarters)},
-        fences AS (SELECT lang, source, {tops}, CAST(length_25 - {room("length")} AS BIGINT) AS min_length
-            FROM (SELECT own.lang, own.source, {chosen} FROM own JOIN lan ON own.lang IS NOT DISTINCT FROM lan.lang CROSS JOIN cor))"""
+        {", ".join(parts)},
+        levelled AS (SELECT own.*, {above} FROM own JOIN lan ON own.lang IS NOT DISTINCT FROM lan.lang CROSS JOIN cor),
+        fences AS (SELECT lang, source, {tops}, CAST(length_25 - {room("length", 50, 25, 10)} AS BIGINT) AS min_length
+            FROM (SELECT lang, source, {chosen}, {", ".join(f"up_{c}" for c in names)} FROM levelled))"""
 
 
 def quality_rules_sql() -> str:

@@ -306,6 +306,38 @@ def test_fences_follow_the_source(spark):
     assert all(out[k] for k in range(40)) and all(out[100 + k] for k in range(40)) and not out[200] and out[201]
 
 
+def with_symbols(seed, n, every):
+    """Prose of n words with a symbol after each word whose number ``every`` says."""
+    words = prose(seed, n).split(" ")
+    return " ".join(w + "#" * every(k) for k, w in enumerate(words))
+
+
+def test_fences_follow_the_spread(spark):
+    """A source with a wide spread keeps what a narrow one rejects; a tail narrower or wider than the quartiles counts."""
+    narrow = [(k, with_symbols(k, 100, lambda i: i % 10 == 0), "en", "narrow") for k in range(60)]
+    wide = [(100 + k, with_symbols(k, 100, lambda i: i % 100 < k), "en", "wide") for k in range(60)]
+    odd = [(200, with_symbols(200, 100, lambda i: i % 2), "en", "narrow"), (201, with_symbols(201, 100, lambda i: i % 2), "en", "wide")]
+    rows = quality_rules.quality_report(documents(spark, narrow + wide + odd)).collect()
+    out = {r["doc_id"]: r for r in rows}
+    assert out[1]["max_symbols"] < 300 < 600 < out[100]["max_symbols"]
+    assert all(r["kept"] for r in rows if r["doc_id"] != 200) and not out[200]["kept"]
+
+
+def test_a_tail_of_junk_does_not_widen_its_source(spark):
+    """Where 12 % of a source are junk its own tail is junk; the tail of the language holds."""
+    clean = [(k, prose(k, 100), "en", f"s{k % 5}") for k in range(500)]
+    junk = [(1000 + k, with_symbols(k, 100, lambda i: 1), "en", "s0") for k in range(14)]
+    out = {r["doc_id"]: r for r in quality_rules.quality_report(documents(spark, clean + junk)).collect()}
+    assert all(out[k]["kept"] for k in range(500)) and not any(out[1000 + k]["kept"] for k in range(14))
+
+
+def test_fences_do_not_hang_on_constants(spark, small):
+    """On the given rows most fences come from the middle, the tail or the sizes of their own group."""
+    out = quality_rules.quality_report(spark.read.parquet(small.replace("0.001", "0.1") + "/documents.parquet"))
+    found = out.select("max_symbols", "max_lines", "max_repeats", "max_length", "min_length").distinct().toPandas()
+    assert len(found) > 60 and found.nunique().min() >= 3
+
+
 def test_quality_stage(spark):
     docs = documents(spark)
     out = quality_rules.keep_good(docs)
