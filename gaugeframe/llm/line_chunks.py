@@ -1,19 +1,19 @@
-"""Removal of repeated runs of lines by content-defined chunks (operator 6).
+"""Removal of repeated runs of lines by content-defined line chunks (operator 6).
 
-A document is cut into lines (at ``\\n``). A rolling hash over the last two line hashes is taken at
-each line; a chunk ends where this hash is below that of both neighbouring lines, and at the last line.
-Boundaries hang on four lines of text only, so text inserted before a shared passage does not move the
-boundaries inside it, and every chunk but the last one and that of a one-line text has two lines at
-least. A chunk of several lines that occurs more than once in the corpus is kept where it comes first,
-in the order (doc_id, md5 of the text, chunk number), and removed elsewhere.
+A document is cut into lines (at ``\\n``); lines of white space only stand aside and part nothing. A hash is rolled
+over the line hashes: the lesser one of every two neighbouring lines is a boundary. So a boundary hangs on two lines of text only
+and text inserted before a shared passage does not move those inside it, and every two neighbouring lines hold
+one: a passage of two lines or more has a boundary that its copies have too, wherever it stands.
 
-The pipeline stage (``keep_lines``) takes every two adjacent lines as a chunk instead, since boundaries that
-need four lines miss passages of two to five lines inside other text, and the ends of longer ones.
+1. Seeds: only the 64-bit hashes of boundary lines are shuffled (two thirds of the lines), to find those that occur again.
+2. Growth: each repeated boundary is grown by the line before and the line after it, whose hashes it carries along. A chunk of two lines
+   (known by both hashes) that occurs again is repeated; longer passages are chains of such chunks.
+3. Texts are shuffled once, to meet the list of their repeated chunks, and stored with it. Chunks of one hash are
+   compared by their bytes; where they differ, each is judged by its whole text.
 
-Chunks are found by a 128-bit hash and then compared by their bytes. Only the hash and position of
-each chunk are shuffled to find candidates; texts are shuffled once, to meet the list of their
-candidates, and stored with it. For hashes that different chunks share, chunks are compared by their
-whole text.
+A repeated chunk is kept where it comes first, in the order (doc_id, md5 of the text, line), and its lines are removed elsewhere. So
+a line goes if it and a line next to it stand together at an earlier place, and each line's text stays where it comes first
+in the corpus. Neither hashes nor boundaries show in the result: it is that of comparing all lines.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; rows with
 equal doc_id and text are one document, so they lose the same lines and none on account of each other;
@@ -30,159 +30,125 @@ from pyspark.sql import functions as F
 
 from .frames import payload, store
 
-#: Lines under the rolling hash.
-WINDOW = 2
-#: Chunks of fewer lines are never removed.
-MIN_LINES = 2
+#: Hash of a line; tests put a weak one in its place.
+Hash = Callable[[Column], Column]
 
 
-def chunk_key(lines: Column) -> Column:
-    """The hash under which chunks are looked up."""
-    return F.md5(F.array_join(lines, "\n"))
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
-def chunked(rows: DataFrame, text: Column, keep: list[str], key: Callable[[Column], Column] = chunk_key) -> DataFrame:
-    """The kept columns with the text's ``lines`` and its ``chunks``: (start, size, key)."""
-    step = rows.select(*keep, F.split(text, "\n").alias("lines"))
-    step = step.withColumn("h", F.transform("lines", lambda x: F.md5(x)))
-    before = lambda i, k: F.coalesce(F.get("h", i - k), F.lit(""))
-    rolled = F.transform("h", lambda x, i: F.md5(F.concat(*[before(i, k) for k in range(WINDOW - 1, 0, -1)], x)))
-    step = step.withColumn("r", rolled).withColumn("n", F.size("r"))
-    low = lambda x, i: (x < F.get("r", i - 1)) & (x < F.get("r", i + 1))
-    last = lambda i: i == F.col("n") - 1
-    marks = F.transform("r", lambda x, i: F.when(last(i) | F.coalesce(low(x, i), F.lit(False)), i))
-    step = step.withColumn("ends", F.filter(marks, lambda i: i.isNotNull()))
-    spans = F.transform(
-        "ends",
-        lambda e, k: F.struct(
-            F.coalesce(F.get("ends", k - 1) + 1, F.lit(0)).alias("start"),
-            (e - F.coalesce(F.get("ends", k - 1), F.lit(-1))).alias("size"),
-        ),
-    )
-    step = step.withColumn("spans", spans)
-    chunks = F.transform(
-        "spans",
-        lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), key(F.slice("lines", s["start"] + 1, s["size"])).alias("key")),
-    )
-    return step.select(*keep, "lines", chunks.alias("chunks"))
+def text_key(text: Column) -> Column:
+    """60 bits of the md5 of a text as a number, in the order of its digits."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def paired(rows: DataFrame, text: Column, keep: list[str], key: Callable[[Column], Column] = chunk_key) -> DataFrame:
-    """As ``chunked``, but every two adjacent lines are a chunk, unless both are blank."""
+def with_lines(rows: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+    """The kept columns with ``lines`` and ``solid``, the numbers of the lines that are not blank."""
     step = rows.select(*keep, F.split(text, "\n").alias("lines"))
-    starts = F.when(F.size("lines") >= MIN_LINES, F.sequence(F.lit(0), F.size("lines") - MIN_LINES))
-    starts = F.when(F.col("lines").isNotNull(), F.coalesce(starts, F.array().cast("array<int>")))
-    two = lambda i: F.slice("lines", i + 1, MIN_LINES)
-    starts = F.filter(starts, lambda i: F.exists(two(i), lambda x: x.rlike(r"\S")))
-    chunks = F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(MIN_LINES).alias("size"), key(two(i)).alias("key")))
-    return step.select(*keep, "lines", chunks.alias("chunks"))
-
-
-def _candidates(cut: DataFrame) -> DataFrame:
-    """Per document its chunks whose hash occurs again: (idx, key, whether it is the first one)."""
-    # The outer form: for the inner one Spark infers a filter on the array and computes it a second time.
-    occurrences = (
-        cut.select("doc_id", "th", F.posexplode_outer("chunks").alias("idx", "chunk"))
-        .where(F.col("chunk.size") >= MIN_LINES)
-        .select("doc_id", "th", "idx", F.col("chunk.key").alias("key"))
+    numbered = F.transform("lines", lambda x, i: F.when(x.rlike(r"\S"), i))
+    return step.select(*keep, "lines", F.filter(numbered, lambda i: i.isNotNull()).alias("solid"))
+
+
+def boundaries(rows: DataFrame, key: Hash = line_hash) -> DataFrame:
+    """One row per boundary line: doc_id, th, at (its number among the solid lines), its hash and those of its neighbours."""
+    step = with_lines(rows, F.col("text"), ["doc_id", "th"])
+    step = step.select("doc_id", "th", F.transform("solid", lambda i: key(F.get("lines", i))).alias("h"))
+    near = lambda x, k: F.coalesce(x <= F.get("h", k), F.lit(False))
+    seeds = F.transform(
+        "h",
+        lambda x, i: F.when(
+            near(x, i - 1) | near(x, i + 1),
+            F.struct(i.alias("at"), x.alias("hash"), F.get("h", i - 1).alias("before"), F.get("h", i + 1).alias("after")),
+        ),
     )
-    place = F.struct("doc_id", "th", "idx")
-    repeated = (
-        occurrences.groupBy("key")
-        .agg(F.min(place).alias("first"), F.max(place).alias("latest"))
-        .where("first <> latest")
-        .select(F.col("key").alias("of_key"), "first")
+    # The outer form: for the inner one Spark infers a filter on the array and computes it a second time.
+    told = step.select("doc_id", "th", F.explode_outer(F.filter(seeds, lambda s: s.isNotNull())).alias("s"))
+    return told.where("s IS NOT NULL").select("doc_id", "th", "s.*")
+
+
+def repeated_chunks(docs: DataFrame, key: Hash = line_hash) -> DataFrame:
+    """Per document (of_id, of_th) the list ``found`` of its repeated chunks: start, a and b (both hashes), again (not the first)."""
+    seeds = store(boundaries(docs, key), "line-seeds")
+    # Stored, as the lists below: a join of two plain shuffles can be split at a hot line.
+    known = store(seeds.groupBy(F.col("hash").alias("of_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of_hash"), "line-repeats")
+    met = seeds.join(known, F.col("hash") == F.col("of_hash"), "left_semi")
+    sides = F.array(
+        F.struct((F.col("at") - 1).alias("start"), F.col("before").alias("a"), F.col("hash").alias("b")),
+        F.struct(F.col("at").alias("start"), F.col("hash").alias("a"), F.col("after").alias("b")),
     )
-    return (
-        occurrences.join(repeated, F.col("key") == F.col("of_key"))
-        .groupBy("doc_id", "th")
-        .agg(F.collect_set(F.struct("idx", "key", (place != F.col("first")).alias("again"))).alias("found"))
-        .select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), "found")
+    grown = met.select("doc_id", "th", F.explode(sides).alias("c")).select("doc_id", "th", "c.*").where("a IS NOT NULL AND b IS NOT NULL")
+    grown = store(grown, "line-grown")
+    place = F.struct("doc_id", "th", "start")
+    firsts = grown.groupBy(F.col("a").alias("of_a"), F.col("b").alias("of_b")).agg(F.min(place).alias("first"), F.max(place).alias("latest"))
+    firsts = store(firsts.where("first <> latest").drop("latest"), "line-chunk-firsts")
+    judged = grown.join(firsts, (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")))
+    return judged.groupBy(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th")).agg(
+        F.collect_set(F.struct("start", "a", "b", (place != F.col("first")).alias("again"))).alias("found")
     )
 
 
-def _shared(spelt: DataFrame) -> DataFrame:
-    """Hashes that stand for more than one chunk text, compared by bytes."""
-    return spelt.groupBy("key", "body").agg(F.lit(1)).groupBy("key").count().where("count > 1").select("key")
-
-
 def _mended(spelt: DataFrame) -> DataFrame:
-    """For shared hashes: per document the chunks to remove, judged by their whole text."""
-    own = spelt.join(_shared(spelt), "key", "left_semi")
-    place = F.struct("of_id", "of_th", "idx")
+    """For hashes that stand for different chunks: per document the chunks to remove, judged by their whole text."""
+    shared = spelt.groupBy("a", "b").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("a", "b")
+    own = spelt.join(shared, ["a", "b"], "left_semi")
+    place = F.struct("of_id", "of_th", "start")
     firsts = own.groupBy(F.col("body").alias("of_body")).agg(F.min(place).alias("first"))
     judged = own.join(firsts, F.col("body") == F.col("of_body"))
-    return judged.groupBy("of_id", "of_th").agg(
-        F.collect_set("key").alias("keys"),
-        F.collect_set(F.when(place != F.col("first"), F.col("idx"))).alias("again"),
-    ).select(F.col("of_id").alias("m_id"), F.col("of_th").alias("m_th"), "keys", "again")
+    return judged.groupBy(F.col("of_id").alias("m_id"), F.col("of_th").alias("m_th")).agg(
+        F.collect_set("start").alias("told"),
+        F.collect_set(F.when(place != F.col("first"), F.col("start"))).alias("again"),
+    )
 
 
-def marked(docs: DataFrame, key: Callable[[Column], Column] = chunk_key, cut: Callable[..., DataFrame] = chunked) -> DataFrame:
-    """The rows as ``doc`` with ``lines``, ``chunks`` and ``removed``, the numbers of removed chunks."""
+def marked(docs: DataFrame, key: Hash = line_hash) -> DataFrame:
+    """The rows as ``doc`` with ``lines``, ``solid`` and ``gone``, the sorted numbers (among the solid ones) of the lines that go."""
     same = lambda a, b: F.col(f"{a}_id").eqNullSafe(F.col(f"{b}_id")) & F.col(f"{a}_th").eqNullSafe(F.col(f"{b}_th"))
-    known = docs.select("doc_id", F.md5("text").alias("th"), "text")
-    listed = _candidates(cut(known, F.col("text"), ["doc_id", "th"], key))
-    rows = docs.select(payload(docs).alias("doc"), F.col("doc_id").alias("d_id"), F.md5(F.col("text")).alias("d_th"))
+    listed = repeated_chunks(docs.select("doc_id", text_key(F.col("text")).alias("th"), "text"), key)
+    rows = docs.select(payload(docs).alias("doc"), F.col("doc_id").alias("d_id"), text_key(F.col("text")).alias("d_th"))
     met = store(rows.join(listed, same("d", "of"), "left").drop("of_id", "of_th"), "line-chunks")
-    met = cut(met, F.col("doc.text"), ["doc", "d_id", "d_th", "found"], key)
-    found = met.where("found IS NOT NULL").select(
-        F.col("d_id").alias("of_id"), F.col("d_th").alias("of_th"), "lines", "chunks", F.explode("found").alias("f")
-    )
-    at = F.get("chunks", F.col("f.idx"))
-    body = F.array_join(F.slice("lines", at["start"] + 1, at["size"]), "\n")
-    spelt = found.select("of_id", "of_th", F.col("f.idx").alias("idx"), F.col("f.key").alias("key"), body.alias("body"))
+    found = with_lines(met.where("found IS NOT NULL"), F.col("doc.text"), ["d_id", "d_th", "found"])
+    found = found.select(F.col("d_id").alias("of_id"), F.col("d_th").alias("of_th"), "lines", "solid", F.explode("found").alias("f"))
+    line = lambda k: F.get("lines", F.get("solid", k))
+    body = F.concat(line(F.col("f.start")), F.lit("\n"), line(F.col("f.start") + 1))
+    spelt = found.select("of_id", "of_th", F.col("f.start").alias("start"), F.col("f.a").alias("a"), F.col("f.b").alias("b"), body.alias("body"))
     mended = store(_mended(spelt), "line-chunks-mended")
-    plain = F.filter("found", lambda f: f["again"] & ~F.coalesce(F.array_contains("keys", f["key"]), F.lit(False)))
     none = F.array().cast("array<int>")
-    gone = F.concat(F.coalesce(F.transform(plain, lambda f: f["idx"]), none), F.coalesce(F.col("again"), none))
-    return met.join(mended, same("d", "m"), "left").select(
-        "doc", F.col("d_id").alias("doc_id"), "lines", "chunks", gone.alias("removed")
-    )
+    plain = F.filter("found", lambda f: f["again"] & ~F.coalesce(F.array_contains("told", f["start"]), F.lit(False)))
+    starts = F.concat(F.coalesce(F.transform(plain, lambda f: f["start"]), none), F.coalesce(F.col("again"), none))
+    both = with_lines(met.join(mended, same("d", "m"), "left").withColumn("starts", starts), F.col("doc.text"), ["doc", "starts"])
+    gone = F.array_sort(F.array_union("starts", F.transform("starts", lambda k: k + 1)))
+    return both.select("doc", "lines", "solid", gone.alias("gone"))
 
 
 def _cleaned(rows: DataFrame) -> DataFrame:
-    """``marked`` rows with the kept text and the number of removed lines."""
-    stays = F.filter("chunks", lambda c, i: ~F.array_contains("removed", i))
-    rows = rows.withColumn("stays", stays)
-    text = F.array_join(F.flatten(F.transform("stays", lambda c: F.slice("lines", c["start"] + 1, c["size"]))), "\n")
-    n = F.coalesce(F.size("lines"), F.lit(0))
-    kept = F.aggregate("stays", F.lit(0), lambda a, c: a + c["size"])
+    """``marked`` rows with the kept text and the numbers of lines, removed lines and runs of these."""
+    numbers = F.transform("gone", lambda k: F.get("solid", k))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), numbers)
+    text = F.when(F.size("gone") == 0, F.col("doc.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    runs = F.filter("gone", lambda k, i: (i == 0) | (F.get("gone", i - 1) < k - 1))
     return rows.select(
         "doc",
-        "doc_id",
-        F.greatest(n, F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(n - kept, F.lit(0)).cast("bigint").alias("n_removed_lines"),
-        F.size("removed").cast("bigint").alias("n_removed_chunks"),
+        F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.size("gone").cast("bigint").alias("n_removed_lines"),
+        F.size(runs).cast("bigint").alias("n_removed_chunks"),
         text.alias("kept_text"),
     )
 
 
-def line_report(docs: DataFrame) -> DataFrame:
-    """Per document the kept text and how many lines and chunks went."""
-    return _cleaned(marked(docs.select("doc_id", "text"))).select(
-        "doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.col("kept_text").alias("text")
+def line_report(docs: DataFrame, key: Hash = line_hash) -> DataFrame:
+    """Per document the kept text, how many lines went and in how many chunks (runs of removed lines)."""
+    return _cleaned(marked(docs.select("doc_id", "text"), key)).select(
+        F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed_lines", "n_removed_chunks", F.col("kept_text").alias("text")
     )
 
 
-def _uncovered(rows: DataFrame) -> DataFrame:
-    """``marked`` rows of overlapping chunks with the text of the lines that no removed chunk holds."""
-    starts = F.transform("removed", lambda k: F.get("chunks", k)["start"])
-    covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (MIN_LINES - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
-    rows = rows.withColumn("kept", F.when(F.col("lines").isNotNull(), kept))
-    text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
-    return rows.select("doc", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).alias("n_removed_lines"), text.alias("kept_text"))
-
-
 def keep_lines(docs: DataFrame) -> DataFrame:
-    """The documents without the lines of repeated passages, with their own columns.
+    """The documents without the lines of repeated chunks, with their own columns.
 
-    A line goes if it and a line next to it stand together at an earlier place, so passages of two lines
-    and both ends of longer ones go wherever they stand. A line's text stays at the first of these
-    places. Documents that lose all their lines go; those that were null or empty before stay.
+    Documents that lose all lines but blank ones go; those that were null or blank before stay.
     """
-    cleaned = _uncovered(marked(docs, cut=paired))
-    left = cleaned.where("n_removed_lines = 0 OR kept_text <> ''")
+    cleaned = _cleaned(marked(docs))
+    left = cleaned.where(F.expr(r"n_removed_lines = 0") | F.col("kept_text").rlike(r"\S"))
     own = [F.col("kept_text").alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]
     return left.select(*own)

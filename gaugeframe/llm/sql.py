@@ -94,22 +94,22 @@ SELECT conv_id, CAST(len(t) AS BIGINT) AS n_turns, n_copies,
   array_to_string(['<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' FOR x IN t], chr(10)) AS text
 FROM copies LEFT JOIN earlier ON t = p WHERE p IS NULL"""
 
-LINE_CHUNKS = """
-WITH docs AS (SELECT row_number() OVER () AS d, doc_id, text, md5(text) AS th, string_split(text, chr(10)) AS lines FROM documents),
-hashed AS (SELECT d, [md5(x) FOR x IN lines] AS h FROM docs WHERE text IS NOT NULL),
-rolled AS (SELECT d, [md5(coalesce(h[i - 1], '') || h[i]) FOR i IN range(1, len(h) + 1)] AS r FROM hashed),
-ends AS (SELECT d, unnest([i FOR i IN range(1, len(r) + 1) IF i = len(r) OR coalesce(r[i] < r[i - 1] AND r[i] < r[i + 1], false)]) AS e
-         FROM rolled),
-spans AS (SELECT d, e, coalesce(lag(e) OVER w, 0) AS s, row_number() OVER w AS idx FROM ends WINDOW w AS (PARTITION BY d ORDER BY e)),
-chunks AS (SELECT d, doc_id, th, idx, e - s AS n, array_to_string(lines[s + 1 : e], chr(10)) AS body FROM spans JOIN docs USING (d)),
-judged AS (SELECT *, n >= 2 AND (doc_id, th, idx) <> first_value((doc_id, th, idx)) OVER (
-             PARTITION BY body, n >= 2 ORDER BY doc_id, th, idx) AS again FROM chunks),
-told AS (SELECT d, sum(n) FILTER (again) AS gone, count(*) FILTER (again) AS chunks_gone,
-           string_agg(body, chr(10) ORDER BY idx) FILTER (NOT again) AS kept FROM judged GROUP BY d)
-SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed_lines,
-  CAST(coalesce(chunks_gone, 0) AS BIGINT) AS n_removed_chunks, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
-FROM docs LEFT JOIN told USING (d)"""
-
+LINE_CHUNKS = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, text, substr(md5(text), 1, 15) AS th, string_split(text, chr(10)) AS lines FROM documents),
+cut AS (SELECT d, doc_id, th, lines, unnest(range(1, len(lines) + 1)) AS i FROM docs),
+solid AS (SELECT d, doc_id, th, i, lines[i] AS x, row_number() OVER (PARTITION BY d ORDER BY i) AS k
+    FROM cut WHERE regexp_matches(lines[i], '[^ \x09-\x0D]')),
+chunks AS (SELECT *, lead(x) OVER (PARTITION BY d ORDER BY k) AS y FROM solid),
+judged AS (SELECT d, k, (doc_id, th, k) <> first_value((doc_id, th, k)) OVER (PARTITION BY x, y ORDER BY doc_id NULLS FIRST, th, k) AS again
+    FROM chunks WHERE y IS NOT NULL),
+gone AS (SELECT DISTINCT d, k + j AS k FROM judged, (SELECT unnest([0, 1]) AS j) WHERE again),
+runs AS (SELECT d, count(*) AS lines_gone, count(*) FILTER (before IS NULL OR before < k - 1) AS chunks_gone
+    FROM (SELECT *, lag(k) OVER (PARTITION BY d ORDER BY k) AS before FROM gone) GROUP BY d),
+kept AS (SELECT cut.d, string_agg(lines[cut.i], chr(10) ORDER BY cut.i) AS t FROM cut LEFT JOIN solid ON solid.d = cut.d AND solid.i = cut.i
+    LEFT JOIN gone ON gone.d = cut.d AND gone.k = solid.k WHERE gone.d IS NULL GROUP BY cut.d)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(lines_gone, 0) AS BIGINT) AS n_removed_lines,
+  CAST(coalesce(chunks_gone, 0) AS BIGINT) AS n_removed_chunks, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS text
+FROM docs LEFT JOIN runs ON runs.d = docs.d LEFT JOIN kept ON kept.d = docs.d"""
 
 RANKED_SEARCH = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id,

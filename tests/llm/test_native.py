@@ -1,5 +1,7 @@
 """Operators 1, 3, 6, 7 and 10 on small tables, against plain Python."""
 
+import hashlib
+import random
 import re
 
 import regex
@@ -131,28 +133,73 @@ def test_no_pages_and_no_labels(spark):
 # --- 6 ---------------------------------------------------------------------------------------
 
 
-def test_line_chunks_keep_the_first_copy(spark):
-    out = {(r["doc_id"], r["text"]): r for r in line_chunks.line_report(documents(spark)).collect()}
-    texts = {k: v for k, v in ((d, t) for d, t in out) if k is not None}
-    original = {d: t for d, t, *_ in awkward_rows() if d is not None}
-    assert texts[7] == original[7] and texts[4] is None and texts[5] == "" and texts[6] == original[6]
-    assert texts[2] == "" and out[(2, "")]["n_removed_lines"] == out[(2, "")]["n_lines"] > 10
-    assert len(texts[8]) < 2000 and texts[8].endswith(" end")
-    assert line_chunks.line_report(documents(spark)).count() == len(awkward_rows())
+def cleaned_by_hand(rows):
+    """Per row the numbers of removed lines and runs, and the kept text, from comparing all pairs of neighbouring lines."""
+    key = lambda t: hashlib.md5(t.encode()).hexdigest()[:15]
+    first, solid = {}, {}
+    place = lambda d, t, k: (d is not None, d or 0, key(t), k)
+    for d, t, *_ in rows:
+        if t is not None:
+            solid[d, t] = [i for i, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+            lines = [t.split("\n")[i] for i in solid[d, t]]
+            for k, two in enumerate(zip(lines, lines[1:])):
+                first[two] = min(first.get(two, place(d, t, k)), place(d, t, k))
+    out = []
+    for d, t, *_ in rows:
+        if t is None:
+            out.append((d, 0, 0, 0, None))
+            continue
+        every = t.split("\n")
+        lines = [every[i] for i in solid[d, t]]
+        gone = sorted({k + j for k, two in enumerate(zip(lines, lines[1:])) for j in (0, 1) if first[two] != place(d, t, k)})
+        runs = sum(k - 1 not in gone for k in gone)
+        drop = {solid[d, t][k] for k in gone}
+        out.append((d, len(every), len(gone), runs, "\n".join(x for i, x in enumerate(every) if i not in drop)))
+    return sorted(out, key=str)
+
+
+REPORT = ["doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text"]
+
+
+def line_rows():
+    """Texts of few different lines, with blank ones, so that chunks repeat in all ways."""
+    rng = random.Random(8)
+    words = ["A", "B", "C", "D", "E", "F", "", " ", "\t", "é", "a b"]
+    made = [(100 + k % 50, "\n".join(rng.choice(words) for _ in range(rng.randint(1, 9))), "en", "a") for k in range(80)]
+    return awkward_rows() + made + made[:5] + [(200, "x\n" * 20_000 + "y", "en", "a")]
+
+
+def test_line_chunks_against_all_pairs_of_lines(spark):
+    rows = line_rows()
+    assert answers(line_chunks.line_report(documents(spark, rows)), *REPORT) == cleaned_by_hand(rows)
+    assert line_chunks.line_report(documents(spark).limit(0)).count() == 0
 
 
 def test_equal_hashes_are_told_apart_by_bytes(spark):
-    docs = documents(spark)
-    strong = answers(line_chunks._cleaned(line_chunks.marked(docs)), "doc_id", "kept_text", "n_removed_chunks")
-    weak = line_chunks._cleaned(line_chunks.marked(docs, key=lambda lines: F.substring(line_chunks.chunk_key(lines), 1, 1)))
-    assert answers(weak, "doc_id", "kept_text", "n_removed_chunks") == strong
+    rows = line_rows()[:60]
+    weak = line_chunks.line_report(documents(spark, rows), key=lambda x: F.xxhash64(F.substring(x, 1, 1)))
+    assert answers(weak, *REPORT) == cleaned_by_hand(rows)
+
+
+def test_each_line_stays_where_it_comes_first(spark):
+    rows = [r for r in line_rows() if r[1]]
+    out = line_chunks.line_report(documents(spark, rows)).collect()
+    lines = lambda texts: {x for t in texts for x in t.split("\n") if x.strip()}
+    assert lines(r["text"] for r in out) == lines(r[1] for r in rows)
 
 
-def test_boundaries_shift_with_the_text(spark):
-    block = "\n".join(f"shared line {k}" for k in range(40))
-    rows = [(1, "head one\n" + block, "en", "a"), (2, "\n".join(f"other {k}" for k in range(7)) + "\n" + block + "\ntail", "en", "a")]
-    out = {r["doc_id"]: r for r in line_chunks.line_report(documents(spark, rows)).collect()}
-    assert out[1]["n_removed_lines"] == 0 and out[2]["n_removed_lines"] >= 30 and "other 3" in out[2]["text"] and out[2]["text"].endswith("tail")
+def test_every_two_lines_hold_a_boundary(spark):
+    rows = [r for r in line_rows() if r[1]]
+    docs = documents(spark, rows, clashes=False).withColumn("th", line_chunks.text_key(F.col("text")))
+    at = {}
+    for r in line_chunks.boundaries(docs).collect():
+        at.setdefault((r["doc_id"], r["th"]), set()).add(r["at"])
+    n = 0
+    for row in docs.collect():
+        solid = [x for x in row["text"].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n += max(0, len(solid) - 1)
+        assert all({k, k + 1} & at[row["doc_id"], row["th"]] for k in range(len(solid) - 1))
+    assert n > 100
 
 
 def test_line_stage_keeps_columns(spark):
@@ -172,18 +219,13 @@ def test_short_passages_go_from_the_middle(spark):
             for d in range(2):
                 own = [line(f"d{n}x{seed}y{d}z{k}") for k in range(6)]
                 rows.append((1000 * n + 10 * seed + d, "\n".join([*own[:3], *passage, *own[3:5], "", "", own[5]]), "en", "a"))
-    out = {r["doc_id"]: r["text"] for r in line_chunks.keep_lines(documents(spark, rows)).collect()}
-    for key, text, *_ in rows:
-        n = key // 1000
-        lines = text.split("\n")
-        assert out[key] == (text if key % 10 == 0 else "\n".join(lines[:3] + lines[3 + n :])), key
-
-
-def test_pairs_with_equal_hashes_are_told_apart_by_bytes(spark):
-    docs = documents(spark)
-    clean = lambda key: line_chunks._uncovered(line_chunks.marked(docs, key, line_chunks.paired))
-    weak = clean(lambda lines: F.substring(line_chunks.chunk_key(lines), 1, 1))
-    assert answers(weak, "kept_text", "n_removed_lines") == answers(clean(line_chunks.chunk_key), "kept_text", "n_removed_lines")
+    docs = documents(spark, rows)
+    for out in (line_chunks.keep_lines(docs), line_chunks.line_report(docs)):
+        texts = {r["doc_id"]: r["text"] for r in out.collect()}
+        for key, text, *_ in rows:
+            n = key // 1000
+            lines = text.split("\n")
+            assert texts[key] == (text if key % 10 == 0 else "\n".join(lines[:3] + lines[3 + n :])), key
 
 
 # --- 7 ---------------------------------------------------------------------------------------
