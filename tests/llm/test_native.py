@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from itertools import combinations, product
 
 import regex
 from pyspark.sql import functions as F
@@ -85,23 +86,72 @@ def test_mined_rules_block_pairs_of_tokens(spark):
         assert row["verdict"] == ("block" if both else "allow"), row
 
 
-def test_mined_rules_against_all_subsets(spark):
-    from itertools import combinations
+def spelt(rules):
+    """All rules of single tokens that the found ones stand for."""
+    return {(tuple(sorted(t)), r["support"], r["confidence"]) for r in rules.collect() for t in product(*r["members"])}
 
-    pages, labels = labelled(spark)
-    rows = pages.join(labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad")), "page_id")
-    data = [(r["bad"], frozenset(x for x in re.split(r"[^a-z0-9]+", r["url"].split("://")[1]) if x and not x.isdigit())) for r in rows.collect()]
+
+def all_subsets(data, most=4):
+    """Rules from counting every set of up to ``most`` tokens in (bad, tokens)."""
     held = {t: sum(t in s for _, s in data) for t in set().union(*(s for _, s in data))}
-    useful = {t for t, n in held.items() if url_rules.MIN_SUPPORT * len(data) <= n <= url_rules.MAX_SHARE * len(data)}
+    useful = {t for t, n in held.items() if max(url_rules.MIN_SUPPORT * len(data), url_rules.MIN_ROWS) <= n < len(data)}
     sure = {}
-    for size in range(1, 5):
+    for size in range(1, most + 1):
         for items in map(frozenset, combinations(sorted(useful), size)):
             n, bad = sum(items <= s for _, s in data), sum(items <= s and b for b, s in data)
-            if bad >= url_rules.MIN_SUPPORT * len(data) and bad >= url_rules.MIN_CONFIDENCE * n:
+            if bad >= max(url_rules.MIN_SUPPORT * len(data), url_rules.MIN_ROWS) and bad >= url_rules.MIN_CONFIDENCE * n:
                 sure[items] = (bad, bad / n)
-    expected = {(tuple(sorted(i)), *v) for i, v in sure.items() if not any(j < i and sure[j][1] >= v[1] for j in sure)}
-    found = {(tuple(sorted(r["tokens"])), r["support"], r["confidence"]) for r in url_rules.mine(rows.select("url", "bad")).collect()}
-    assert found == expected and found
+    return {(tuple(sorted(i)), *v) for i, v in sure.items() if not any(j < i and sure[j][1] >= v[1] for j in sure)}
+
+
+def tokens_by_hand(url):
+    return frozenset(x for x in re.split(r"[^a-z0-9]+", url.split("://")[1]) if x and not x.isdigit())
+
+
+def test_mined_rules_against_all_subsets(spark):
+    pages, labels = labelled(spark)
+    rows = pages.join(labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad")), "page_id")
+    expected = all_subsets([(r["bad"], tokens_by_hand(r["url"])) for r in rows.collect()])
+    assert spelt(url_rules.mine(rows.select("url", "bad"))) == expected and expected
+
+
+def template_urls(segments, n=240):
+    """Urls of two sites with a template each; those of the first with ``win`` are unwanted, as are most with ``deal``."""
+    first, second = ("/".join(f"{side}seg{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(segments)) for side in ("x", "y"))
+    rows = []
+    for k in range(n):
+        site = first if k % 2 else second
+        extra = ("win" if k % 3 == 0 else "news") + ("/deal" if k % 5 == 0 else "")
+        rows.append((f"http://host{k % 2}.example/{site}/{extra}/{k}", (k % 2 == 1 and k % 3 == 0) or (k % 5 == 0 and k % 20 != 0)))
+    return rows
+
+
+def test_templates_against_all_subsets(spark):
+    rows = template_urls(3)
+    expected = all_subsets([(bad, tokens_by_hand(u)) for u, bad in rows])
+    assert spelt(url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"))) == expected
+    assert any(len(t) == 2 and any(x.startswith("xseg") for x in t) for t, *_ in expected)
+
+
+def test_long_templates_are_one_item(spark):
+    """30 fixed segments, which 2^30 sets of tokens hold; any one of them stands for the template."""
+    rows = template_urls(30)
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    short = url_rules.mine(spark.createDataFrame(template_urls(1), "url string, bad boolean"))
+    told = lambda rules: sorted((len(r["tokens"]), r["support"], r["confidence"]) for r in rules.collect())
+    assert told(rules) == told(short) and max(len(m) for r in rules.collect() for m in r["members"]) == 31
+    urls = ["http://other.example/xsegak/win", "http://other.example/ysegak/win", "http://other.example/xsegak/xsegbc"]
+    found = url_rules.blocked(spark.createDataFrame([(u,) for u in urls], "url string"), rules)
+    assert answers(found, "url") == [(urls[0],)]
+
+
+def test_tokens_with_equal_row_hashes_are_checked(spark):
+    """The hashes are made equal by force; rows that hold one token only tear the item."""
+    rows = [(0, ["a", "b", "c"]), (1, ["a", "b"]), (2, ["c"]), (3, ["d", "e"]), (4, ["d", "e"])]
+    held = spark.createDataFrame(rows, "row long, tokens array<string>").select("row", F.explode("tokens").alias("token"))
+    useful = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.lit(0)).withColumn("y", (F.col("token") > "c").cast("int"))
+    found = {r["token"]: (r["item"], r["members"]) for r in url_rules.condensed(held, useful).collect()}
+    assert found == {"a": ("a", ["a"]), "b": ("b", ["b"]), "c": ("c", ["c"]), "d": ("d", ["d", "e"]), "e": ("d", ["d", "e"])}
 
 
 def test_frequent_tokens_make_rules(spark):
