@@ -5,27 +5,24 @@ table per place, are added up, go through tanh and then through a two-step softm
 then the token within its class). The score of a document is the sum of the logarithms of the probabilities of all its
 tokens, each given both its sides.
 
-Tokens are lower-cased words. All words of the corpus are counted and their counts are kept as a table. Words that
-occur at least ``RARE`` times the root of the number of tokens, and the ``TOP`` most frequent ones in any case, have
-numbers of their own; all others share a quarter of the numbers or more by hash. So the vocabulary grows with the
-corpus, and the classes with the root of the vocabulary. A word without a number of its own has the probability of its
-shared number times its share of that number's occurrences in the corpus, with one occurrence set aside for all words
-that the corpus does not have. The counts of the more frequent ones (``MIDDLE``) are told to the workers, those of the
-others meet the documents by a join on the word; a word that occurs once adds log 1 = 0.
-
-Training is data-parallel: in each of ``ROUNDS`` rounds every task trains a copy of the current network on its own
-documents (every ``ROUNDS``-th position, another one each round, so that each position is a target once), and the
-copies are averaged, weighted by their positions, in a Spark aggregation. So all documents teach, and only one network
-ever reaches the driver. How the documents are dealt to tasks has a small influence on the network.
+Tokens are lower-cased words. All words of the corpus are counted in Spark and their counts are kept as a table, which grows with
+the corpus. The ``TOP`` most frequent words have numbers of their own; all others share ``OTHERS`` numbers by hash. A word without
+a number of its own has the probability of its shared number times its share of that number's occurrences in the corpus, with one
+occurrence set aside for all words that the corpus does not have. The counts of the ``MIDDLE`` next frequent words are
+told to the workers, those of all others meet the documents by a join on the word; a word that occurs once adds log 1 = 0.
+What the driver and the workers hold is of fixed size: the network, and ``TOP + MIDDLE`` words of at most ``LONGEST`` characters.
+
+Training does not hang on how the documents lie in files. They are dealt to shards of about ``SHARD`` tokens by a hash of id and text
+and ordered by it; in each of ``ROUNDS`` rounds the shards of that round (every ``ROUNDS``-th) each train a copy of the current network, so every
+position of every document is a target once. The copies are averaged, weighted by their positions, in a tree of fixed fan-in: a step holds
+``FAN_IN`` pieces of ``PIECE`` values, however many shards there are, and only one network reaches the driver.
 
 Defined cases: a null or empty text has no tokens, the sum 0.0 and a null mean; repeated rows are scored each; texts
-of any length are read in blocks; an empty table gives an empty table; other columns are ignored.
+of any length are cut into words in blocks; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,185 +36,222 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from .frames import store
+from .packing import segments
 
-CLASSES = 32
-#: Numbers of the smallest vocabulary: the most frequent words, then shared ones. The last number plus 1 is beyond the border.
+#: Numbers of the vocabulary are CLASSES x CLASSES: the most frequent words, then shared ones. The last number plus 1 is beyond the border.
+CLASSES = 48
 VOCABULARY = CLASSES * CLASSES
-OTHERS = 256
+OTHERS = 512
 TOP = VOCABULARY - OTHERS
-#: Words with this many times the root of the number of tokens have numbers of their own, ...
-RARE = 0.5
-#: ... and workers know the counts of words that are up to so many times rarer.
-MIDDLE = 16
-#: Values of a network that travel in one row.
-PIECE = 4096
+#: Words whose counts the workers know besides, and the most characters of a word that they know.
+MIDDLE, LONGEST = 1 << 15, 64
+#: Tokens of a shard, copies that are averaged at a time, and values of a network that travel in one row.
+SHARD, FAN_IN, PIECE = 2_000_000, 16, 4096
 REACH = 2
-WIDTH = 32
+WIDTH = 24
 ROUNDS = 2
-RATE = 0.15
-BATCH = 1024
+RATE = 0.2
+BATCH = 4096
 #: Positions whose probabilities are computed at a time, and words a worker remembers.
 BLOCK = 1 << 15
+#: Documents that are numbered at a time.
+AT_ONCE = 256
 KNOWN = 400_000
-WORD = re.compile(r"\S+")
 
 Network = dict[str, np.ndarray]
+PLACES = [*range(-REACH, 0), *range(1, REACH + 1)]
+#: Outputs have a last row for the bias.
+SHAPES = {
+    "embed": (VOCABULARY + 1, len(PLACES), WIDTH),
+    "bias": (WIDTH,),
+    "outer": (WIDTH + 1, CLASSES),
+    "inner": (CLASSES, WIDTH + 1, CLASSES),
+}
 
 
-def shapes(classes: int) -> dict[str, tuple[int, ...]]:
-    return {
-        "embed": (2 * REACH, classes * classes + 1, WIDTH),
-        "bias": (WIDTH,),
-        "outer": (WIDTH, classes),
-        "outer_bias": (classes,),
-        "inner": (classes, WIDTH, classes),
-        "inner_bias": (classes, classes),
-    }
-
-
-def new_network(classes: int = CLASSES) -> Network:
+def new_network() -> Network:
     rng = np.random.default_rng(7)
-    sizes = shapes(classes).items()
-    return {k: (rng.normal(0, 0.1, s) if len(s) > 1 and "bias" not in k else np.zeros(s)).astype(np.float32) for k, s in sizes}
+    net = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in SHAPES.items()}
+    net["bias"][:] = net["outer"][-1] = net["inner"][:, -1] = 0
+    return net
 
 
 def flat(net: Network) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in shapes(1)])
+    return np.concatenate([net[k].ravel() for k in SHAPES])
 
 
-def shaped(values: np.ndarray, classes: int) -> Network:
-    sizes = shapes(classes)
-    ends = np.cumsum([int(np.prod(s)) for s in sizes.values()])
-    return {k: part.reshape(s).astype(np.float32) for (k, s), part in zip(sizes.items(), np.split(values, ends[:-1]))}
+def shaped(values: np.ndarray) -> Network:
+    ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])
+    return {k: part.reshape(s).astype(np.float32) for (k, s), part in zip(SHAPES.items(), np.split(values, ends[:-1]))}
 
 
 class Vocabulary(NamedTuple):
-    """The words with numbers of their own, the number of classes, and what the corpus says about all other words."""
+    """The words with numbers of their own, and what the corpus says about all other words."""
 
     top: list[str]
-    classes: int
-    #: Stored counts (word, n) of the words that occur more than once and are in neither top nor middle.
-    counts: DataFrame
     #: log n of the more frequent words without a number.
     middle: dict[str, float]
     #: For each shared number log(its occurrences + 1).
     shared: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return self.classes * self.classes
+    #: Stored counts (word, n) of all words.
+    counts: DataFrame
+    n_tokens: int
 
 
 class Numbers(dict):
-    """The vocabulary number of each word."""
+    """The vocabulary number of each word; None stands for the border."""
 
-    def __init__(self, top: list[str], size: int):
+    def __init__(self, top: list[str]):
         super().__init__()
-        self.top, self.first = {w: k for k, w in enumerate(top)}, max(TOP, len(top))
-        self.others = size - self.first
+        self.top = {w: k for k, w in enumerate(top)}
+        self.top[None] = VOCABULARY
         self.update(self.top)
 
     def __missing__(self, word: str) -> int:
         if len(self) > KNOWN:
             self.clear()
             self.update(self.top)
-        self[word] = value = self.first + zlib.crc32(word.encode()) % self.others
+        self[word] = value = TOP + zlib.crc32(word.encode()) % OTHERS
         return value
 
 
-def tokens(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def tokens(text: str | None) -> Iterator[str]:
+    """The lower-cased words, a block of the text at a time."""
+    return chain.from_iterable(part.lower().split() for part in segments(text or ""))
+
 
+EDGE = [None] * REACH
 
-def numbered(texts: list[list[str]], known: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all tokens, with REACH border numbers before, between and after the texts; start of each text."""
-    border = np.full(REACH, known.first + known.others, np.int64)
-    parts, starts, at = [border], [], REACH
-    for found in texts:
-        starts.append(at)
-        parts += [np.fromiter(map(known.__getitem__, found), np.int64, len(found)), border]
-        at += len(found) + REACH
-    return np.concatenate(parts), np.array([*starts, at], np.int64)
+
+def numbered(texts: list[str | None], known: Numbers) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+    """Numbers of all tokens with REACH borders before, between and after the texts; starts of the texts and the end; the tokens."""
+    told: list[str | None] = [*EDGE]
+    starts = [REACH]
+    for text in texts:
+        told.extend(tokens(text))
+        told += EDGE
+        starts.append(len(told))
+    return np.fromiter(map(known.__getitem__, told), np.uint16, len(told)), np.array(starts, np.int64), told
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+    """In place."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
+def _hidden(net: Network, ids: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The hidden layer at the places low to high, with a last column of ones."""
+    h = net["bias"] + net["embed"][ids[low + PLACES[0] : high + PLACES[0]], 0]
+    for k, place in list(enumerate(PLACES))[1:]:
+        h += net["embed"][ids[low + place : high + place], k]
+    out = np.ones((high - low, WIDTH + 1), np.float32)
+    np.tanh(h, out=out[:, :-1])
+    return out
 
 
-OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
+class Targets(NamedTuple):
+    """The tokens of some places, in the order of their numbers, without borders."""
 
+    at: np.ndarray
+    group: np.ndarray
+    within: np.ndarray
+    #: Where each class begins.
+    cuts: np.ndarray
 
-def _hidden(net: Network, context: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(net["embed"][k][context[:, k]] for k in range(context.shape[1])) + net["bias"])
 
+def _targets(ids: np.ndarray, low: int, high: int) -> Targets:
+    at = np.argsort(ids[low:high], kind="stable")
+    token = ids[low:high][at].astype(np.int64)
+    n = np.searchsorted(token, VOCABULARY)
+    group, within = np.divmod(token[:n], CLASSES)
+    return Targets(at[:n], group, within, np.searchsorted(group, np.arange(CLASSES + 1)))
 
-def log_probabilities(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log p of the tokens at the given places."""
-    out, classes = np.empty(at.size), net["outer_bias"].size
-    for k in range(0, at.size, BLOCK):
-        places = at[k : k + BLOCK]
-        places = places[np.argsort(ids[places], kind="stable")]
-        token = ids[places]
-        h = _hidden(net, ids[places[:, None] + OFFSETS])
-        group, within = token // classes, token % classes
-        p = _softmax(h @ net["outer"] + net["outer_bias"])[np.arange(token.size), group]
-        cuts = np.searchsorted(group, np.arange(classes + 1))
-        for c in range(classes):
-            s = slice(cuts[c], cuts[c + 1])
-            if s.start < s.stop:
-                p[s] *= _softmax(h[s] @ net["inner"][c] + net["inner_bias"][c])[np.arange(s.stop - s.start), within[s]]
-        out[np.searchsorted(at, places)] = np.log(np.maximum(p, 1e-30))
+
+def _inner(net: Network, h: np.ndarray, t: Targets) -> np.ndarray:
+    """Probabilities of the tokens of each target's class."""
+    e = np.empty((t.at.size, CLASSES), np.float32)
+    for c in np.flatnonzero(np.diff(t.cuts)):
+        np.matmul(h[t.cuts[c] : t.cuts[c + 1]], net["inner"][c], out=e[t.cuts[c] : t.cuts[c + 1]])
+    return _softmax(e)
+
+
+def segment_sums(rows: np.ndarray, firsts: np.ndarray, few: int = 8) -> np.ndarray:
+    """The sum of each segment of rows: long segments one by one, all short ones together, row by row."""
+    sizes = np.diff(firsts, append=rows.shape[0])
+    out = rows[firsts]
+    for k in np.flatnonzero(sizes > few):
+        out[k] = rows[firsts[k] : firsts[k] + sizes[k]].sum(0)
+    for step in range(1, few):
+        own = np.flatnonzero((sizes > step) & (sizes <= few))
+        out[own] += rows[firsts[own] + step]
     return out
 
 
-def learn(net: Network, squares: Network, ids: np.ndarray, at: np.ndarray) -> None:
-    """One pass of Adagrad over the given places, in place."""
+def log_probabilities(net: Network, ids: np.ndarray) -> np.ndarray:
+    """log p of each token given both its sides; 0 at the borders."""
+    out = np.zeros(ids.size)
+    for low in range(REACH, ids.size - REACH, BLOCK):
+        high = min(low + BLOCK, ids.size - REACH)
+        t = _targets(ids, low, high)
+        h, rows = _hidden(net, ids, low, high)[t.at], np.arange(t.at.size)
+        p = _softmax(h @ net["outer"])[rows, t.group] * _inner(net, h, t)[rows, t.within]
+        out[low + t.at] = np.log(np.maximum(p, 1e-30))
+    return out
+
+
+def learn(net: Network, squares: Network, ids: np.ndarray) -> int:
+    """One pass of Adagrad over all tokens, in place; their number."""
 
     def step(name: str, grad: np.ndarray, where=slice(None)) -> None:
-        squares[name][where] = seen = squares[name][where] + grad * grad
-        net[name][where] -= RATE * grad / np.sqrt(seen + 1e-6)
-
-    classes = net["outer_bias"].size
-    for k in range(0, at.size, BATCH):
-        places = at[k : k + BATCH]
-        places = places[np.argsort(ids[places], kind="stable")]
-        token = ids[places]
-        n, rows = token.size, np.arange(token.size)
-        context = ids[places[:, None] + OFFSETS]
-        h = _hidden(net, context)
-        group, within = token // classes, token % classes
-        d = _softmax(h @ net["outer"] + net["outer_bias"])
-        d[rows, group] -= 1
+        seen = squares[name][where] + grad * grad
+        squares[name][where] = seen
+        seen += 1e-6
+        np.sqrt(seen, out=seen)
+        np.divide(grad, seen, out=seen)
+        seen *= RATE
+        net[name][where] -= seen
+
+    places = 0
+    for low in range(REACH, ids.size - REACH, BATCH):
+        high = min(low + BATCH, ids.size - REACH)
+        t = _targets(ids, low, high)
+        n, rows = t.at.size, np.arange(t.at.size)
+        if not n:
+            continue
+        places += n
+        whole = _hidden(net, ids, low, high)
+        h = whole[t.at]
+        d = _softmax(h @ net["outer"])
+        d[rows, t.group] -= 1
         d /= n
         back = d @ net["outer"].T
-        step("outer", h.T @ d)
-        step("outer_bias", d.sum(0))
-        cuts = np.searchsorted(group, np.arange(classes + 1))
-        met = np.flatnonzero(np.diff(cuts))
-        inner, inner_bias = np.empty((met.size, WIDTH, classes), np.float32), np.empty((met.size, classes), np.float32)
-        e = np.empty((n, classes), np.float32)
-        for c in met:
-            np.matmul(h[cuts[c] : cuts[c + 1]], net["inner"][c], out=e[cuts[c] : cuts[c + 1]])
-        e = _softmax(e + net["inner_bias"][group])
-        e[rows, within] -= 1
+        e = _inner(net, h, t)
+        e[rows, t.within] -= 1
         e /= n
+        met = np.flatnonzero(np.diff(t.cuts))
+        inner = np.empty((met.size, WIDTH + 1, CLASSES), np.float32)
         for k, c in enumerate(met):
-            s = slice(cuts[c], cuts[c + 1])
+            s = slice(t.cuts[c], t.cuts[c + 1])
             back[s] += e[s] @ net["inner"][c].T
             np.matmul(h[s].T, e[s], out=inner[k])
-        np.add.reduceat(e, cuts[met], axis=0, out=inner_bias)
+        step("outer", h.T @ d)
         step("inner", inner, met)
-        step("inner_bias", inner_bias, met)
-        back *= 1 - h * h
+        h = h[:, :-1]
+        back = back[:, :-1] * (1 - h * h)
         step("bias", back.sum(0))
-        places = np.arange(context.shape[1])
-        flat_places = (context + places * (classes * classes + 1)).ravel()
-        order = np.argsort(flat_places, kind="stable")
-        sorted_places = flat_places[order]
-        firsts = np.flatnonzero(np.diff(sorted_places, prepend=-1))
-        seen = np.divmod(sorted_places[firsts], classes * classes + 1)
-        step("embed", np.add.reduceat(back[order // places.size], firsts, axis=0), seen)
+        # A token at one place is context of its neighbours: shifted gradients, added up by token.
+        near = np.zeros((high - low + 2 * REACH, len(PLACES), WIDTH), np.float32)
+        for k, place in enumerate(PLACES):
+            near[t.at + (REACH + place), k] = back
+        around = ids[low - REACH : high + REACH]
+        order = np.argsort(around, kind="stable")
+        firsts = np.flatnonzero(np.diff(around[order].astype(np.int64), prepend=-1))
+        sums = segment_sums(near.reshape(len(near), -1)[order], firsts)
+        step("embed", sums.reshape(-1, len(PLACES), WIDTH), around[order[firsts]])
+    return places
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -245,98 +279,127 @@ def counted(docs: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame) -> Vocabulary:
     """The vocabulary of all documents; equally frequent words come in alphabetical order."""
     counts = counted(docs)
-    least = RARE * math.sqrt(counts.agg(F.sum("n")).first()[0] or 0)
-    # By Zipf's law the number of words above a count of (some share of) the root grows as the root of the corpus.
-    often = counts.where(F.col("n") >= least / MIDDLE).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    first = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
-    own = max(len(first), int((often["n"] >= least).sum()))
-    top = [r["word"] for r in first] + often["word"].tolist()[len(first) : own]
-    classes = max(CLASSES, math.ceil(math.sqrt(own * VOCABULARY / TOP)))
-    numbers = classes * classes - max(TOP, own)
-    middle = dict(zip(often["word"].tolist()[own:], np.log(often["n"].to_numpy()[own:]).tolist()))
-    others = counts.where((F.col("n") < least) & ~F.col("word").isin([r["word"] for r in first]))
-    shared = np.zeros(numbers)
-    for r in others.groupBy(F.pmod(F.crc32("word"), F.lit(numbers)).alias("k")).agg(F.sum("n").alias("n")).collect():  # one row a number
+    often = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(TOP + MIDDLE).collect()  # of fixed size
+    top = [r["word"] for r in often[:TOP]]
+    shared = np.zeros(OTHERS)
+    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(OTHERS)).alias("k")).agg(F.sum("n").alias("n")).collect():  # one row a number
         shared[r["k"]] = r["n"]
-    return Vocabulary(top, classes, others.where((F.col("n") < least / MIDDLE) & (F.col("n") > 1)), middle, np.log(shared + 1))
+    n_tokens = int(shared.sum())
+    for r in often[:TOP]:
+        shared[zlib.crc32(r["word"].encode()) % OTHERS] -= r["n"]
+    middle = {r["word"]: float(np.log(r["n"])) for r in often[TOP:]}
+    return Vocabulary(top, middle, np.log(shared + 1), counts, n_tokens)
+
+
+def dealt(docs: DataFrame, shards: int, number: int) -> DataFrame:
+    """The texts of a round with their shard, each shard in one partition and in the order of a hash."""
+    mark = F.xxhash64("doc_id", "text")
+    rows = docs.where("text IS NOT NULL").select("text", mark.alias("mark"), F.pmod(mark, F.lit(shards)).alias("shard"))
+    own = rows.where(F.col("shard") % ROUNDS == number)
+    return own.repartition(-(-shards // ROUNDS), "shard").sortWithinPartitions("shard", "mark")
+
+
+COPY = StructType([StructField("k", IntegerType()), StructField("t", LongType()), StructField("v", BinaryType()), StructField("n", LongType())])
+
+
+def averaged(copies: pa.Table, fan_in: int) -> pa.Table:
+    """The weighted mean of a piece of some copies, in their order."""
+    order = np.argsort(copies.column("t").to_numpy())
+    n, v = copies.column("n").to_numpy()[order], copies.column("v").take(pa.array(order))
+    mean = sum(np.frombuffer(x.as_py(), np.float32) * (m / n.sum()) for x, m in zip(v, n)).astype(np.float32)
+    t = copies.column("t").to_numpy()[order[:1]] // fan_in
+    return pa.table({"k": copies.column("k").slice(0, 1), "t": t, "v": pa.array([mean.tobytes()], pa.binary()), "n": pa.array([n.sum()], pa.int64())})
+
 
+def merged(copies: DataFrame, n: int, fan_in: int = FAN_IN) -> DataFrame:
+    """One copy from ``n`` with numbers from 0, level by level."""
 
-def _round(docs: DataFrame, words: Vocabulary, start: Network, number: int) -> Network:
-    """One copy of the network per task, trained on its documents; the weighted mean of all copies."""
-    top, size = words.top, words.size
+    def mean(group: pa.Table) -> pa.Table:
+        return averaged(group, fan_in)
+
+    while n > 1:
+        copies = copies.groupBy("k", F.expr(f"t div {fan_in}").alias("g")).applyInArrow(mean, COPY)
+        n = -(-n // fan_in)
+    return copies
+
+
+def _round(docs: DataFrame, words: Vocabulary, start: Network, shards: int, number: int) -> Network:
+    """A copy of the network per shard of this round, trained on its documents; the weighted mean of all copies."""
+    told = docs.sparkSession.sparkContext.broadcast((words.top, start))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = Numbers(top, size), {k: v.copy() for k, v in start.items()}
-        squares = {k: np.zeros_like(v) for k, v in net.items()}
-        places = 0
-        for whole in batches:
-            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                ids, _ = numbered([tokens(t) for t in batch.column("text").to_pylist()], known)
-                at = np.arange(REACH + number, ids.size - REACH, ROUNDS)
-                at = at[ids[at] < size]
-                learn(net, squares, ids, at)
-                places += at.size
-        if places:
-            values = flat(net)
-            for k in range(0, values.size, PIECE):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k // PIECE], pa.int32()), pa.array([values[k : k + PIECE].tobytes()], pa.binary()), pa.array([places], pa.int64())],
-                    ["k", "v", "n"],
-                )
-
-    def averaged(copies: pa.Table) -> pa.Table:
-        n = copies.column("n").to_numpy()
-        mean = sum(np.frombuffer(v.as_py(), np.float32) * (m / n.sum()) for v, m in zip(copies.column("v"), n)).astype(np.float32)
-        return pa.table({"k": copies.column("k").slice(0, 1), "v": pa.array([mean.tobytes()], pa.binary())})
-
-    kind = [StructField("k", IntegerType()), StructField("v", BinaryType())]
-    pieces = docs.select("text").mapInArrow(trained, StructType([*kind, StructField("n", LongType())]))
-    found = pieces.groupBy("k").applyInArrow(averaged, StructType(kind)).collect()  # one network
+        top, start = told.value
+        known, shard, places = Numbers(top), None, 0
+
+        def copy() -> Iterator[pa.RecordBatch]:
+            if places:
+                values = flat(net)
+                parts = [values[k : k + PIECE].tobytes() for k in range(0, values.size, PIECE)]
+                each = lambda x: pa.array([x] * len(parts), pa.int64())
+                columns = [pa.array(range(len(parts)), pa.int32()), each(shard // ROUNDS), pa.array(parts, pa.binary()), each(places)]
+                yield pa.RecordBatch.from_arrays(columns, COPY.names)
+
+        for batch in batches:
+            # In steps of so many documents from the shard's first one on, however the batches fall.
+            for text, own in zip(batch.column("text"), batch.column("shard").to_pylist()):
+                if own != shard:
+                    if shard is not None:
+                        places += learn(net, squares, numbered(held, known)[0])
+                        yield from copy()
+                    shard, places, held = own, 0, []
+                    net = {k: v.copy() for k, v in start.items()}
+                    squares = {k: np.zeros_like(v) for k, v in net.items()}
+                held.append(text.as_py())
+                if len(held) == AT_ONCE:
+                    places += learn(net, squares, numbered(held, known)[0])
+                    held = []
+        if shard is not None:
+            places += learn(net, squares, numbered(held, known)[0])
+            yield from copy()
+
+    copies = dealt(docs, shards, number).select("text", "shard").mapInArrow(trained, COPY)
+    found = merged(copies, -(-shards // ROUNDS)).select("k", "v").collect()  # one network
     if not found:
         return start
-    return shaped(np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(found, key=lambda r: r["k"])]), words.classes)
+    return shaped(np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(found, key=lambda r: r["k"])]))
 
 
 def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
     words = vocabulary(docs)
-    net = new_network(words.classes)
+    net = new_network()
+    shards = max(ROUNDS, -(-words.n_tokens // SHARD))
     for number in range(ROUNDS):
-        net = _round(docs, words, net, number)
+        net = _round(docs.select("doc_id", "text"), words, net, shards, number)
     return words, net
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, Network]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum) and mean_log_likelihood of each document."""
     source, (words, net) = docs.select("doc_id", "text"), model
-    top, size, middle, shared = words.top, words.size, words.middle, words.shared
+    model_data = docs.sparkSession.sparkContext.broadcast((words.top, words.middle, words.shared, net))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Numbers(top, size)
+        top, middle, shared, net = model_data.value
+        known = Numbers(top)
         for whole in batches:
-            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                texts = [tokens(t) for t in batch.column("text").to_pylist()]
-                ids, starts = numbered(texts, known)
-                logs = np.zeros(ids.size + 1)
-                at = np.flatnonzero(ids < size)
-                logs[at] = log_probabilities(net, ids, at)
-                told = list(chain.from_iterable(texts))
-                without = np.flatnonzero(ids[at] >= known.first)
+            for batch in (whole.slice(k, AT_ONCE) for k in range(0, whole.num_rows, AT_ONCE)):
+                ids, starts, told = numbered(batch.column("text").to_pylist(), known)
+                logs = np.append(log_probabilities(net, ids), 0.0)
+                without = np.flatnonzero((ids >= TOP) & (ids < VOCABULARY))
                 own = np.array([middle.get(told[k]) for k in without.tolist()], float)  # NaN for None
                 far = np.isnan(own)
-                logs[at[without]] += np.where(far, 0, own) - shared[ids[at[without]] - known.first]
+                logs[without] += np.where(far, 0, own) - shared[ids[without].astype(np.int64) - TOP]
                 far = without[far]
                 n = np.diff(starts) - REACH
                 sums = np.add.reduceat(logs, starts)[:-1]
                 sums[n == 0] = 0.0
-                rare = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(at[far], starts), pa.int32()), pa.array([told[k] for k in far.tolist()], pa.string())
-                )
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, starts), pa.int32()), pa.array([told[k] for k in far.tolist()], pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums), rare], ["doc_id", "n_tokens", "part", "rare"])
 
     kind = [source.schema["doc_id"], StructField("n_tokens", LongType()), StructField("part", DoubleType()), StructField("rare", ArrayType(StringType()))]
     # Stored, so that the numbers of the rows stay.
     held = store(source.mapInArrow(scored, StructType(kind)).withColumn("row", F.monotonically_increasing_id()), "likelihood-parts")
-    met = held.select("row", F.explode("rare").alias("word")).join(words.counts, "word")
+    met = held.select("row", F.explode("rare").alias("word")).join(words.counts.where("n > 1"), "word")
     more = met.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     out = held.drop("rare").join(more, "row", "left")
     whole = F.col("part") + F.coalesce("more", F.lit(0.0))

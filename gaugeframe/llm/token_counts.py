@@ -171,6 +171,17 @@ class Counts(dict):
         return np.array(found, np.int64)
 
 
+def n_tokens(texts: pa.Array, counts: Counts) -> np.ndarray:
+    """The number of tokens of each text."""
+    sums = np.zeros(len(texts), np.int64)
+    for block in blocks(texts):
+        split = [counts.known.parts(segment) for _, segment in block]
+        upto = np.cumsum([0, *counts.of(list(chain.from_iterable(split)))])
+        ends = np.cumsum([0, *map(len, split)])
+        np.add.at(sums, np.array([row for row, _ in block], np.int64), np.diff(upto[ends]))
+    return sums
+
+
 #: The table of this worker: it lives on from task to task.
 _WORKER: dict[tuple, Counts] = {}
 
@@ -195,17 +206,10 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     kind = StructType([source.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _pretokens(path)
         counts = _counts(path, first.value)
         for batch in batches:
             texts = batch.column("text")
-            sums = np.zeros(batch.num_rows, np.int64)
-            for block in blocks(texts):
-                split = [known.parts(segment) for _, segment in block]
-                upto = np.cumsum([0, *counts.of(list(chain.from_iterable(split)))])
-                ends = np.cumsum([0, *map(len, split)])
-                np.add.at(sums, np.array([row for row, _ in block], np.int64), np.diff(upto[ends]))
             n_bytes = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, pa.array(sums)], kind.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, pa.array(n_tokens(texts, counts))], kind.names)
 
     return source.mapInArrow(counted, kind).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,32 +19,140 @@ from tests_llm_corpus import answers, awkward_rows, documents, prose
 # --- 2 ---------------------------------------------------------------------------------------
 
 
-def test_probabilities_add_up_and_match_single_steps():
+V, C, EDGE = pseudo_likelihood.VOCABULARY, pseudo_likelihood.CLASSES, [pseudo_likelihood.VOCABULARY] * pseudo_likelihood.REACH
+
+
+def token_probabilities(net, ids, at):
+    """All probabilities at a place, one number after the other, in doubles."""
+    h = np.tanh(sum(net["embed"][ids[at + o], j] for j, o in enumerate(pseudo_likelihood.PLACES)) + net["bias"])
+    h = np.append(h.astype(float), 1.0)
+    outer = np.exp(h @ net["outer"])
+    whole = []
+    for c in range(C):
+        inner = np.exp(h @ net["inner"][c])
+        whole += list(outer[c] / outer.sum() * inner / inner.sum())
+    return h, outer / outer.sum(), whole
+
+
+def test_probabilities_add_up_and_match_single_steps(monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 20)
     net = pseudo_likelihood.new_network()
     rng = np.random.default_rng(1)
     net["outer"] += rng.normal(0, 1, net["outer"].shape).astype(np.float32)
-    ids = np.concatenate([[pseudo_likelihood.VOCABULARY] * 2, rng.integers(0, pseudo_likelihood.VOCABULARY, 50), [pseudo_likelihood.VOCABULARY] * 2])
-    at = np.arange(2, 52)
-    logs = pseudo_likelihood.log_probabilities(net, ids, at)
+    ids = np.concatenate([EDGE, rng.integers(0, V, 50), EDGE]).astype(np.uint16)
+    logs = pseudo_likelihood.log_probabilities(net, ids)
+    assert logs[:2].tolist() == logs[-2:].tolist() == [0, 0]
     for k in (2, 17, 51):
-        h = np.tanh(sum(net["embed"][j][ids[k + o]] for j, o in enumerate(pseudo_likelihood.OFFSETS)) + net["bias"])
-        outer = np.exp(h @ net["outer"] + net["outer_bias"])
-        whole = []
-        for c in range(pseudo_likelihood.CLASSES):
-            inner = np.exp(h @ net["inner"][c] + net["inner_bias"][c])
-            whole += list(outer[c] / outer.sum() * inner / inner.sum())
-        assert math.isclose(sum(whole), 1, rel_tol=1e-5) and math.isclose(math.log(whole[ids[k]]), logs[k - 2], rel_tol=1e-4)
+        whole = token_probabilities(net, ids, k)[2]
+        assert math.isclose(sum(whole), 1, rel_tol=1e-5) and math.isclose(math.log(whole[ids[k]]), logs[k], rel_tol=1e-4)
+
+
+def plain_pass(net, squares, ids):
+    """Adagrad by loops over places, in doubles: the gradient of the mean loss of each batch."""
+    for low in range(2, len(ids) - 2, pseudo_likelihood.BATCH):
+        places = [k for k in range(low, min(low + pseudo_likelihood.BATCH, len(ids) - 2)) if ids[k] < V]
+        grads = {k: np.zeros(v.shape) for k, v in net.items()}
+        for k in places:
+            h, outer, _ = token_probabilities(net, ids, k)
+            c, w = divmod(int(ids[k]), C)
+            inner = np.exp(h @ net["inner"][c])
+            inner /= inner.sum()
+            outer[c] -= 1
+            inner[w] -= 1
+            grads["outer"] += np.outer(h, outer) / len(places)
+            grads["inner"][c] += np.outer(h, inner) / len(places)
+            back = ((net["outer"] @ outer + net["inner"][c] @ inner)[:-1] * (1 - h[:-1] ** 2)) / len(places)
+            grads["bias"] += back
+            for j, o in enumerate(pseudo_likelihood.PLACES):
+                grads["embed"][ids[k + o], j] += back
+        for name, grad in grads.items():
+            squares[name] += grad * grad
+            net[name] -= pseudo_likelihood.RATE * grad / np.sqrt(squares[name] + 1e-6)
+
+
+def test_training_steps_against_loops(monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "BATCH", 40)
+    net = pseudo_likelihood.new_network()
+    plain = {k: v.astype(float) for k, v in net.items()}
+    ids = np.concatenate([EDGE, np.tile([5, 900, 31, 77, 5, 5, 6], 8), EDGE, [12, 900], EDGE]).astype(np.uint16)
+    squares = [{k: np.zeros_like(v) for k, v in n.items()} for n in (net, plain)]
+    assert pseudo_likelihood.learn(net, squares[0], ids) == 58
+    plain_pass(plain, squares[1], ids)
+    for k in net:
+        assert np.allclose(net[k], plain[k], atol=2e-3), k
 
 
 def test_gradient_step_lowers_the_loss():
     net = pseudo_likelihood.new_network()
     squares = {k: np.zeros_like(v) for k, v in net.items()}
-    ids = np.concatenate([[pseudo_likelihood.VOCABULARY] * 2, np.tile([5, 900, 31, 77], 300), [pseudo_likelihood.VOCABULARY] * 2])
-    at = np.arange(2, ids.size - 2)
-    before = pseudo_likelihood.log_probabilities(net, ids, at).mean()
+    ids = np.concatenate([EDGE, np.tile([5, 900, 31, 77], 300), EDGE]).astype(np.uint16)
+    before = pseudo_likelihood.log_probabilities(net, ids).mean()
     for _ in range(20):
-        pseudo_likelihood.learn(net, squares, ids, at)
-    assert pseudo_likelihood.log_probabilities(net, ids, at).mean() > before / 4
+        pseudo_likelihood.learn(net, squares, ids)
+    assert pseudo_likelihood.log_probabilities(net, ids).mean() > before / 4
+
+
+def test_segments_add_up():
+    rows = np.random.default_rng(3).normal(size=(200, 5)).astype(np.float32)
+    firsts = np.array([0, 1, 3, 4, 12, 13, 60, 67, 75, 199])
+    assert np.allclose(pseudo_likelihood.segment_sums(rows, firsts), np.add.reduceat(rows, firsts, axis=0), atol=1e-5)
+
+
+def test_whole_query_against_plain_loops(spark, monkeypatch):
+    """Counting, numbering, dealing, training, averaging and scoring of some short texts, step by step on lists."""
+    monkeypatch.setattr(pseudo_likelihood, "SHARD", 9)
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice("a b c d e f g h i J j k L zz".split()) for _ in range(rng.randint(0, 9))), "en", "a") for k in range(10)] + [(10, None, "en", "a")]
+    docs = documents(spark, rows)
+    texts = {k: (t or "").lower().split() for k, t, *_ in rows}
+    counts = Counter(w for t in texts.values() for w in t)
+    number = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)))}
+    ids = {k: [number[w] for w in t] for k, t in texts.items()}
+    total = sum(counts.values())
+    shards = max(2, -(-total // 9))
+    assert shards > 5
+    mark = {r["doc_id"]: r["m"] for r in docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("m")).collect()}
+    start = {k: v.astype(float) for k, v in pseudo_likelihood.new_network().items()}
+    for r in range(2):
+        copies = []
+        for shard in range(r, shards, 2):
+            net, places = {k: v.copy() for k, v in start.items()}, 0
+            squares = {k: np.zeros_like(v) for k, v in net.items()}
+            own = sorted((k for k in mark if mark[k] % shards == shard), key=lambda k: mark[k])
+            if own:
+                plain_pass(net, squares, [*EDGE, *(x for k in own for x in [*ids[k], *EDGE])])
+                copies.append((sum(len(ids[k]) for k in own), net))
+        n = sum(p for p, _ in copies)
+        start = {k: sum(p / n * net[k] for p, net in copies) for k in start}
+    out = pseudo_likelihood.pseudo_likelihood(docs).collect()
+    assert len(out) == len(rows)
+    for row in out:
+        line = [*EDGE, *ids[row["doc_id"]], *EDGE]
+        expected = sum(math.log(token_probabilities(start, line, k)[2][line[k]]) for k in range(2, len(line) - 2))
+        assert row["n_tokens"] == len(texts[row["doc_id"]]) and math.isclose(row["log_likelihood"], expected, rel_tol=2e-3, abs_tol=1e-9), row
+
+
+def test_few_and_many_files_give_one_network(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD", 700)
+    docs = documents(spark, [(k, prose(k, 60), "en", "a") for k in range(500)], clashes=False)
+    nets = []
+    for n in (4, 400):
+        docs.repartition(n).write.parquet(str(tmp_path / str(n)))
+        nets.append(pseudo_likelihood.flat(pseudo_likelihood.train(spark.read.parquet(str(tmp_path / str(n))))[1]))
+    assert np.abs(nets[0] - pseudo_likelihood.flat(pseudo_likelihood.new_network())).max() > 0.1
+    assert np.allclose(*nets, atol=1e-6)
+
+
+def test_copies_are_averaged_level_by_level(spark):
+    rng = np.random.default_rng(4)
+    values, n = rng.normal(size=(20, 2, 5)).astype(np.float32), rng.integers(1, 9, 20)
+    rows = [(k, t, bytearray(values[t, k].tobytes()), int(n[t])) for t in range(20) if t not in (3, 4, 5) for k in range(2)]
+    out = pseudo_likelihood.merged(spark.createDataFrame(rows, pseudo_likelihood.COPY), 20, fan_in=3).collect()
+    kept = [t for t in range(20) if t not in (3, 4, 5)]
+    expected = np.average(values[kept], axis=0, weights=n[kept])
+    assert sorted(r["k"] for r in out) == [0, 1]
+    for r in out:
+        assert np.allclose(np.frombuffer(r["v"], np.float32), expected[r["k"]], atol=1e-5) and r["n"] == n[kept].sum()
 
 
 def test_known_order_scores_above_shuffled_order(spark):
@@ -75,38 +184,29 @@ def test_awkward_scores(spark):
     assert pseudo_likelihood.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("middle", [16, 1])
+@pytest.mark.parametrize("middle", [1 << 15, 1])
 def test_words_without_a_number_have_probabilities_of_their_own(spark, monkeypatch, middle):
     monkeypatch.setattr(pseudo_likelihood, "MIDDLE", middle)
     rng = random.Random(5)
     common = [f"c{k}" for k in range(pseudo_likelihood.TOP)]
     bucket = lambda w: zlib.crc32(w.encode()) % pseudo_likelihood.OTHERS
     often, seldom, junk = [w for w in (f"w{k}" for k in range(3000)) if bucket(w) == 7][:3]
-    rows = [(k, " ".join([*rng.sample(common, 200), *[often] * (k % 10 == 0), *[seldom] * (k in (1, 2))]), "en", "a") for k in range(400)]
+    rows = [(k, " ".join([*rng.sample(common, 400), *[often] * (k % 10 == 0), *[seldom] * (k in (1, 2))]), "en", "a") for k in range(400)]
     docs = documents(spark, rows)
     model = pseudo_likelihood.train(docs)
-    assert model[0].top[0].startswith("c") and len(model[0].top) == pseudo_likelihood.TOP
+    assert all(w.startswith("c") for w in model[0].top) and len(model[0].top) == pseudo_likelihood.TOP
     probe = [(k, f"c1 c2 {w} c3 c4", "en", "a") for k, w in enumerate((often, seldom, junk))]
     found = {r["doc_id"]: r["log_likelihood"] for r in pseudo_likelihood.score(documents(spark, probe), model).collect()}
     assert math.isclose(found[0] - found[1], math.log(40 / 2), rel_tol=1e-4)
     assert math.isclose(found[1] - found[2], math.log(2), rel_tol=1e-4)
 
 
-def test_vocabulary_follows_the_counts(spark):
-    rows = [(k, " ".join(f"v{k % 4}x{j}" for j in range(500)), "en", "a") for k in range(400)]
-    words = pseudo_likelihood.vocabulary(documents(spark, rows))
-    least = pseudo_likelihood.RARE * math.sqrt(400 * 500)
-    assert len(words.top) == pseudo_likelihood.TOP and least > 100  # each word occurs 100 times
-    words = pseudo_likelihood.vocabulary(documents(spark, rows * 6))
-    assert len(words.top) == 2000 and words.size >= 2000 * pseudo_likelihood.VOCABULARY / pseudo_likelihood.TOP and not words.middle
-
-
 def test_every_position_is_trained(spark):
     text = "zero one two three four five"
     docs = documents(spark, [(k, text, "en", "a") for k in range(16_000)], clashes=False).coalesce(1)
     words, net = pseudo_likelihood.train(docs)
-    ids, _ = pseudo_likelihood.numbered([text.split()], pseudo_likelihood.Numbers(words.top, words.size))
-    logs = pseudo_likelihood.log_probabilities(net, ids, np.arange(2, 8))
+    ids, _, _ = pseudo_likelihood.numbered([text], pseudo_likelihood.Numbers(words.top))
+    logs = pseudo_likelihood.log_probabilities(net, ids)[2:8]
     assert logs.min() > -2, logs
 
 

@@ -112,11 +112,9 @@ def test_counts_are_the_librarys():
         assert "".join(cut) == text and sum(sum(known.sizes(known.parts(s))) for s in cut) == n, text
 
 
-@pytest.mark.parametrize(("known", "table", "block"), [(500_000, 1 << 16, 1 << 20), (50, 20, 300), (1, 0, 7)])
-def test_token_counts(spark, monkeypatch, known, table, block):
-    monkeypatch.setattr(token_counts, "KNOWN", known)
-    monkeypatch.setattr(token_counts, "BLOCK", block)
-    rows = awkward_rows()[: 17 if block > 100 else 6] + [(1000 + k, t, "en", "a") for k, t in enumerate(odd_texts(200))]
+@pytest.mark.parametrize("table", [1 << 16, 20, 0])
+def test_token_counts(spark, table):
+    rows = awkward_rows() + [(1000 + k, t, "en", "a") for k, t in enumerate(odd_texts(200))]
     rows += [(20, "x" * 30_000, "en", "a"), (21, "a b " * 256, "en", "a"), (22, "a b " * 256 + "c", "en", "a")]
     library = Tokenizer.from_file(PATH)
     expected = [(d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in rows]
@@ -125,6 +123,18 @@ def test_token_counts(spark, monkeypatch, known, table, block):
     assert token_counts.token_counts(documents(spark).limit(0)).count() == 0
 
 
+def test_small_blocks_and_full_caches_count_the_same(monkeypatch):
+    texts = [t for _, t, *_ in awkward_rows()] + odd_texts(100)
+    library = Tokenizer.from_file(PATH)
+    expected = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for known, block, longest in ((500_000, 1 << 20, 64), (50, 300, 4), (1, 5000, 1)):
+        for name, value in (("KNOWN", known), ("BLOCK", block), ("LONGEST", longest)):
+            monkeypatch.setattr(token_counts, name, value)
+        counts = token_counts.Counts(token_counts.PreTokens(PATH), {" alpha": 1, "the": 1})
+        assert token_counts.n_tokens(pa.array(texts), counts).tolist() == expected
+        assert len(counts) <= max(known, 2)
+
+
 def test_frequent_words_come_first(spark):
     rows = [(k, "often " * 50 + "seldom" + chr(97 + k % 26) * (k // 26 + 1), "en", "a") for k in range(200)]
     assert token_counts.frequent(documents(spark, rows), PATH, 2) == [" often", "often"]
@@ -183,11 +193,8 @@ def audited(rows, labels):
 AUDIT = "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley".split()
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_audit_against_all_orders(spark, monkeypatch, block):
-    monkeypatch.setattr(filter_audit, "BLOCK", block)
-    rows = [r for r in awkward_rows() if block > 200 or len(r[1] or "") < 20_000]
-    rows += [(30, "A B C " * 30, "en", "a"), (31, "A B C " * 30, "en", "b"), (32, "#" + prose(5, 60), "en", ""), (33, prose(5, 60), "en", "b"), (33, prose(5, 60), "en", "b")]
+def test_audit_against_all_orders(spark):
+    rows = awkward_rows() + [(30, "A B C " * 30, "en", "a"), (31, "A B C " * 30, "en", "b"), (32, "#" + prose(5, 60), "en", ""), (33, prose(5, 60), "en", "b"), (33, prose(5, 60), "en", "b")]
     rows += [(34, "x" * 3000 + " y", "en", "b"), (None, "A B C " * 30, "en", "a"), (35, "É\x0bß\x0cé " * 20, "en", "b")]
     labels = [(1, 1, 0), (1, 0, 1), (30, None, 1), (31, 1, None), (None, 1, 1), (9, 1, 0), (10**6, 1, 1)]
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("mask", F.lit("x"))
@@ -197,9 +204,12 @@ def test_audit_against_all_orders(spark, monkeypatch, block):
     assert filter_audit.audit(docs.limit(0), marks).count() == 0
 
 
-def test_transducer_counts():
+@pytest.mark.parametrize("block", [1 << 20, 200, 7])
+def test_transducer_counts(monkeypatch, block):
+    monkeypatch.setattr(filter_audit, "BLOCK", block)
     rng = random.Random(6)
     texts = [None, "", *("".join(rng.choice(["a", "b", "A", "#", " ", "\n", "é", "漢", "\U0001f600", "\x0b", "\x1c"]) for _ in range(rng.randint(0, 60))) for _ in range(500))]
+    texts += [t for _, t, *_ in awkward_rows() if len(t or "") < 20_000 or block > 10] + ["x" * 999, " " * 99 + "y"]
     for at, n in ((0, len(texts)), (7, 300)):
         found = filter_audit.Reader().texts(pa.array(texts).slice(at, n))
         for text, counts in zip(texts[at : at + n], found.tolist()):
