@@ -44,11 +44,11 @@ VOCABULARY = CLASSES * CLASSES
 OTHERS = 512
 TOP = VOCABULARY - OTHERS
 #: Words whose counts the workers know besides, and the most characters of a word that they know.
-MIDDLE, LONGEST = 1 << 15, 64
+MIDDLE, LONGEST = 1 << 16, 64
 #: Tokens of a shard, copies that are averaged at a time, and values of a network that travel in one row.
 SHARD, FAN_IN, PIECE = 2_000_000, 16, 4096
 REACH = 2
-WIDTH = 24
+WIDTH = 16
 ROUNDS = 2
 RATE = 0.2
 BATCH = 4096
@@ -134,14 +134,24 @@ def numbered(texts: list[str | None], known: Numbers) -> tuple[np.ndarray, np.nd
     return np.fromiter(map(known.__getitem__, told), np.uint16, len(told)), np.array(starts, np.int64), told
 
 
+ONES = np.ones((CLASSES, 1), np.float32)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """In place."""
     x -= x.max(axis=-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    x /= x @ ONES
     return x
 
 
+def _log_softmax(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Of one value per row; x is used up."""
+    x -= x.max(axis=-1, keepdims=True)
+    own = x[np.arange(which.size), which]
+    return own - np.log(np.exp(x, out=x) @ ONES)[:, 0]
+
+
 def _hidden(net: Network, ids: np.ndarray, low: int, high: int) -> np.ndarray:
     """The hidden layer at the places low to high, with a last column of ones."""
     h = net["bias"] + net["embed"][ids[low + PLACES[0] : high + PLACES[0]], 0]
@@ -171,11 +181,11 @@ def _targets(ids: np.ndarray, low: int, high: int) -> Targets:
 
 
 def _inner(net: Network, h: np.ndarray, t: Targets) -> np.ndarray:
-    """Probabilities of the tokens of each target's class."""
+    """Scores of the tokens of each target's class."""
     e = np.empty((t.at.size, CLASSES), np.float32)
     for c in np.flatnonzero(np.diff(t.cuts)):
         np.matmul(h[t.cuts[c] : t.cuts[c + 1]], net["inner"][c], out=e[t.cuts[c] : t.cuts[c + 1]])
-    return _softmax(e)
+    return e
 
 
 def segment_sums(rows: np.ndarray, firsts: np.ndarray, few: int = 8) -> np.ndarray:
@@ -196,9 +206,8 @@ def log_probabilities(net: Network, ids: np.ndarray) -> np.ndarray:
     for low in range(REACH, ids.size - REACH, BLOCK):
         high = min(low + BLOCK, ids.size - REACH)
         t = _targets(ids, low, high)
-        h, rows = _hidden(net, ids, low, high)[t.at], np.arange(t.at.size)
-        p = _softmax(h @ net["outer"])[rows, t.group] * _inner(net, h, t)[rows, t.within]
-        out[low + t.at] = np.log(np.maximum(p, 1e-30))
+        h = _hidden(net, ids, low, high)[t.at]
+        out[low + t.at] = _log_softmax(h @ net["outer"], t.group) + _log_softmax(_inner(net, h, t), t.within)
     return out
 
 
@@ -228,7 +237,7 @@ def learn(net: Network, squares: Network, ids: np.ndarray) -> int:
         d[rows, t.group] -= 1
         d /= n
         back = d @ net["outer"].T
-        e = _inner(net, h, t)
+        e = _softmax(_inner(net, h, t))
         e[rows, t.within] -= 1
         e /= n
         met = np.flatnonzero(np.diff(t.cuts))
@@ -276,10 +285,24 @@ def counted(docs: DataFrame) -> DataFrame:
     return store(words.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The words above a count that at most TOP + MIDDLE words exceed. Counts are told apart by their six leading bits."""
+    short = counts.where(F.length("word") <= LONGEST)
+    cut = F.greatest(F.length(F.bin("n")) - 6, F.lit(0))
+    sizes = short.select("n", cut.alias("cut")).groupBy(F.expr("shiftleft(shiftright(n, cut), cut)").alias("least")).agg(F.count(F.lit(1)).alias("words"))
+    least, room = None, TOP + MIDDLE
+    for r in sorted(sizes.collect(), key=lambda r: -r["least"]):  # at most 64 numbers for each power of two
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["least"]
+    return short.where(F.col("n") >= least) if least else short.limit(0)
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """The vocabulary of all documents; equally frequent words come in alphabetical order."""
+    """The vocabulary of all documents; equally frequent words come in alphabetical order, and are told to the workers all or none."""
     counts = counted(docs)
-    often = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(TOP + MIDDLE).collect()  # of fixed size
+    often = sorted(_frequent(counts).collect(), key=lambda r: (-r["n"], r["word"]))  # at most TOP + MIDDLE
     top = [r["word"] for r in often[:TOP]]
     shared = np.zeros(OTHERS)
     for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(OTHERS)).alias("k")).agg(F.sum("n").alias("n")).collect():  # one row a number
@@ -296,7 +319,8 @@ def dealt(docs: DataFrame, shards: int, number: int) -> DataFrame:
     mark = F.xxhash64("doc_id", "text")
     rows = docs.where("text IS NOT NULL").select("text", mark.alias("mark"), F.pmod(mark, F.lit(shards)).alias("shard"))
     own = rows.where(F.col("shard") % ROUNDS == number)
-    return own.repartition(-(-shards // ROUNDS), "shard").sortWithinPartitions("shard", "mark")
+    number = F.floor(F.col("shard") / ROUNDS).cast("int")
+    return own.repartitionById(-(-shards // ROUNDS), number).sortWithinPartitions("shard", "mark")
 
 
 COPY = StructType([StructField("k", IntegerType()), StructField("t", LongType()), StructField("v", BinaryType()), StructField("n", LongType())])

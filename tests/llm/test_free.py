@@ -143,6 +143,15 @@ def test_few_and_many_files_give_one_network(spark, monkeypatch, tmp_path):
     assert np.allclose(*nets, atol=1e-6)
 
 
+def test_frequent_words_are_taken_in_whole_steps(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "TOP", 3)
+    monkeypatch.setattr(pseudo_likelihood, "MIDDLE", 2)
+    counts = [("a", 1000), ("b", 40), ("c", 39), ("d", 2), ("e", 1), ("f", 1), ("x" * 65, 5000)]
+    for more, expected in (([], "abcd"), ([("g", 2)], "abcdg"), ([("g", 2), ("h", 2)], "abc"), ([(f"w{k}", 7) for k in range(3)], "abc")):
+        rows = spark.createDataFrame(counts + more, "word string, n long")
+        assert sorted(r["word"] for r in pseudo_likelihood._frequent(rows).collect()) == sorted(expected)
+
+
 def test_copies_are_averaged_level_by_level(spark):
     rng = np.random.default_rng(4)
     values, n = rng.normal(size=(20, 2, 5)).astype(np.float32), rng.integers(1, 9, 20)
