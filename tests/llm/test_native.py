@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations, product
 
 import regex
@@ -15,7 +16,7 @@ from gaugeframe.llm import chat_snapshots, line_chunks, quality_rules, templates
 
 
 def turns(spark, rows):
-    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1)).withColumn("prefixes", F.lit("x"))
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in "n k a b h last each turns hash n_copies n_turns".split()})
 
 
 def test_snapshots_collapse_to_the_longest(spark):
@@ -34,6 +35,22 @@ def test_role_and_text_do_not_run_together(spark):
     assert answers(chat_snapshots.collapse(turns(spark, rows)), "conv_id") == [(1,), (2,), (3,)]
 
 
+def test_places_of_turns_count(spark):
+    """Equal turns in another order, or once more, are other conversations."""
+    rows = [(1, 0, "u", "a"), (1, 1, "u", "b"), (2, 0, "u", "b"), (2, 1, "u", "a"), (3, 0, "u", "a"), (3, 1, "u", "a"), (4, 0, "u", "a"), (4, 1, "u", "a"), (4, 2, "u", "a")]
+    assert answers(chat_snapshots.collapse(turns(spark, rows)), "conv_id", "n_turns") == [(1, 2), (2, 2), (4, 3)]
+
+
+def test_long_conversations_take_time_by_their_turns(spark):
+    """A conversation of 100,000 turns and its snapshot one turn earlier."""
+    n = 100_000
+    talk = spark.range(2 * n - 1).select((F.col("id") % 2).alias("conv_id"), F.floor(F.col("id") / 2).alias("turn"))
+    talk = talk.withColumn("role", F.lit("user")).withColumn("text", F.concat(F.lit("t"), (F.col("turn") % 7).cast("string")))
+    began = time.time()
+    out = chat_snapshots.collapse(talk).select("conv_id", "n_turns", "n_copies", F.length("text").alias("size")).collect()
+    assert [tuple(r) for r in out] == [(0, n, 1, n * len("<|im_start|>user\nt1<|im_end|>") + n - 1)] and time.time() - began < 60
+
+
 def test_no_conversations(spark):
     assert chat_snapshots.collapse(turns(spark, [])).count() == 0
 
