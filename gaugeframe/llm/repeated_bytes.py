@@ -262,11 +262,13 @@ def _counted(stretches: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Byte spans (a, b) to remove, by document (doc_id, th); spans may overlap or repeat."""
     every = _runs(docs)
-    shared = every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    # Stored, as ``several`` below: a join of two plain shuffles can be split at a hot first digit.
+    shared = store(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "byte-digits")
     left = store(every.join(shared, "g", "left_semi"), "byte-runs")
     second = left.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("rep"))
     second = store(second, "byte-stretches")
     several = second.groupBy(F.col("g").alias("of_g")).agg(F.count(F.lit(1)).alias("total")).where("total > 1")
+    several = store(several, "byte-digits")
     ambiguous = second.join(several, F.col("g") == F.col("of_g")).select("g", "c", "n", "total", "rep")
     stretches = store(_stretches(docs, ambiguous), "byte-fetched")
     whole = left.join(second.where("n > 1").select("g", "c"), ["g", "c"], "left_semi")
