@@ -52,10 +52,11 @@ WIDTH = 16
 ROUNDS = 2
 RATE = 0.2
 BATCH = 4096
-#: Positions whose probabilities are computed at a time, and words a worker remembers.
+#: Positions whose probabilities are computed at a time.
 BLOCK = 1 << 15
 #: Documents that are numbered at a time.
 AT_ONCE = 256
+#: Words that a task counts before it gives the counts on.
 KNOWN = 400_000
 
 Network = dict[str, np.ndarray]
@@ -99,20 +100,22 @@ class Vocabulary(NamedTuple):
 
 
 class Numbers(dict):
-    """The vocabulary number of each word; None stands for the border."""
+    """Places of words in two tables: their vocabulary numbers, and the logarithms of the counts of those that share one (NaN: not known).
 
-    def __init__(self, top: list[str]):
-        super().__init__()
-        self.top = {w: k for k, w in enumerate(top)}
-        self.top[None] = VOCABULARY
-        self.update(self.top)
+    None stands for the border. The words that the workers know come first; all others have the place of their shared number.
+    """
+
+    def __init__(self, top: list[str], middle: dict[str, float] | None = None):
+        counts = middle or {}
+        words = [*top, *counts, None]
+        super().__init__(zip(words, range(len(words))))
+        shared = [TOP + zlib.crc32(w.encode()) % OTHERS for w in counts]
+        self.known = len(words)
+        self.number = np.array([*range(len(top)), *shared, VOCABULARY, *range(TOP, VOCABULARY)], np.uint16)
+        self.log_count = np.array([*[0.0] * len(top), *counts.values(), 0.0, *[np.nan] * OTHERS])
 
     def __missing__(self, word: str) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-            self.update(self.top)
-        self[word] = value = TOP + zlib.crc32(word.encode()) % OTHERS
-        return value
+        return self.known + zlib.crc32(word.encode()) % OTHERS
 
 
 def tokens(text: str | None) -> Iterator[str]:
@@ -123,15 +126,16 @@ def tokens(text: str | None) -> Iterator[str]:
 EDGE = [None] * REACH
 
 
-def numbered(texts: list[str | None], known: Numbers) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
-    """Numbers of all tokens with REACH borders before, between and after the texts; starts of the texts and the end; the tokens."""
+def numbered(texts: list[str | None], known: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
+    """Numbers of all tokens with REACH borders before, between and after the texts; starts of the texts and the end; places; tokens."""
     told: list[str | None] = [*EDGE]
     starts = [REACH]
     for text in texts:
         told.extend(tokens(text))
         told += EDGE
         starts.append(len(told))
-    return np.fromiter(map(known.__getitem__, told), np.uint16, len(told)), np.array(starts, np.int64), told
+    places = np.fromiter(map(known.__getitem__, told), np.int32, len(told))
+    return known.number[places], np.array(starts, np.int64), places, told
 
 
 ONES = np.ones((CLASSES, 1), np.float32)
@@ -349,11 +353,11 @@ def merged(copies: DataFrame, n: int, fan_in: int = FAN_IN) -> DataFrame:
 
 def _round(docs: DataFrame, words: Vocabulary, start: Network, shards: int, number: int) -> Network:
     """A copy of the network per shard of this round, trained on its documents; the weighted mean of all copies."""
-    told = docs.sparkSession.sparkContext.broadcast((words.top, start))
+    told = docs.sparkSession.sparkContext.broadcast((words.top, words.middle, start))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, start = told.value
-        known, shard, places = Numbers(top), None, 0
+        top, middle, start = told.value
+        known, shard, places = Numbers(top, middle), None, 0
 
         def copy() -> Iterator[pa.RecordBatch]:
             if places:
@@ -404,13 +408,13 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network]) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, middle, shared, net = model_data.value
-        known = Numbers(top)
+        known = Numbers(top, middle)
         for whole in batches:
             for batch in (whole.slice(k, AT_ONCE) for k in range(0, whole.num_rows, AT_ONCE)):
-                ids, starts, told = numbered(batch.column("text").to_pylist(), known)
+                ids, starts, places, told = numbered(batch.column("text").to_pylist(), known)
                 logs = np.append(log_probabilities(net, ids), 0.0)
                 without = np.flatnonzero((ids >= TOP) & (ids < VOCABULARY))
-                own = np.array([middle.get(told[k]) for k in without.tolist()], float)  # NaN for None
+                own = known.log_count[places[without]]
                 far = np.isnan(own)
                 logs[without] += np.where(far, 0, own) - shared[ids[without].astype(np.int64) - TOP]
                 far = without[far]

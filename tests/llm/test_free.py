@@ -214,7 +214,7 @@ def test_every_position_is_trained(spark):
     text = "zero one two three four five"
     docs = documents(spark, [(k, text, "en", "a") for k in range(16_000)], clashes=False).coalesce(1)
     words, net = pseudo_likelihood.train(docs)
-    ids, _, _ = pseudo_likelihood.numbered([text], pseudo_likelihood.Numbers(words.top))
+    ids = pseudo_likelihood.numbered([text], pseudo_likelihood.Numbers(words.top, words.middle))[0]
     logs = pseudo_likelihood.log_probabilities(net, ids)[2:8]
     assert logs.min() > -2, logs
 
