@@ -2,16 +2,18 @@
 
 Text becomes tokens: runs of letters and digits, numbers with their inner points and commas as one token,
 digits parted from letters. In the template a number becomes ``<num>``, a word with a capital inside a
-sentence ``<name>`` and a unit after a number ``<unit>``; other tokens are lower-cased. Windows of
+sentence ``<name>`` (line breaks and other white space count like a blank) and a unit after a number
+``<unit>``; other tokens are lower-cased. Windows of
 ``WINDOW`` template tokens of the benchmark (whole items where they are shorter, from ``SHORTEST`` tokens on)
 are joined by hash with the windows of the documents. A hit must then have the same template token by
 token, at least ``LITERALS`` tokens that are no placeholder, and consistent slots: within the window each
-value of the item stands for one value of the document and the other way round, per type. So a question
-with other numbers and names is found, and one that only shares its skeleton by chance is not.
+value of the item stands for one value of the document, per type. So a question with other numbers and names
+is found, also where two of them become the same, and one that only shares its skeleton by chance is not.
 
 Before the join, windows are tried against a table of bits of fixed size that marks the benchmark's hashes, so
 only hits and few others bring their tokens to the join, whatever its kind: the documents are read once, and
-their texts are never shuffled. The benchmark's windows are stored, so Spark knows their size and broadcasts
+their texts are never shuffled. Tokens are hashed once each, and a window's hash chains those of its tokens in
+generated code, one row a window that ends at the filter. The benchmark's windows are stored, so Spark knows their size and broadcasts
 them below its threshold.
 
 Defined cases: null and empty texts have no tokens and match nothing; items of fewer than ``SHORTEST``
@@ -21,6 +23,8 @@ an empty table on either side gives no hits; other columns are carried along (``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,52 +51,54 @@ def canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     # translate() looks at each character of a text, which the few texts with marks of their own are worth.
     text = F.when(text.contains(NAME) | text.contains(POINT), F.translate(text, NAME + POINT, "  ")).otherwise(text)
-    step = rows.select(*keep, F.regexp_replace(text, r" (?=\p{Lu})(?<=[\p{Ll}\p{N},;] )", f" {NAME}").alias("t"))
+    capitals = r"\s(?=\s*\p{Lu})(?<=[\p{Ll}\p{N},;]\s)\s*"
+    step = rows.select(*keep, F.regexp_replace(text, capitals, f" {NAME}").alias("t"))
     step = step.withColumn("digits", F.col("t").rlike(r"\p{Nd}"))
     digits = lambda changed: F.when(F.col("digits"), changed).otherwise(F.col("t"))
     step = step.withColumn("t", digits(F.regexp_replace("t", r"(?<=\p{Nd})[.,](?=\p{Nd})", POINT)))
     step = step.withColumn("t", F.regexp_replace("t", f"[^\\p{{L}}\\p{{M}}\\p{{N}}{NAME}{POINT}]+", " "))
     step = step.withColumn("t", digits(F.regexp_replace("t", r"(?<=\p{Nd})(?=\p{L})|(?<=\p{L})(?=\p{Nd})", " ")))
     step = step.withColumn("t", F.lower(F.trim("t")))
+    # Single blanks part the tokens by now; only an empty text would give an empty one.
+    some = lambda x: F.when(F.col("t") != "", F.split(x, " ")).otherwise(F.array().cast("array<string>"))
+    step = step.withColumn("raw", some(F.col("t")))
     shape = F.regexp_replace("t", f"{NAME}[^ ]+", "<name>")
     numbers = F.regexp_replace(shape, f"(?<=^| )\\p{{Nd}}[\\p{{Nd}}{POINT}]*(?= |$)", "<num>")
     numbers = F.regexp_replace(numbers, f"(?<=<num> )(?:{'|'.join(UNITS)})(?= |$)", "<unit>")
-    # Single blanks part the tokens by now; only an empty text would give an empty one.
-    some = lambda x: F.when(F.col("t") != "", F.split(x, " ")).otherwise(F.array().cast("array<string>"))
-    return step.select(*keep, some(F.col("t")).alias("raw"), some(F.when(F.col("digits"), numbers).otherwise(shape)).alias("template"))
+    template = F.when(F.col("digits"), some(numbers)).when(F.col("t").contains(NAME), some(shape)).otherwise(F.col("raw"))
+    return step.select(*keep, "raw", template.alias("template"))
 
 
-def window_hash(tokens: Column) -> Column:
-    """The hash of a window from the hashes of its tokens."""
-    return F.xxhash64(tokens)
+def window_hash(hashes: Column | str, start: Column, size: Column | int) -> Column:
+    """The hash of the window of ``size`` tokens from ``start`` (0 is the first), from the hashes of the tokens."""
+    return F.xxhash64(F.slice(hashes, start + 1, size))
 
 
-def _windows(rows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
-    """One row per window: its start, size and hash. The kept columns are not copied before they are used."""
-    none = F.array().cast("array<bigint>")
+def _windows(rows: DataFrame, keep: list[str], sizes: list[int], known: DataFrame) -> DataFrame:
+    """One row per window that may be known: its start, size and hash."""
     rows = rows.withColumn("h", F.transform("template", lambda t: F.xxhash64(t)))
-    hashes = lambda size: F.when(
-        F.size("h") >= size,
-        F.transform(F.sequence(F.lit(1), F.size("h") - (size - 1)), lambda i: window_hash(F.slice("h", i, size))),
-    ).otherwise(none)
     # The outer form: for the inner one Spark infers a filter on the array and computes it a second time.
+    starts = rows.select(*keep, "h", F.posexplode_outer("h").alias("start", "first"))
     if len(sizes) == 1:
-        return rows.select(*keep, F.lit(sizes[0]).alias("size"), F.posexplode_outer(hashes(sizes[0])).alias("start", "hash"))
-    each = F.array(*[F.struct(F.lit(size).alias("size"), hashes(size).alias("hashes")) for size in sizes])
-    by_size = rows.select(*keep, F.explode_outer(each).alias("x"))
-    return by_size.select(*keep, "x.size", F.posexplode_outer("x.hashes").alias("start", "hash"))
+        each = starts.withColumn("size", F.lit(sizes[0]))
+    else:
+        each = starts.select("*", F.explode_outer(F.lit(sizes)).alias("size"))
+    hashed = each.where(F.col("start") <= F.size("h") - F.col("size")).withColumn("hash", window_hash("h", F.col("start"), F.col("size")))
+    return hashed.where(_known(known)(F.col("hash"))).select(*keep, "start", "size", "hash")
 
 
-def _known(known: DataFrame) -> Column:
-    """Whether column ``hash`` may be that of a benchmark window: a table of ``1 << FILTER_BITS`` bits."""
+def _known(known: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be that of a benchmark window: a table of ``1 << FILTER_BITS`` bits."""
     size = 1 << FILTER_BITS
-    word = F.floor(F.pmod("hash", F.lit(size)) / 64).cast("int")
-    bit = F.pmod("hash", F.lit(64)).cast("int")
-    rows = known.select(word.alias("word"), F.expr("shiftleft(1L, cast(pmod(hash, 64) AS int))").alias("bit"))
+    word = lambda hashed: F.shiftright(hashed.bitwiseAND(F.lit(size - 1)), 6).cast("int")
+    bit = lambda hashed: hashed.bitwiseAND(F.lit(63)).cast("int")
+    rows = known.select(word(F.col("hash")).alias("word"), F.expr("shiftleft(1L, cast(pmod(hash, 64) AS int))").alias("bit"))
     words = [0] * (size // 64)
     for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most size / 64 rows
         words[r["word"]] = r["bits"]
-    return F.getbit(F.get(F.lit(words).cast("array<bigint>"), word), bit) == 1
+    # One literal that Spark folds to an array, instead of one for each word.
+    table = F.split(F.lit(" ".join(map(str, words))), " ").cast("array<bigint>")
+    return lambda hashed: F.getbit(F.get(table, word(hashed)), bit(hashed)) == 1
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -104,18 +110,20 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     items = canonical(benchmark, ["item_id"])
     quoted = canonical(benchmark.withColumn("text", F.concat(F.lit("a "), "text")), ["item_id"])
     rest = [F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))).alias(c) for c in ("raw", "template")]
-    items = items.unionByName(quoted.select("item_id", *rest))
+    # Stored, so that the generated code of what follows does not hold that of the tokens several times.
+    items = store(items.unionByName(quoted.select("item_id", *rest)), "benchmark-tokens")
     sized = items.withColumn("size", F.least(F.size("template"), F.lit(WINDOW))).where(F.col("size") >= SHORTEST)
     starts = sized.select("*", F.explode(F.sequence(F.lit(0), F.size("template") - F.col("size"))).alias("at"))
     part = lambda c: F.expr(f"slice({c}, at + 1, size)")
     cut = starts.select("item_id", "at", "size", part("raw").alias("i_raw"), part("template").alias("i_template"))
     literals = F.filter("i_template", lambda t: ~t.startswith("<"))
     cut = cut.where(F.size(literals) >= LITERALS).distinct()
-    return store(cut.withColumn("hash", window_hash(F.transform("i_template", lambda t: F.xxhash64(t)))), "benchmark-windows")
+    hashes = cut.withColumn("h", F.transform("i_template", lambda t: F.xxhash64(t)))
+    return store(hashes.withColumn("hash", window_hash("h", F.lit(0), WINDOW)).drop("h"), "benchmark-windows")
 
 
 def consistent(theirs: Column, ours: Column, template: Column) -> Column:
-    """Whether the slots of two equal templates map one to one, type by type."""
+    """Whether each slot value of ``theirs`` stands for one value of ``ours``, type by type, in two equal templates."""
     pairs = F.filter(
         F.zip_with(
             F.arrays_zip(template.alias("t"), theirs.alias("a")), ours, lambda x, b: F.struct(x["t"].alias("t"), x["a"].alias("a"), b.alias("b"))
@@ -123,10 +131,7 @@ def consistent(theirs: Column, ours: Column, template: Column) -> Column:
         lambda x: x["t"].startswith("<"),
     )
     n = lambda f: F.size(F.array_distinct(F.transform(pairs, f)))
-    every = n(lambda x: x)
-    left = n(lambda x: F.struct(x["t"], x["a"]))
-    right = n(lambda x: F.struct(x["t"], x["b"]))
-    return (left == every) & (right == every)
+    return n(lambda x: F.struct(x["t"], x["a"])) == n(lambda x: x)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # At most WINDOW - SHORTEST + 1 numbers.
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect()) or [WINDOW]
     keyed = docs.select("doc_id", F.md5(F.col("text")).alias("th"), "text")
-    cut = _windows(canonical(keyed, ["doc_id", "th"]), ["doc_id", "th", "raw", "template"], sizes).where(_known(known))
+    cut = _windows(canonical(keyed, ["doc_id", "th"]), ["doc_id", "th", "raw", "template"], sizes, known)
     part = lambda c: F.expr(f"slice({c}, start + 1, size)")
     spelt = cut.select("doc_id", "th", "start", "size", "hash", part("raw").alias("raw"), part("template").alias("template"))
     pairs = spelt.join(known, ["hash", "size"]).where("template = i_template")

@@ -301,7 +301,7 @@ ITEM = "A train leaves Berlin at 9.30 and travels 240 km to Hamburg while Anna w
 
 
 def template(text):
-    text = regex.sub(r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", "\1", (text or "").replace("\1", " ").replace("\2", " "))
+    text = regex.sub(r"(?<=[\p{Ll}\p{N},;])[ \t\n\x0b\f\r]+(?=\p{Lu})", " \1", (text or "").replace("\1", " ").replace("\2", " "))
     text = regex.sub(r"(?<=\p{Nd})[.,](?=\p{Nd})", "\2", text)
     text = regex.sub("[^\\p{L}\\p{M}\\p{N}\1\2]+", " ", text)
     raw = regex.sub(r"(?<=\p{Nd})(?=\p{L})|(?<=\p{L})(?=\p{Nd})", " ", text).lower().split()
@@ -328,7 +328,7 @@ def brute_hits(docs, items):
             for at in range(len(shape) - len(cut) + 1):
                 if shape[at : at + len(cut)] == cut:
                     pairs = {(t, a, b) for t, a, b in zip(cut, i_raw, raw[at : at + len(cut)]) if t.startswith("<")}
-                    if len({(t, a) for t, a, _ in pairs}) == len(pairs) == len({(t, b) for t, _, b in pairs}):
+                    if len({(t, a) for t, a, _ in pairs}) == len(pairs):
                         out.add((doc, item))
     return out
 
@@ -366,6 +366,34 @@ def test_reparameterised_items_are_found(spark):
     assert found[2, 1]["reparameterised"] and not found[8, 1]["reparameterised"]
 
 
+def test_slots_may_become_equal(spark):
+    """3 and 5 may both become 4, while one 3 may not become 4 and 6."""
+    item = "a box holds 3 red balls and 5 blue balls, then 3 balls go"
+    texts = [item.replace("3", "4").replace("5", "4"), "a box holds 4 red balls and 5 blue balls, then 6 balls go", item.replace("3", "9")]
+    rows = [(k, f"so: {t}", "en", "a") for k, t in enumerate(texts)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = set(answers(templates.leaks(documents(spark, rows), bench), "doc_id", "item_id"))
+    assert found == {(0, 1), (2, 1)} == brute_hits([r[:2] for r in rows], [(1, item)])
+
+
+def test_names_after_line_breaks(spark):
+    """A copy with hard line breaks, also before names, has the template of its original."""
+    broken = [ITEM.replace(" ", gap) for gap in ("\n", "\r\n", "\n\n  ", "\t")]
+    rows = [(k, "see below\n" + t, "en", "a") for k, t in enumerate(broken)]
+    assert [template(t) for t in broken] == [template(ITEM)] * 4
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_windows"], r["reparameterised"]) for r in templates.leaks(documents(spark, rows), bench).collect()}
+    assert set(found) == {0, 1, 2, 3} and len(set(found.values())) == 1 and not found[0][1]
+
+
+def test_items_of_all_sizes(spark):
+    """Items of 7 to 15 tokens: sizes below the window are looked up beside it."""
+    items = [(n, " ".join(f"{chr(97 + n)}word{chr(97 + k)}" for k in range(n))) for n in range(7, 16)]
+    rows = [(n, f"before it {t} and after", "en", "a") for n, t in items]
+    found = set(answers(templates.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id"))
+    assert found == {(n, n) for n in range(8, 16)} == brute_hits([r[:2] for r in rows], items)
+
+
 def test_slots_must_fit(spark):
     _, bench = benchmark(spark)
     broken = {r["doc_id"]: r["n_windows"] for r in templates.leaks(documents(spark, leak_rows()), bench).collect()}
