@@ -354,6 +354,17 @@ def test_held_out_accuracy(spark):
     assert area > 0.97
 
 
+def test_repeated_ids_teach_alike(spark):
+    """Whatever the order and the partitions of the rows, the same one of several texts with one id teaches."""
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(k, f"{'awful' if (k + v) % 2 else 'kind'} words number {v} of a text") for k in range(40) for v in range(3)] + [(4, None), (4, "")]
+    models = []
+    for n, given in ((1, rows), (7, rows[::-1])):
+        numbers, weights = toxicity.train(spark.createDataFrame(given, "doc_id long, text string").repartition(n), labels)
+        models.append(dict(zip(numbers.tolist(), weights.tolist())))
+    assert models[0] == models[1] and len(models[0]) > 0
+
+
 def test_awkward_toxicity(spark):
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (7, 1, 0), (None, 1, 1), (9, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int")
     docs = documents(spark)
