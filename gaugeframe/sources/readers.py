@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decimal_commas_to_dots, strip_backslashes, strip_quotes
+from .writers import store
 
 ON_MISMATCH = ("fail", "null")
 
@@ -86,30 +88,80 @@ def analysed_files(catalogue: DataFrame, requested: Sequence[str] | DataFrame |
     return done.filter(F.col("fileName").isin(*names)) if names else done
 
 
+def _below(root: str) -> Column:
+    """The part of ``file_path`` that lies below a folder, whatever scheme either is written with."""
+    scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+    plain = posixpath.normpath(re.sub(scheme, "", root))
+    marker = plain if plain.startswith("/") else "/" + re.sub(r"^(\.\./)+", "", plain)
+    marker = marker.rstrip("/") + "/"
+    # Spark reports a path as URI; url_decode would also take a plus for a blank.
+    path = F.url_decode(F.replace(F.regexp_replace("file_path", scheme, ""), F.lit("+"), F.lit("%2B")))
+    return F.substr(path, F.locate(marker, path) + F.lit(len(marker)))
+
+
+def update_files(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
+    """``file_key`` (hash of the path) of every file below ``root`` that belongs to a named update.
+
+    An update is a file or a folder of files; ``names`` holds their paths below the root in
+    a column ``owner``. Files are listed, not read, and met with the names as tables: each
+    file offers every leading part of its path. Spark lists no file without content, so a named
+    update without any is looked up by its own path, one after another: an absent one raises.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listed = listed.select(F.col("_metadata.file_path").alias("file_path"))
+    files = store(listed.select("file_path", F.xxhash64("file_path").alias("file_key")), "source-files")
+    known = files.agg(F.count_distinct("file_path").alias("paths"), F.count_distinct("file_key").alias("keys")).first()
+    if known.paths != known.keys:
+        raise ValueError(f"two files below {root} have one hash; name the updates to read")
+    steps = F.split(_below(root), "/")
+    leading = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat_ws("/", F.slice(steps, F.lit(1), n)))
+    owned = files.select(F.explode(leading).alias("owner"), "file_key")
+    found = store(names.select("owner").distinct().join(owned, "owner", "left"), "source-updates")
+    for bare in found.filter(F.col("file_key").isNull()).toLocalIterator():
+        read_text_lines(spark, f"{root}/{bare.owner}")
+    return store(found.filter(F.col("file_key").isNotNull()).select("file_key").distinct(), "source-file-keys")
+
+
 def read_analysed_source(
     spark: SparkSession,
     folder: str,
     header: Sequence[str],
-    requested: Sequence[str] | None = None,
+    requested: Sequence[str] | DataFrame | None = None,
     regex: str = "",
     **text_options,
 ) -> DataFrame:
     """The analysed updates of a source folder: JSON rows, or text lines with a regex.
 
-    Only file names of the update catalogue reach the driver: they are the path list of
-    one multi-path read, a name per update, which Spark itself keeps on the driver for
-    any listing of files. A catalogue of millions of updates should be compacted first.
+    Updates that the caller lists by name are the paths of one read, so nothing else is
+    touched. Without such a list the folder is read as a whole and its lines meet the files
+    of analysed updates on a hash of their path: no name comes to the driver. The hashes
+    are stored, eight bytes a file, so Spark broadcasts them up to about a million files and
+    the lines are not shuffled; beyond its threshold it is a sort-merge join. Lines of
+    other updates are dropped before they are parsed, so a malformed one there is harmless.
     """
     catalogue = spark.read.schema("fileName string, correctAnalysis int").json(
         f"{folder}/source_analysed_updates"
     )
-    names = [row.fileName for row in analysed_files(catalogue, requested).distinct().toLocalIterator()]
-    if not names:
+    done = analysed_files(catalogue, requested).distinct()
+    part, suffix = ("updates", ".txt") if regex else ("extended_dataset", "")
+    root = f"{folder}/{part}"
+    if requested is not None and not isinstance(requested, DataFrame) and len(requested):
+        paths = [f"{root}/{row.fileName}{suffix}" for row in done.collect()]
+        if not paths:
+            raise ValueError(f"no correctly analysed update in {folder}")
+        if regex:
+            return structure_text(read_text_lines(spark, paths), regex, header, **text_options)
+        return read_rows(spark, paths, header)
+    if done.isEmpty():
         raise ValueError(f"no correctly analysed update in {folder}")
+    wanted = update_files(spark, root, done.select(F.concat("fileName", F.lit(suffix)).alias("owner")))
+    everything = spark.read.option("recursiveFileLookup", True).text(root)
+    lines = everything.select("value", F.xxhash64("_metadata.file_path").alias("file_key"))
+    lines = lines.join(wanted, "file_key", "left_semi").select("value")
     if regex:
-        lines = read_text_lines(spark, [f"{folder}/updates/{name}.txt" for name in names])
         return structure_text(lines, regex, header, **text_options)
-    return read_rows(spark, [f"{folder}/extended_dataset/{name}" for name in names], header)
+    fields = F.from_json("value", text_schema(header), {"mode": "FAILFAST"})
+    return lines.filter(F.trim("value") != "").select(fields.alias("fields")).select("fields.*")
 
 
 # The metadata tables beside a source and their schemas.

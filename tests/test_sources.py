@@ -1,10 +1,11 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeframe import sources
-from helpers import by, one, raised, rows
+from helpers import by, one, plan_of, raised, rows
 
 
 def lines(folder, *texts):
@@ -63,6 +64,51 @@ def test_analysed_source(spark, source_folder):
         names(requested=["bad"])
 
 
+@pytest.mark.parametrize("regex", ["", "([^;]+);"])
+def test_analysed_source_by_its_files(spark, tmp_path, regex):
+    """Odd names, updates of several files, names that begin alike, an empty and a malformed update."""
+    folder = tmp_path / "updates" / "extended_dataset" / "source x"
+    names = ["a b", "a%20b", "a+b", "2024/one", "2024/one-more", "one.txt", "one", "empty", "\u00e4"]
+    known = [*[(n, 1) for n in names], ("a b", 1), ("broken", 0), ("2024", 0)]
+    lines(folder / "source_analysed_updates" / "c.json", *[json.dumps({"fileName": n, "correctAnalysis": ok}) for n, ok in known])
+    for name in names:
+        kept = [] if name == "empty" else [name]
+        if regex:
+            whole = folder / "updates" / f"{name}.txt"
+            lines(whole / "part-1" if name == "one" else whole, *[f"{n};1;" for n in kept])
+        else:
+            for part in ("part-1.json", "part-2.json"):
+                lines(folder / "extended_dataset" / name / part, *[json.dumps({"k": n, "x": part}) + "\n" for n in kept])
+    lines(folder / "updates" / "broken.txt", "no fields")
+    lines(folder / "extended_dataset" / "broken" / "part.json", "{no json")
+    for base in (str(folder), f"file://{folder}", str(folder) + "/./"):
+        found = sources.read_analysed_source(spark, base, ["k", "x"], regex=regex)
+        wanted = sorted(n for n in names if n != "empty")
+        assert sorted(r.k for r in found.collect()) == sorted(wanted * (1 if regex else 2))
+    chosen = spark.createDataFrame([("2024/one",), ("broken",)], "fileName string")
+    found = sources.read_analysed_source(spark, str(folder), ["k", "x"], chosen, regex)
+    assert {r.k for r in found.collect()} == {"2024/one"}
+    plan = plan_of(found)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    lines(folder / "source_analysed_updates" / "d.json", json.dumps({"fileName": "gone", "correctAnalysis": 1}))
+    raised(lambda: sources.read_analysed_source(spark, str(folder), ["k", "x"], regex=regex), "PATH_NOT_FOUND")
+
+
+def test_analysed_source_by_a_relative_path(spark, source_folder):
+    path = os.path.relpath(source_folder)
+    assert path.startswith("..")
+    found = sources.read_analysed_source(spark, path, ["k", "x"])
+    assert sorted(r.k for r in found.collect()) == ["one", "two"]
+
+
+def test_analysed_source_malformed(spark, source_folder):
+    """A malformed line of an analysed update raises, whichever way its files are chosen."""
+    with open(f"{source_folder}/extended_dataset/one/part.json", "a", encoding="utf-8") as out:
+        out.write("{no json\n")
+    for requested in (None, ["one"]):
+        raised(lambda: sources.read_analysed_source(spark, source_folder, ["k", "x"], requested).collect(), "MALFORMED")
+
+
 def test_analysed_files_with_a_request_table(spark):
     catalogue = spark.createDataFrame([("a", 1), ("b", 1), ("c", 0)], "fileName string, correctAnalysis int")
     wanted = spark.createDataFrame([("b",), ("c",)], "fileName string")
