@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as rules
+from .repeated_bytes import DEPTH
 
 
 def _fence_sql() -> str:
@@ -151,10 +152,50 @@ SELECT part, array_to_string(o, '') AS filter_order, CAST(step AS INTEGER) AS st
     CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM summed"""
 
 
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE split AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '\S+') AS w FROM documents),
+sets AS (SELECT doc_id, text, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' ')) END)) AS s FROM split),
+numbered AS (SELECT doc_id, s, dense_rank() OVER (ORDER BY s, CASE WHEN len(s) = 0 THEN doc_id END, CASE WHEN len(s) = 0 THEN text END) AS c FROM sets),
+classes AS (SELECT c, any_value(s) AS s, min(doc_id) AS least, count(*) AS n_copies FROM numbered GROUP BY c),
+shingles AS (SELECT c, len(s) AS n, unnest(s) AS shingle FROM classes),
+links AS (SELECT x.c AS a, y.c AS b FROM shingles x JOIN shingles y USING (shingle) WHERE x.c <> y.c
+    GROUP BY x.c, y.c HAVING 9 * count(*) >= 4 * (min(x.n) + min(y.n))),
+reached AS (SELECT DISTINCT a AS c, a AS other FROM links UNION SELECT b, other FROM reached JOIN links ON a = c),
+groups AS (SELECT reached.c, min(least) AS least FROM reached JOIN classes ON classes.c = other GROUP BY reached.c),
+degrees AS (SELECT a AS c, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(groups.least, classes.least) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(n_copies AS BIGINT) AS n_copies
+FROM numbered JOIN classes USING (c) LEFT JOIN groups USING (c) LEFT JOIN degrees USING (c)"""
+
+
+def repeated_bytes_sql() -> str:
+    """Byte strings get ranks by length, each length from two shorter strings; 200 is two of 128 that overlap."""
+    steps, length = [], 1
+    for gap in (1, 2, 4, 8, 16, 32, 64, DEPTH - 128):
+        pair = f"SELECT r, place, h, lead(h, {gap}) OVER (PARTITION BY r ORDER BY place) AS g FROM of_{length}"
+        steps.append(f"of_{length + gap} AS (SELECT r, place, dense_rank() OVER (ORDER BY h, g) AS h FROM ({pair}) WHERE g IS NOT NULL)")
+        length += gap
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS data FROM documents),
+hexed AS (SELECT r, regexp_extract_all(hex(data), '..') AS x FROM docs),
+of_1 AS (SELECT r, unnest(range(len(x))) AS place, unnest(x) AS h FROM hexed),
+{", ".join(steps)},
+starts AS (SELECT r, place, count(*) OVER (PARTITION BY h) > 1 AS twice FROM of_{DEPTH}),
+covered AS (SELECT r, place, h, coalesce(bool_or(twice) OVER (PARTITION BY r ORDER BY place ROWS {DEPTH - 1} PRECEDING), false) AS gone
+    FROM of_1 LEFT JOIN starts USING (r, place)),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY place), false) AS opens FROM covered),
+summed AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    coalesce(string_agg(h, '' ORDER BY place) FILTER (NOT gone), '') AS kept FROM edges GROUP BY r)
+SELECT doc_id, CAST(octet_length(data) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM docs LEFT JOIN summed USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_snapshots": CHAT_SNAPSHOTS,
+        "op4_near_duplicates": NEAR_DUPLICATES,
         "op6_line_chunks": LINE_CHUNKS,
+        "op9_repeated_bytes": repeated_bytes_sql(),
         "op10_quality_rules": quality_rules_sql(),
         "op11_ranked_search": RANKED_SEARCH,
         "op13_filter_audit": FILTER_AUDIT,
