@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as rules
+from . import templates
 from .repeated_bytes import DEPTH
 
 
@@ -190,11 +191,55 @@ SELECT doc_id, CAST(octet_length(data) AS BIGINT) AS n_bytes, CAST(coalesce(n_re
     CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM docs LEFT JOIN summed USING (r)"""
 
 
+def templates_sql() -> str:
+    """Tokens and templates step by step, every window of both sides, equal templates and consistent slots."""
+    name, point = "chr(1)", "chr(2)"
+
+    def tokens(rows: str) -> str:
+        marked = f"translate(coalesce(text, ''), {name} || {point}, '  ')"
+        marked = rf"regexp_replace({marked}, '([\p{{Ll}}\p{{N}},;])\s+(\p{{Lu}})', '\1 ' || {name} || '\2', 'g')"
+        for _ in range(2):  # 1,2,3: the digits between are taken by the first turn
+            marked = rf"regexp_replace({marked}, '(\p{{Nd}})[.,](\p{{Nd}})', '\1' || {point} || '\2', 'g')"
+        marked = rf"regexp_replace({marked}, '[^\p{{L}}\p{{M}}\p{{N}}' || {name} || {point} || ']+', ' ', 'g')"
+        for pair in (r"(\p{Nd})(\p{L})", r"(\p{L})(\p{Nd})"):
+            marked = rf"regexp_replace({marked}, '{pair}', '\1 \2', 'g')"
+        return f"SELECT *, list_filter(string_split(lower(trim({marked})), ' '), lambda x: x <> '') AS raw FROM ({rows})"
+
+    shape = rf"CASE WHEN x[1] = {name} AND len(x) > 1 THEN '<name>' WHEN regexp_full_match(x, '\p{{Nd}}[\p{{Nd}}' || {point} || ']*') THEN '<num>' ELSE x END"
+    units = ", ".join(f"'{unit}'" for unit in templates.UNITS)
+
+    def shaped(rows: str) -> str:
+        once = f"SELECT *, list_transform(raw, lambda x: {shape}) AS s FROM ({tokens(rows)})"
+        unit = f"CASE WHEN k > 1 AND s[k - 1] = '<num>' AND s[k] IN ({units}) THEN '<unit>' ELSE s[k] END"
+        return f"SELECT * EXCLUDE (s), list_transform(range(1, len(s) + 1), lambda k: {unit}) AS template FROM ({once})"
+
+    size, least = templates.WINDOW, templates.SHORTEST
+    slots = "list_filter(range(1, size + 1), lambda k: starts_with(template[k], '<'))"
+    return f"""
+WITH docs AS ({shaped("SELECT DISTINCT doc_id, text FROM documents")}),
+whole AS ({shaped("SELECT item_id, text FROM benchmark")}),
+quoted AS ({shaped("SELECT item_id, 'a ' || text AS text FROM benchmark")}),
+items AS (SELECT item_id, raw, template FROM whole UNION ALL SELECT item_id, raw[2:], template[2:] FROM quoted),
+sized AS (SELECT *, least(len(template), {size}) AS size FROM items WHERE len(template) >= {least}),
+started AS (SELECT *, unnest(range(len(template) - size + 1)) AS spot FROM sized),
+cut AS (SELECT DISTINCT item_id, spot, size, raw[spot + 1 : spot + size] AS i_raw, template[spot + 1 : spot + size] AS template FROM started),
+known AS (SELECT * FROM cut WHERE len(list_filter(template, lambda x: NOT starts_with(x, '<'))) >= {templates.LITERALS}),
+sizes AS (SELECT DISTINCT size FROM known),
+places AS (SELECT doc_id, text, raw, template, size, unnest(range(len(template) - size + 1)) AS start FROM docs, sizes WHERE len(template) >= size),
+spelt AS (SELECT doc_id, text, start, raw[start + 1 : start + size] AS raw, template[start + 1 : start + size] AS template FROM places),
+met AS (SELECT *, {slots} AS slots FROM spelt JOIN known USING (template)),
+fitting AS (SELECT * FROM met WHERE len(list_distinct(list_transform(slots, lambda k: [template[k], i_raw[k]])))
+    = len(list_distinct(list_transform(slots, lambda k: [template[k], i_raw[k], raw[k]]))))
+SELECT doc_id, item_id, count(DISTINCT spot) AS n_windows, min(start) AS first_token, bool_or(raw <> i_raw) AS reparameterised
+FROM fitting GROUP BY doc_id, text, item_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_snapshots": CHAT_SNAPSHOTS,
         "op4_near_duplicates": NEAR_DUPLICATES,
         "op6_line_chunks": LINE_CHUNKS,
+        "op7_templates": templates_sql(),
         "op9_repeated_bytes": repeated_bytes_sql(),
         "op10_quality_rules": quality_rules_sql(),
         "op11_ranked_search": RANKED_SEARCH,
