@@ -24,13 +24,12 @@ of any length are cut into words in blocks; an empty table gives an empty table;
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -54,10 +53,10 @@ RATE = 0.2
 BATCH = 4096
 #: Positions whose probabilities are computed at a time.
 BLOCK = 1 << 15
-#: Documents that are numbered at a time.
+#: Documents that are trained on or scored at a time.
 AT_ONCE = 256
-#: Words that a task counts before it gives the counts on.
-KNOWN = 400_000
+#: Characters after which a task numbers the documents that it holds, and after which it gives its word counts on.
+NUMBERED, COUNTED = 1 << 22, 1 << 24
 
 Network = dict[str, np.ndarray]
 PLACES = [*range(-REACH, 0), *range(1, REACH + 1)]
@@ -99,43 +98,68 @@ class Vocabulary(NamedTuple):
     n_tokens: int
 
 
-class Numbers(dict):
+class Numbers:
     """Places of words in two tables: their vocabulary numbers, and the logarithms of the counts of those that share one (NaN: not known).
 
-    None stands for the border. The words that the workers know come first; all others have the place of their shared number.
+    The words that the workers know come first; all others have the place of their shared number.
     """
 
     def __init__(self, top: list[str], middle: dict[str, float] | None = None):
         counts = middle or {}
-        words = [*top, *counts, None]
-        super().__init__(zip(words, range(len(words))))
+        self.words = pa.array([*top, *counts], pa.large_string())
         shared = [TOP + zlib.crc32(w.encode()) % OTHERS for w in counts]
-        self.known = len(words)
-        self.number = np.array([*range(len(top)), *shared, VOCABULARY, *range(TOP, VOCABULARY)], np.uint16)
-        self.log_count = np.array([*[0.0] * len(top), *counts.values(), 0.0, *[np.nan] * OTHERS])
+        self.number = np.array([*range(len(top)), *shared, *range(TOP, VOCABULARY)], np.uint16)
+        self.log_count = np.array([*[0.0] * len(top), *counts.values(), *[np.nan] * OTHERS])
 
-    def __missing__(self, word: str) -> int:
-        return self.known + zlib.crc32(word.encode()) % OTHERS
+    def places(self, words: pa.Array) -> np.ndarray:
+        out = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        others = np.flatnonzero(out < 0)
+        raw = words.take(pa.array(others)).cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        out[others] = len(self.words) + np.fromiter(map(zlib.crc32, raw), np.int64, others.size) % OTHERS
+        return out
 
 
-def tokens(text: str | None) -> Iterator[str]:
-    """The lower-cased words, a block of the text at a time."""
-    return chain.from_iterable(part.lower().split() for part in segments(text or ""))
+def tokens(parts: Iterable[str]) -> pa.ListArray:
+    """The lower-cased words of each part of a text. Arrow's white space is that of ``str.split``, but it leaves empty words at the ends."""
+    plain = pa.array([part.lower().strip() or None for part in parts], pa.large_string())
+    return pc.utf8_split_whitespace(plain)
 
 
-EDGE = [None] * REACH
+class Numbered(NamedTuple):
+    """The tokens of some texts."""
 
-
-def numbered(texts: list[str | None], known: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
-    """Numbers of all tokens with REACH borders before, between and after the texts; starts of the texts and the end; places; tokens."""
-    told: list[str | None] = [*EDGE]
-    starts = [REACH]
-    for text in texts:
-        told.extend(tokens(text))
-        told += EDGE
-        starts.append(len(told))
-    places = np.fromiter(map(known.__getitem__, told), np.int32, len(told))
-    return known.number[places], np.array(starts, np.int64), places, told
+    #: Numbers of all tokens with REACH borders before, between and after the texts.
+    ids: np.ndarray
+    #: Starts of the texts there, and the end.
+    starts: np.ndarray
+    #: Where the tokens are in ids, their places, and themselves.
+    at: np.ndarray
+    places: np.ndarray
+    words: pa.Array
+
+
+def numbered(texts: list[str | None], known: Numbers) -> Numbered:
+    parts, owners = [], []
+    for k, text in enumerate(texts):
+        for part in segments(text or ""):
+            parts.append(part)
+            owners.append(k)
+    lists = tokens(parts)
+    words = lists.flatten()
+    sizes = np.bincount(owners, lists.value_lengths().fill_null(0).to_numpy(), len(texts)).astype(np.int64)
+    starts = REACH + np.append(0, np.cumsum(sizes + REACH))
+    at = np.arange(len(words)) + np.repeat(REACH * np.arange(1, len(texts) + 1), sizes)
+    places = known.places(words)
+    ids = np.full(starts[-1], VOCABULARY, np.uint16)
+    ids[at] = known.number[places]
+    return Numbered(ids, starts, at, places, words)
+
+
+def by_documents(starts: np.ndarray) -> Iterator[slice]:
+    """The ids of AT_ONCE texts at a time, with the borders around them."""
+    last = starts.size - 1
+    for k in range(0, last, AT_ONCE):
+        yield slice(starts[k] - REACH, starts[min(k + AT_ONCE, last)])
 
 
 ONES = np.ones((CLASSES, 1), np.float32)
@@ -152,16 +176,17 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _log_softmax(x: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Of one value per row; x is used up."""
     x -= x.max(axis=-1, keepdims=True)
-    own = x[np.arange(which.size), which]
+    own = x.ravel().take(np.arange(0, x.size, CLASSES) + which)
     return own - np.log(np.exp(x, out=x) @ ONES)[:, 0]
 
 
-def _hidden(net: Network, ids: np.ndarray, low: int, high: int) -> np.ndarray:
-    """The hidden layer at the places low to high, with a last column of ones."""
-    h = net["bias"] + net["embed"][ids[low + PLACES[0] : high + PLACES[0]], 0]
+def _hidden(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hidden layer at some places, with a last column of ones."""
+    rows, first = net["embed"].reshape(-1, WIDTH), ids.astype(np.int64) * len(PLACES)
+    h = net["bias"] + rows.take(first[at + PLACES[0]], axis=0)
     for k, place in list(enumerate(PLACES))[1:]:
-        h += net["embed"][ids[low + place : high + place], k]
-    out = np.ones((high - low, WIDTH + 1), np.float32)
+        h += rows.take(first[at + place] + k, axis=0)
+    out = np.ones((at.size, WIDTH + 1), np.float32)
     np.tanh(h, out=out[:, :-1])
     return out
 
@@ -195,12 +220,17 @@ def _inner(net: Network, h: np.ndarray, t: Targets) -> np.ndarray:
 def segment_sums(rows: np.ndarray, firsts: np.ndarray, few: int = 8) -> np.ndarray:
     """The sum of each segment of rows: long segments one by one, all short ones together, row by row."""
     sizes = np.diff(firsts, append=rows.shape[0])
-    out = rows[firsts]
+    out = rows.take(firsts, axis=0)
     for k in np.flatnonzero(sizes > few):
-        out[k] = rows[firsts[k] : firsts[k] + sizes[k]].sum(0)
+        np.add.reduce(rows[firsts[k] : firsts[k] + sizes[k]], axis=0, out=out[k])
+    # The longer ones first, so that each step adds to the first so many.
+    short = np.flatnonzero((sizes > 1) & (sizes <= few))
+    short = short[np.argsort(-sizes[short], kind="stable")]
+    sums, next_rows, ends = out.take(short, axis=0), firsts[short], -sizes[short]
     for step in range(1, few):
-        own = np.flatnonzero((sizes > step) & (sizes <= few))
-        out[own] += rows[firsts[own] + step]
+        n = np.searchsorted(ends, -step)
+        sums[:n] += rows.take(next_rows[:n] + step, axis=0)
+    out[short] = sums
     return out
 
 
@@ -210,7 +240,7 @@ def log_probabilities(net: Network, ids: np.ndarray) -> np.ndarray:
     for low in range(REACH, ids.size - REACH, BLOCK):
         high = min(low + BLOCK, ids.size - REACH)
         t = _targets(ids, low, high)
-        h = _hidden(net, ids, low, high)[t.at]
+        h = _hidden(net, ids, low + t.at)
         out[low + t.at] = _log_softmax(h @ net["outer"], t.group) + _log_softmax(_inner(net, h, t), t.within)
     return out
 
@@ -235,8 +265,7 @@ def learn(net: Network, squares: Network, ids: np.ndarray) -> int:
         if not n:
             continue
         places += n
-        whole = _hidden(net, ids, low, high)
-        h = whole[t.at]
+        h = _hidden(net, ids, low + t.at)
         d = _softmax(h @ net["outer"])
         d[rows, t.group] -= 1
         d /= n
@@ -256,13 +285,15 @@ def learn(net: Network, squares: Network, ids: np.ndarray) -> int:
         back = back[:, :-1] * (1 - h * h)
         step("bias", back.sum(0))
         # A token at one place is context of its neighbours: shifted gradients, added up by token.
+        own = np.zeros((high - low, WIDTH), np.float32)
+        own[t.at] = back
         near = np.zeros((high - low + 2 * REACH, len(PLACES), WIDTH), np.float32)
         for k, place in enumerate(PLACES):
-            near[t.at + (REACH + place), k] = back
+            near[REACH + place : REACH + place + high - low, k] = own
         around = ids[low - REACH : high + REACH]
         order = np.argsort(around, kind="stable")
         firsts = np.flatnonzero(np.diff(around[order].astype(np.int64), prepend=-1))
-        sums = segment_sums(near.reshape(len(near), -1)[order], firsts)
+        sums = segment_sums(near.reshape(len(near), -1).take(order, axis=0), firsts)
         step("embed", sums.reshape(-1, len(PLACES), WIDTH), around[order[firsts]])
     return places
 
@@ -271,18 +302,21 @@ def counted(docs: DataFrame) -> DataFrame:
     """All different words of all documents with their counts (word, n). Stored."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        held: list[str] = []
+        size = 0
 
         def sums() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
+            found = pc.value_counts(tokens(held).flatten())
+            return pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["word", "n"])
 
         for batch in batches:
             for text in batch.column("text"):
-                seen.update(tokens(text.as_py()))
-                if len(seen) > KNOWN:
-                    yield sums()
+                for part in segments(text.as_py() or ""):
+                    held.append(part)
+                    size += len(part)
+                    if size > COUNTED:
+                        yield sums()
+                        held, size = [], 0
         yield sums()
 
     words = docs.select("text").mapInArrow(told, StructType([StructField("word", StringType()), StructField("n", LongType())]))
@@ -359,6 +393,10 @@ def _round(docs: DataFrame, words: Vocabulary, start: Network, shards: int, numb
         top, middle, start = told.value
         known, shard, places = Numbers(top, middle), None, 0
 
+        def learned() -> int:
+            texts = numbered(held, known)
+            return sum(learn(net, squares, texts.ids[part]) for part in by_documents(texts.starts))
+
         def copy() -> Iterator[pa.RecordBatch]:
             if places:
                 values = flat(net)
@@ -372,17 +410,18 @@ def _round(docs: DataFrame, words: Vocabulary, start: Network, shards: int, numb
             for text, own in zip(batch.column("text"), batch.column("shard").to_pylist()):
                 if own != shard:
                     if shard is not None:
-                        places += learn(net, squares, numbered(held, known)[0])
+                        places += learned()
                         yield from copy()
-                    shard, places, held = own, 0, []
+                    shard, places, held, size = own, 0, [], 0
                     net = {k: v.copy() for k, v in start.items()}
                     squares = {k: np.zeros_like(v) for k, v in net.items()}
                 held.append(text.as_py())
-                if len(held) == AT_ONCE:
-                    places += learn(net, squares, numbered(held, known)[0])
-                    held = []
+                size += len(held[-1])
+                if len(held) % AT_ONCE == 0 and size > NUMBERED:
+                    places += learned()
+                    held, size = [], 0
         if shard is not None:
-            places += learn(net, squares, numbered(held, known)[0])
+            places += learned()
             yield from copy()
 
     copies = dealt(docs, shards, number).select("text", "shard").mapInArrow(trained, COPY)
@@ -406,22 +445,37 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network]) -> DataFrame:
     source, (words, net) = docs.select("doc_id", "text"), model
     model_data = docs.sparkSession.sparkContext.broadcast((words.top, words.middle, words.shared, net))
 
+    def blocks(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+        low, size, held = 0, 0, []
+        for text in whole.column("text"):
+            held.append(text.as_py())
+            size += len(held[-1] or "")
+            if len(held) % AT_ONCE == 0 and size > NUMBERED:
+                yield whole.slice(low, len(held)), held
+                low, size, held = low + len(held), 0, []
+        if held:
+            yield whole.slice(low), held
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, middle, shared, net = model_data.value
         known = Numbers(top, middle)
         for whole in batches:
-            for batch in (whole.slice(k, AT_ONCE) for k in range(0, whole.num_rows, AT_ONCE)):
-                ids, starts, places, told = numbered(batch.column("text").to_pylist(), known)
-                logs = np.append(log_probabilities(net, ids), 0.0)
-                without = np.flatnonzero((ids >= TOP) & (ids < VOCABULARY))
+            for batch, texts in blocks(whole):
+                ids, starts, at, places, words = numbered(texts, known)
+                logs = np.zeros(ids.size + 1)
+                for part in by_documents(starts):
+                    logs[part] = log_probabilities(net, ids[part])
+                numbers = ids[at]
+                without = np.flatnonzero(numbers >= TOP)
                 own = known.log_count[places[without]]
                 far = np.isnan(own)
-                logs[without] += np.where(far, 0, own) - shared[ids[without].astype(np.int64) - TOP]
+                logs[at[without]] += np.where(far, 0, own) - shared[numbers[without].astype(np.int64) - TOP]
                 far = without[far]
                 n = np.diff(starts) - REACH
                 sums = np.add.reduceat(logs, starts)[:-1]
                 sums[n == 0] = 0.0
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, starts), pa.int32()), pa.array([told[k] for k in far.tolist()], pa.string()))
+                firsts = np.searchsorted(far, np.append(0, np.cumsum(n)))
+                rare = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), words.take(pa.array(far)).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums), rare], ["doc_id", "n_tokens", "part", "rare"])
 
     kind = [source.schema["doc_id"], StructField("n_tokens", LongType()), StructField("part", DoubleType()), StructField("rare", ArrayType(StringType()))]
