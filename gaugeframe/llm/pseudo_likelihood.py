@@ -56,7 +56,7 @@ BLOCK = 1 << 15
 #: Documents that are trained on or scored at a time.
 AT_ONCE = 256
 #: Characters after which a task numbers the documents that it holds, and after which it gives its word counts on.
-NUMBERED, COUNTED = 1 << 22, 1 << 24
+NUMBERED = COUNTED = 1 << 22
 
 Network = dict[str, np.ndarray]
 PLACES = [*range(-REACH, 0), *range(1, REACH + 1)]
